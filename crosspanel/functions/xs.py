@@ -32,20 +32,41 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return int(row[0] or 0)
 
 
-def join_stats(df: DataFrame, by: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
+def fits_window(df: DataFrame, by: Sequence[str], max_group: int | None) -> tuple[DataFrame, bool]:
+    """Whether every group is small enough for a window over it.
+
+    Past the limit the input is staged, because the other plans pass over it more than
+    once.  Without a proven bound it is staged to be counted.
+    """
+    if max_group is None:
+        df = stage(df)
+        return df, largest_group(df, by) <= WINDOW_LIMIT
+    if max_group <= WINDOW_LIMIT:
+        return df, True
+    return stage(df), False
+
+
+def with_stats(df: DataFrame, by: Sequence[str], aggs: dict[str, Column],
+               max_group: int | None = None) -> DataFrame:
     """Attach per-group aggregates to every row.
 
-    Aggregates are combined map-side, so no group is collected.  A table keyed by DATE
-    alone holds one row per calendar day and is broadcast; any other key is left to the
-    optimizer, which broadcasts by measured size and otherwise splits skewed join keys.
+    Large groups are aggregated map-side and joined back, so no group is collected.  A
+    table keyed by DATE alone holds one row per calendar day and is broadcast; any other
+    key is left to the optimizer, which broadcasts by measured size and otherwise splits
+    skewed join keys.
     """
+    df, small = fits_window(df, by, max_group)
+    if small:
+        w = Window.partitionBy(*by)
+        return df.withColumns({n: c.over(w) for n, c in aggs.items()})
     stats = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
     if list(by) == ["date"]:
         stats = F.broadcast(stats)
     return df.join(stats, list(by), "left")
 
 
-def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("date",)) -> DataFrame:
+def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("date",),
+           max_group: int | None = None) -> DataFrame:
     """(x - mean) / sample std per group; a zero or undefined std gives null.
 
     Applied repeatedly it returns its input, so one pass stands for any iteration count.
@@ -53,7 +74,7 @@ def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("date",)) ->
     aggs = {}
     for c in cols:
         aggs[f"_m_{c}"], aggs[f"_s_{c}"] = F.avg(c), F.stddev_samp(c)
-    out = join_stats(df, by, aggs)
+    out = with_stats(df, by, aggs, max_group)
     z = {c: F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in cols}
     return out.withColumns(z).drop(*aggs)
 
@@ -69,10 +90,8 @@ def quantiles(
     max_group: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group, ``{col}_q{i}`` columns."""
-    if max_group is None:
-        df = stage(df)
-        max_group = largest_group(df, by)
-    if max_group <= WINDOW_LIMIT:
+    df, small = fits_window(df, by, max_group)
+    if small:
         aggs = [F.percentile(c, F.array(*map(F.lit, probs))).alias(f"_{c}") for c in cols]
         wide = df.groupBy(*by).agg(*aggs)
         return wide.select(
@@ -130,8 +149,17 @@ def _bracketed_quantiles(df, by, cols, probs) -> DataFrame:
     return read.groupBy(*by).pivot("key", names).agg(F.first("q"))
 
 
-def join_quantiles(df, by, cols, probs, max_group=None) -> DataFrame:
-    q = quantiles(df, by, cols, probs, max_group)
+def with_quantiles(df, by, cols, probs, max_group=None) -> DataFrame:
+    """Attach ``{col}_q{i}`` to every row."""
+    df, small = fits_window(df, by, max_group)
+    names = {c: [f"{c}_q{i}" for i in range(len(probs))] for c in cols}
+    if small:
+        w = Window.partitionBy(*by)
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        out = df.withColumns({f"_{c}": F.percentile(c, arr).over(w) for c in cols})
+        picked = {n: F.col(f"_{c}")[i] for c in cols for i, n in enumerate(names[c])}
+        return out.withColumns(picked).drop(*[f"_{c}" for c in cols])
+    q = _bracketed_quantiles(df, by, cols, probs)
     if list(by) == ["date"]:
         q = F.broadcast(q)
     return df.join(q, list(by), "left")
@@ -139,7 +167,7 @@ def join_quantiles(df, by, cols, probs, max_group=None) -> DataFrame:
 
 def winsorize(df, cols, lower=0.02, upper=0.98, by=("date",), max_group=None) -> DataFrame:
     """Clip each column to its quantiles within the group."""
-    out = join_quantiles(df, by, cols, (lower, upper), max_group)
+    out = with_quantiles(df, by, cols, (lower, upper), max_group)
     clipped = {
         c: F.when(
             F.col(c).isNotNull(),
@@ -152,9 +180,9 @@ def winsorize(df, cols, lower=0.02, upper=0.98, by=("date",), max_group=None) ->
 
 def subtract_median(df, cols, by, max_group=None, min_size: int = 1) -> DataFrame:
     """x minus the group's median; groups below ``min_size`` rows are left as they are."""
-    out = join_quantiles(df, by, cols, (0.5,), max_group)
+    out = with_quantiles(df, by, cols, (0.5,), max_group)
     if min_size > 1:
-        out = out.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")), list(by), "left")
+        out = with_stats(out, by, {"_size": F.count(F.lit(1))}, max_group)
     else:
         out = out.withColumn("_size", F.lit(1))
     new = {
@@ -167,7 +195,7 @@ def subtract_median(df, cols, by, max_group=None, min_size: int = 1) -> DataFram
 def quantile_bins(df, value: str, q: int, by=("date",), name="bin", max_group=None) -> DataFrame:
     """0-based quantile bin with right-closed edges; repeated edges are merged."""
     probs = [i / q for i in range(q + 1)]
-    out = join_quantiles(df, by, [value], probs, max_group)
+    out = with_quantiles(df, by, [value], probs, max_group)
     edges = F.array_distinct(F.array(*[F.col(f"{value}_q{i}") for i in range(q + 1)]))
     x = F.col(value)
     # Edges strictly below x, less one; the lowest edge belongs to the first bin.
@@ -194,12 +222,9 @@ def rank_first(
 
     Rows with a null value are dropped.  Descending order reverses the value only.
     """
-    df = df.filter(F.col(value).isNotNull())
-    if max_group is None:
-        df = stage(df)
-        max_group = largest_group(df, by)
+    df, small = fits_window(df.filter(F.col(value).isNotNull()), by, max_group)
     order = [F.desc(value) if descending else F.asc(value), F.asc(tie)]
-    if max_group <= WINDOW_LIMIT:
+    if small:
         w = Window.partitionBy(*by)
         return df.withColumn(name, F.row_number().over(w.orderBy(*order))).withColumn(
             count, F.count(F.lit(1)).over(w)
@@ -223,12 +248,8 @@ def rank_average(
     max_group: int | None = None,
 ) -> DataFrame:
     """Average-tie rank among non-null values; null values keep a null rank."""
-    present = df.filter(F.col(value).isNotNull())
-    if max_group is None:
-        df = stage(df)
-        present = df.filter(F.col(value).isNotNull())
-        max_group = largest_group(present, by)
-    if max_group <= WINDOW_LIMIT:
+    df, small = fits_window(df, by, max_group)
+    if small:
         w = Window.partitionBy(*by)
         x = F.col(value)
         first = F.rank().over(w.orderBy(F.col(value).asc_nulls_last()))
@@ -237,6 +258,7 @@ def rank_average(
             count, F.count(x).over(w)
         )
     # Ties are counted before the shuffle, so a run of equal values is one row.
+    present = df.filter(F.col(value).isNotNull())
     runs = stage(present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties")))
     cut = _cut(runs.withColumn("_v", F.col(value)), by, value, weight="_ties")
     w = Window.partitionBy(*by, "_range", "_sub").orderBy("_v")

@@ -116,7 +116,8 @@ def _beta(n, sx, sxy, rows: int, y_mean: Column, y_var: Column) -> Column:
     return F.when(n >= rows, ts.ratio(cov, y_var))
 
 
-def risk_factors(grid: DataFrame, market: DataFrame, full: bool = True) -> DataFrame:
+def risk_factors(grid: DataFrame, market: DataFrame, full: bool = True,
+                 min_negative: int = HALF_YEAR // 2) -> DataFrame:
     """Volatility, beta, residual and risk-scaled factors against a market series.
 
     ``market`` is the output of :func:`market_series`.  Every rolling moment is a moving
@@ -138,7 +139,6 @@ def risk_factors(grid: DataFrame, market: DataFrame, full: bool = True) -> DataF
     )
     out = out.withColumns({f"{c}2": ts.doubled(c, h) for c in ("n", "s", "ss", "sm")})
     c = F.col
-    half_full = c("n") >= h
     out = out.withColumns(
         {
             "VOL6M": F.when(
@@ -148,7 +148,7 @@ def risk_factors(grid: DataFrame, market: DataFrame, full: bool = True) -> DataF
                 c("n2") >= y // 2, F.sqrt(ts.sample_variance(c("n2"), c("s2"), c("ss2"))) * ANNUAL
             ),
             "DOWNVOL6M": F.when(
-                c("dn") >= h // 2, F.sqrt(ts.sample_variance(c("dn"), c("ds"), c("dss"))) * ANNUAL
+                c("dn") >= min_negative, F.sqrt(ts.sample_variance(c("dn"), c("ds"), c("dss"))) * ANNUAL
             ),
             "BETA6M": _beta(c("n"), c("s"), c("sm"), h, c(f"mkt_close_mean{h}"),
                             c(f"mkt_close_var{h}")),

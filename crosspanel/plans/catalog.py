@@ -1,6 +1,7 @@
 """Imports every query family so that its queries register."""
 
 from crosspanel.plans import (  # noqa: F401
+    factors,
     joins,
     sources,
     timeseries,

@@ -12,7 +12,7 @@ ADV_ROWS, ADV_MIN = 378, 40
 
 # Regions play the part of listing regions; AMERICA is the point-in-time one.
 PRICE_FLOOR = {"AMERICA": 500.0, "EUROPE": 800.0, "ASIA": 100.0}
-ADV_FLOOR = {"AMERICA": 20_000.0, "EUROPE": 25_000.0, "ASIA": 30_000.0, "AFRICA": 40_000.0}
+ADV_FLOOR = {"AMERICA": 52_000.0, "EUROPE": 55_000.0, "ASIA": 58_000.0, "AFRICA": 50_000.0}
 PIT_REGION = "AMERICA"
 
 
@@ -76,11 +76,11 @@ def adv_filter(t):
 
 @query(
     "b3_keep_by_last_row", "symbol",
-    """SELECT symbol FROM adv_daily WHERE adv >= 50000 AND date = (SELECT max(date) FROM cal)""",
+    """SELECT symbol FROM adv_daily WHERE adv >= 60000 AND date = (SELECT max(date) FROM cal)""",
     "adv_daily cal",
 )
 def keep_by_last_row(t):
-    return u.keep_by_last_row(u.adv_mask(t.grid, t.profile, 50_000.0, ADV_ROWS, ADV_MIN), "liquid")
+    return u.keep_by_last_row(u.adv_mask(t.grid, t.profile, 60_000.0, ADV_ROWS, ADV_MIN), "liquid")
 
 
 @query(
