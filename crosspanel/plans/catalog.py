@@ -3,6 +3,7 @@
 from crosspanel.plans import (  # noqa: F401
     factors,
     joins,
+    portfolio,
     sources,
     timeseries,
     universe,
