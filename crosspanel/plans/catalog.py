@@ -2,6 +2,7 @@
 
 from crosspanel.plans import (  # noqa: F401
     factors,
+    forecast,
     joins,
     portfolio,
     sources,

@@ -9,6 +9,7 @@ from crosspanel.plans import timeseries  # noqa: F401  defines shared views
 from crosspanel.plans import universe as universe_plans
 from crosspanel.plans.registry import query
 from crosspanel.plans.sql import view, week
+from crosspanel.session import stage
 
 ADV_THRESHOLD = 60_000.0
 THRESHOLD_BY_REGION = {"AMERICA": 58_000.0, "EUROPE": 60_000.0, "ASIA": 62_000.0, "AFRICA": 55_000.0}
@@ -29,6 +30,11 @@ def scores(t):
     return portfolio.reversal_scores(weekly_r1w(t), t.profile, max_group=t.n_symbols)
 
 
+def staged_scores(t):
+    """Scores as a stored table: portfolios read them for members and for dates."""
+    return t.staged("scores", lambda: scores(t))
+
+
 def returns(t, lag=1):
     return target.trade_returns(t.bars, t.calendar, lag=lag)
 
@@ -94,7 +100,7 @@ view("port", "quint rets scores", portfolio_sql("SELECT * FROM quint", "rets"))
 
 
 def weekly_portfolio(t):
-    return portfolio.long_short(scores(t), returns(t), max_group=t.n_symbols)
+    return portfolio.long_short(staged_scores(t), returns(t), max_group=t.n_symbols)
 
 
 # -- queries -----------------------------------------------------------------------
@@ -137,7 +143,7 @@ SCALED = dict(
 )
 def adv_scaled_portfolio(t):
     return portfolio.long_short(
-        scores(t), returns(t), universe_plans.weekly_levels(t), ADV_THRESHOLD, max_group=t.n_symbols
+        staged_scores(t), returns(t), universe_plans.weekly_levels(t), ADV_THRESHOLD, max_group=t.n_symbols
     )
 
 
@@ -155,7 +161,7 @@ view(
 def eligible_portfolio(t):
     from crosspanel.operators.universe import mask_scores
 
-    masked = mask_scores(scores(t), universe_plans.eligible(t))
+    masked = stage(mask_scores(scores(t), universe_plans.eligible(t)))
     return portfolio.long_short(masked, returns(t), max_group=t.n_symbols)
 
 
@@ -223,7 +229,7 @@ def model_scores(t):
     )
     weekly = ts.weekly_last(df, MODELS)
     long = weekly.unpivot(["date", "symbol"], MODELS, "model", "prediction")
-    return long.filter("prediction is not null")
+    return stage(long.filter("prediction is not null"))
 
 
 view(
@@ -266,25 +272,26 @@ def cost_sweep(t):
 
 
 @query(
-    "i10_matched_period_stats", f"model {METRICS} cumulative_return:5",
-    metrics_sql(
+    "i10_matched_period_stats", f"model {METRICS} capped_cumulative:4",
+    "SELECT *, least(cumulative_return, 1e6) AS capped_cumulative FROM (" + metrics_sql(
         "(SELECT * FROM mport WHERE date IN (SELECT date FROM mport GROUP BY date HAVING count(DISTINCT model) = 3))", "model"
-    ),
+    ) + ")",
     "mport",
 )
 def matched_period(t):
-    return portfolio.performance(portfolio.matched_weeks(model_portfolios(t)), ["model"])
+    out = portfolio.performance(portfolio.matched_weeks(model_portfolios(t)), ["model"])
+    return out.withColumn("capped_cumulative", F.least("cumulative_return", F.lit(1e6)))
 
 
 @query(
-    "i11_common_start_growth", "model date:d growth:6 drawdown:6",
-    """SELECT model, date, g AS growth, g / max(g) OVER (PARTITION BY model ORDER BY date) - 1 AS drawdown FROM (
+    "i11_common_start_growth", "model date:d log_growth:6 drawdown:6",
+    """SELECT model, date, ln(g) AS log_growth, g / max(g) OVER (PARTITION BY model ORDER BY date) - 1 AS drawdown FROM (
          SELECT model, date, product(1 + ls_return_net) OVER (PARTITION BY model ORDER BY date) AS g FROM mport
          WHERE date >= (SELECT max(f) FROM (SELECT min(date) AS f FROM mport GROUP BY model)))""",
     "mport",
 )
 def common_start(t):
-    return portfolio.common_start(model_portfolios(t))
+    return portfolio.common_start(model_portfolios(t)).withColumn("log_growth", F.ln("growth"))
 
 
 LAGS = [0, 1, 2, 3, 4]
@@ -302,7 +309,7 @@ for _lag in LAGS:
     " ".join(f"port{x}" for x in LAGS),
 )
 def alpha_decay(t):
-    return portfolio.alpha_decay(t.bars, t.calendar, scores(t), LAGS, max_group=t.n_symbols)
+    return portfolio.alpha_decay(t.bars, t.calendar, staged_scores(t), LAGS, max_group=t.n_symbols)
 
 
 DAYS = ["MON", "TUE", "WED", "THU", "FRI"]
@@ -326,10 +333,9 @@ for _d in DAYS:
     " ".join(f"pt_{d}" for d in DAYS),
 )
 def weekday_effect(t):
-    # Five bins over one symbol-partitioned grid; AQE reuses its shuffle across them.
     parts = None
     for day in DAYS:
-        s = portfolio.reversal_scores(weekly_r1w(t, day), t.profile, max_group=t.n_symbols)
+        s = stage(portfolio.reversal_scores(weekly_r1w(t, day), t.profile, max_group=t.n_symbols))
         r = target.trade_returns(t.bars, t.calendar, day)
         p = portfolio.long_short(s, r, max_group=t.n_symbols).withColumn("signal_day", F.lit(day))
         parts = p if parts is None else parts.unionByName(p)
@@ -356,11 +362,15 @@ def rank_scores(t):
     return ranked.select("date", "symbol", F.col("pct").alias("prediction"))
 
 
+def staged_ranks(t):
+    return t.staged("ranks", lambda: rank_scores(t))
+
+
 def calibration_bins(t):
     weekly = ts.weekly_last(t.bars, ["close"])
     excess = calibration.excess_returns(weekly, t.n_symbols)
     weeks = 600  # above the sample history; one row per symbol and week
-    return calibration.prediction_bins(rank_scores(t), excess, max_rows=t.n_symbols * weeks)
+    return calibration.prediction_bins(staged_ranks(t), excess, max_rows=t.n_symbols * weeks)
 
 
 view(
@@ -421,5 +431,5 @@ def grid(t):
 )
 def expected(t):
     table = calibration.calibrate(calibration_bins(t))
-    out = calibration.expected_return(rank_scores(t), table)
+    out = calibration.expected_return(staged_ranks(t), table)
     return out.withColumn("annual", calibration.annualize_weekly(F.col("exp_excess_ret")))

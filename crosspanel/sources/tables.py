@@ -7,12 +7,14 @@ its full output key, so partial aggregation collapses a hot supplier or day map-
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.functions import ts
+from crosspanel.session import stage
 
 
 def weekday_only(day: Column) -> Column:
@@ -26,6 +28,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._staged: dict[str, DataFrame] = {}
+
+    def staged(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A pipeline result that several later steps read, written once."""
+        if name not in self._staged:
+            self._staged[name] = stage(build())
+        return self._staged[name]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
