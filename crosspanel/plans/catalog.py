@@ -5,7 +5,10 @@ from crosspanel.plans import (  # noqa: F401
     forecast,
     joins,
     portfolio,
+    profiling,
+    research,
     sources,
+    technicals,
     timeseries,
     universe,
 )
