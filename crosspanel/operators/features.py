@@ -50,26 +50,35 @@ def macro_features(t: Tables) -> tuple[DataFrame, list[str]]:
     return df, cols
 
 
-def feature_columns(with_reports: bool = True) -> list[str]:
+def feature_columns(with_reports: bool = True, with_ratings: bool = False) -> list[str]:
     cols = [*factors.PRICE_FACTORS, *factors.MARKET_FACTORS, *[f"BETA_{m}" for m in BETA_MACROS]]
-    return cols + (fundamentals.FACTORS if with_reports else [])
+    cols += fundamentals.FACTORS if with_reports else []
+    return cols + (["UPDOWN1W_RATINGS"] if with_ratings else [])
 
 
 def feature_matrix(
     t: Tables, signal_day: str = "THU", whitelist: Sequence[str] | None = None,
-    with_reports: bool = True,
+    with_reports: bool = True, ratings: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str], list[str]]:
     """(date, symbol, factors...) sampled weekly, with factor and passthrough names.
 
     Passthrough columns are the same for every symbol of a week; they are sampled at day
     level and broadcast, never expanded to the daily grid.
     """
-    cols = feature_columns(with_reports)
+    cols = feature_columns(with_reports, ratings is not None)
     daily, passthrough = macro_features(t)
     if whitelist is not None:
         cols = keep_listed(cols, whitelist)
         passthrough = keep_listed(passthrough, whitelist)
-    weekly = ts.weekly_last(stock_factors(t, with_reports), cols, signal_day)
+    weekly = ts.weekly_last(
+        stock_factors(t, with_reports), [c for c in cols if c != "UPDOWN1W_RATINGS"], signal_day
+    )
+    if "UPDOWN1W_RATINGS" in cols:
+        # A symbol without actions is neutral, not missing.
+        balance = ts.weekly_last(
+            factors.rating_balance(ratings, t.calendar), ["UPDOWN1W_RATINGS"], signal_day
+        )
+        weekly = weekly.join(balance, ["date", "symbol"], "left").na.fill(0.0, ["UPDOWN1W_RATINGS"])
     if passthrough:
         common = ts.weekly_last(daily, passthrough, signal_day, keys=())
         weekly = weekly.join(F.broadcast(common), "date", "left")

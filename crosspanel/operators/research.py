@@ -143,7 +143,7 @@ def parse_briefs(texts: DataFrame, text: str = "text") -> DataFrame:
     lists, bad_lists = {}, []
     for k, limit in LIST_LIMITS.items():
         raw = F.when(kind(k) == "STRING", F.array(get(k, "string"))).otherwise(get(k, "array<string>"))
-        clean = F.filter(F.transform(raw, F.trim), lambda s: s != "")
+        clean = F.filter(F.transform(raw, lambda s: F.trim(s)), lambda s: s != "")
         lists[k] = F.slice(F.coalesce(clean, F.array().cast("array<string>")), 1, limit)
         ok = kind(k).isNull() | (kind(k) == "VOID") | (kind(k) == "STRING") | kind(k).startswith("ARRAY")
         bad_lists.append(F.when(~ok, F.lit(f"{k} must be a list")))

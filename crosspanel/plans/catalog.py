@@ -4,6 +4,7 @@ from crosspanel.plans import (  # noqa: F401
     factors,
     forecast,
     joins,
+    modelling,
     portfolio,
     profiling,
     research,

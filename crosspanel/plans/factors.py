@@ -292,6 +292,34 @@ def rating_balance(t):
     return factors.rating_balance(t.ratings, ts.calendar(weekdays))
 
 
+def marks(t):
+    """Dated up and down marks per symbol, from return flags."""
+    mark = F.when(F.col("l_returnflag") == "A", "upgrade").when(
+        F.col("l_returnflag") == "R", "downgrade"
+    ).otherwise("maintain")
+    return t.read("lineitem").select(
+        F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"), mark.alias("action")
+    )
+
+
+def revisions(t):
+    """Weekly balance of up and down marks per symbol."""
+    weekly = ts.weekly_last(factors.rating_balance(marks(t), t.calendar), ["UPDOWN1W_RATINGS"])
+    return weekly.withColumnRenamed("UPDOWN1W_RATINGS", "revision")
+
+
+view(
+    "revisions", "cal symbols",
+    f"""SELECT {week('date')} AS date, symbol, arg_max(rev, date) AS revision FROM (
+          SELECT c.date, s.symbol, coalesce(sum(k.net) OVER w / nullif(sum(k.total) OVER w, 0), 0) AS rev
+          FROM cal c CROSS JOIN symbols s LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS symbol,
+            sum(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) AS net, count(*) AS total FROM lineitem GROUP BY 1, 2) k
+            ON k.date = c.date AND k.symbol = s.symbol
+          WINDOW w AS (PARTITION BY s.symbol ORDER BY c.date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW))
+        GROUP BY 1, 2""",
+)
+
+
 # -- macro ------------------------------------------------------------------------
 
 MACRO_NAMES = list(features.MACROS.values())
@@ -410,17 +438,17 @@ view(
              LOW - lag(LOW, 5) OVER (ORDER BY t) AS LOW_D5 FROM mac) USING (t) GROUP BY 1""",
 )
 view(
-    "matrix", "w_e1 w_e2 w_e3 w_e4 w_risk w_mac w_fund w_pass",
-    """SELECT * FROM w_e1 JOIN w_e2 USING (date, symbol) JOIN w_e3 USING (date, symbol) JOIN w_e4 USING (date, symbol)
+    "matrix", "w_e1 w_e2 w_e3 w_e4 w_risk w_mac w_fund w_pass revisions",
+    """SELECT *, revision AS UPDOWN1W_RATINGS FROM w_e1 JOIN w_e2 USING (date, symbol) JOIN w_e3 USING (date, symbol) JOIN w_e4 USING (date, symbol)
        JOIN w_risk USING (date, symbol) JOIN w_mac USING (date, symbol) JOIN w_fund USING (date, symbol)
-       JOIN w_pass USING (date)""",
+       JOIN w_pass USING (date) JOIN revisions USING (date, symbol)""",
 )
-MATRIX = features.feature_columns()
+MATRIX = features.feature_columns(with_ratings=True)
 
 
 @query("e33_feature_matrix", spec([*MATRIX, *PASS], 4), "SELECT * FROM matrix", "matrix")
 def feature_matrix(t):
-    return features.feature_matrix(t)[0]
+    return features.feature_matrix(t, ratings=marks(t))[0]
 
 
 WHITELIST = ["R1W", "RSI14", "R1M", "VOL6M", "BETA6M", "NOT_A_FACTOR"]

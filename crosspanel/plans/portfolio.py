@@ -180,31 +180,6 @@ def reversal_baseline(t):
     return scores(t)
 
 
-def revisions(t):
-    """Weekly balance of up and down marks per symbol, from return flags."""
-    mark = F.when(F.col("l_returnflag") == "A", "upgrade").when(
-        F.col("l_returnflag") == "R", "downgrade"
-    ).otherwise("maintain")
-    events = t.read("lineitem").select(
-        F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"), mark.alias("action")
-    )
-    daily = factors.rating_balance(events, t.calendar)
-    weekly = ts.weekly_last(daily, ["UPDOWN1W_RATINGS"])
-    return weekly.withColumnRenamed("UPDOWN1W_RATINGS", "revision")
-
-
-view(
-    "revisions", "cal symbols",
-    f"""SELECT {week('date')} AS date, symbol, arg_max(rev, date) AS revision FROM (
-          SELECT c.date, s.symbol, coalesce(sum(k.net) OVER w / nullif(sum(k.total) OVER w, 0), 0) AS rev
-          FROM cal c CROSS JOIN symbols s LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS symbol,
-            sum(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) AS net, count(*) AS total FROM lineitem GROUP BY 1, 2) k
-            ON k.date = c.date AND k.symbol = s.symbol
-          WINDOW w AS (PARTITION BY s.symbol ORDER BY c.date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW))
-        GROUP BY 1, 2""",
-)
-
-
 @query(
     "i7_filtered_baseline", "date:d symbol prediction:6",
     """WITH e AS (SELECT date, list_distinct(quantile_cont(r1w, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges
@@ -216,7 +191,7 @@ view(
     "r1w_weekly revisions profile",
 )
 def filtered_baseline(t):
-    return portfolio.filtered_reversal_scores(weekly_r1w(t), revisions(t), t.profile, max_group=t.n_symbols)
+    return portfolio.filtered_reversal_scores(weekly_r1w(t), factor_plans.revisions(t), t.profile, max_group=t.n_symbols)
 
 
 MODELS = ["reversal", "trend", "cheap"]

@@ -84,7 +84,7 @@ def dispersion(t):
 
 def corr_sql(where: str) -> str:
     parts = [
-        f"SELECT date, '{a} / {b}' AS pair, corr({a}, {b}) AS corr FROM full_rows GROUP BY date HAVING count(*) > 10"
+        f"SELECT date, '{a} / {b}' AS pair, corr({a}, {b}) AS corr FROM full_rows GROUP BY date HAVING count(*) > 4"
         for a, b in combinations(COLS, 2)
     ]
     full = " AND ".join(f"{c} IS NOT NULL" for c in COLS)
@@ -93,13 +93,13 @@ def corr_sql(where: str) -> str:
 
 @query(
     "m5_factor_correlation", "date:d pair corr:6",
-    corr_sql("date = (SELECT max(date) FROM (SELECT date FROM four GROUP BY date HAVING " + " AND ".join(f"count({c}) > 20" for c in COLS) + "))"),
+    corr_sql("date = (SELECT max(date) FROM (SELECT date FROM four GROUP BY date HAVING " + " AND ".join(f"count({c}) > 8" for c in COLS) + "))"),
     "four",
 )
 def factor_correlation(t):
     df = four(t)
-    day = p.latest_full_date(df, COLS, 20).scalar()
-    return p.pair_correlations(df.filter(F.col("date") == day), COLS, 10)
+    day = p.latest_full_date(df, COLS, 8).scalar()
+    return p.pair_correlations(df.filter(F.col("date") == day), COLS, 4)
 
 
 @query(
@@ -110,7 +110,7 @@ def factor_correlation(t):
 def correlation_over_time(t):
     df = four(t)
     weeks = F.broadcast(p.sampled_weeks(df))
-    return p.pair_correlations(df.join(weeks, "date", "left_semi"), COLS, 10)
+    return p.pair_correlations(df.join(weeks, "date", "left_semi"), COLS, 4)
 
 
 def target(t):
