@@ -38,10 +38,13 @@ def dense_grid(bars: DataFrame, cal: DataFrame) -> DataFrame:
     Each bar is repeated over the calendar rows up to the symbol's next bar: ``px`` is
     the close carried forward and ``age`` the rows since that bar; ``close`` and ``volume``
     are null on the filled rows.
-    One shuffle by symbol; no calendar-by-symbol join is formed.
+    One shuffle by symbol; no calendar-by-symbol join is formed.  The partition count is
+    fixed: the rows multiply after this shuffle and windows follow, so merging partitions
+    by their bytes here would leave too few tasks.
     """
     extra = [c for c in bars.columns if c not in ("date", "symbol", "close", "volume")]
-    indexed = bars.join(F.broadcast(cal), "date").drop("date")
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    indexed = bars.join(F.broadcast(cal), "date").drop("date").repartition(tasks, "symbol")
     following = F.coalesce(F.lead("t").over(by_symbol()), F.col("n_days"))
     spans = indexed.withColumn("until", following - 1).withColumn("t0", F.col("t"))
     cells = spans.withColumn("t", F.explode(F.sequence("t0", "until")))
@@ -114,44 +117,50 @@ def rolling_median(col: Column, frame, min_count: int = 1) -> Column:
 EWM_BLOCK = 1024
 
 
-def ewm_mean(df: DataFrame, cols: Sequence[str], span_rows: int, names: Sequence[str]) -> DataFrame:
-    """Adjusted exponential mean with alpha = 1/span_rows and min_periods = span_rows.
+def ewm_means(df: DataFrame, cols: Sequence[str], spans: Sequence[int]) -> DataFrame:
+    """Adjusted exponential means with alpha = 1/span and min_periods = span.
 
-    Weighted sums run inside blocks of 1,024 rows, scaled by q^-r so that they are plain
-    running sums; the previous block's end value is carried in.  Weights older than that
-    are below 1e-15 for spans up to 30.
+    Adds ``{col}_ew{span}``.  Weighted sums run inside blocks of 1,024 rows, scaled by
+    q^-r so that they are plain running sums; the previous block's end value is carried
+    in.  Weights older than that are below 1e-15 for spans up to 30.  Every window here
+    is ordered by (block, row), so one sort serves all columns and spans.
     """
-    q = 1.0 - 1.0 / span_rows
     row = F.row_number().over(by_symbol()) - 1
-    df = df.withColumn("_b", F.floor(row / EWM_BLOCK)).withColumn("_r", row % EWM_BLOCK)
-    inside = (
-        Window.partitionBy("symbol", "_b").orderBy("t")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_k", row).withColumns(
+        {"_b": F.floor(F.col("_k") / EWM_BLOCK), "_r": F.col("_k") % EWM_BLOCK}
     )
-    before = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
-    grow, decay = F.pow(F.lit(q), -F.col("_r")), F.pow(F.lit(q), F.col("_r"))
+    upto = (Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("symbol", "_b").orderBy("_k").rowsBetween(*upto)
+    order = Window.partitionBy("symbol").orderBy("_b", "_k")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0.0)
     block = {}
     for c in cols:
-        x = F.col(c)
-        block[f"_n_{c}"] = F.coalesce(F.sum(x * grow).over(inside), F.lit(0.0)) * decay
-        block[f"_d_{c}"] = (
-            F.coalesce(F.sum(F.when(x.isNotNull(), grow)).over(inside), F.lit(0.0)) * decay
-        )
+        block[f"_seen_{c}"] = F.count(c).over(order.rowsBetween(*upto))
+        for n in spans:
+            q, x = F.lit(1.0 - 1.0 / n), F.col(c)
+            grow, decay = F.pow(q, -F.col("_r")), F.pow(q, F.col("_r"))
+            key = f"{c}_ew{n}"
+            block[f"_n_{key}"] = F.coalesce(F.sum(x * grow).over(inside), zero) * decay
+            block[f"_d_{key}"] = (
+                F.coalesce(F.sum(F.when(x.isNotNull(), grow)).over(inside), zero) * decay
+            )
     df = df.withColumns(block)
     at_end = F.col("_r") == EWM_BLOCK - 1
     out = {}
-    for c, name in zip(cols, names):
-        carried = {
-            k: F.coalesce(
-                F.last(F.when(at_end, F.col(f"_{k}_{c}")), ignorenulls=True).over(before),
-                F.lit(0.0),
-            ) * decay * q
-            for k in "nd"
-        }
-        seen = F.count(F.col(c)).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-        mean = ratio(F.col(f"_n_{c}") + carried["n"], F.col(f"_d_{c}") + carried["d"])
-        out[name] = F.when(seen >= span_rows, mean)
-    return df.withColumns(out).drop("_b", "_r", *block)
+    for c in cols:
+        for n in spans:
+            q, key = 1.0 - 1.0 / n, f"{c}_ew{n}"
+            decay = F.pow(F.lit(q), F.col("_r") + 1)
+            total = {
+                k: F.col(f"_{k}_{key}")
+                + decay * F.coalesce(
+                    F.last(F.when(at_end, F.col(f"_{k}_{key}")), ignorenulls=True).over(before), zero
+                )
+                for k in "nd"
+            }
+            out[key] = F.when(F.col(f"_seen_{c}") >= n, ratio(total["n"], total["d"]))
+    return df.withColumns(out).drop("_k", "_b", "_r", *block)
 
 
 def growth(ret: Column, window) -> Column:
@@ -167,6 +176,7 @@ def moving_sums(df: DataFrame, exprs: dict[str, Column], rows: int) -> DataFrame
     Rows are cut into blocks of the window length.  A window is then the tail of one
     block plus the head of the next, and both are running sums; nothing is subtracted,
     so no digits cancel.  A plain sliding frame re-adds every row of every window.
+    Heads and the final lag share one sort, tails need the reverse one.
     Nulls count as 0; pass an indicator expression to count values.
     """
     zero = F.lit(0.0)
@@ -174,14 +184,16 @@ def moving_sums(df: DataFrame, exprs: dict[str, Column], rows: int) -> DataFrame
     df = df.withColumn("_k", row).withColumns({n: F.coalesce(e, zero) for n, e in exprs.items()})
     df = df.withColumn("_blk", F.floor(F.col("_k") / rows))
     blk = Window.partitionBy("symbol", "_blk")
-    head = blk.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    tail = blk.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"_h_{n}": F.sum(n).over(head) for n in exprs})
+    upto = (Window.unboundedPreceding, 0)
+    tail = blk.orderBy(F.desc("_k")).rowsBetween(*upto)
+    head = blk.orderBy("_k").rowsBetween(*upto)
+    order = Window.partitionBy("symbol").orderBy("_blk", "_k")
     df = df.withColumns({f"_t_{n}": F.sum(n).over(tail) for n in exprs})
+    df = df.withColumns({f"_h_{n}": F.sum(n).over(head) for n in exprs})
     straddles = (F.col("_blk") > 0) & (F.col("_k") % rows < rows - 1)
     total = {
         n: F.col(f"_h_{n}")
-        + F.when(straddles, F.lag(f"_t_{n}", rows - 1).over(by_symbol())).otherwise(zero)
+        + F.when(straddles, F.lag(f"_t_{n}", rows - 1).over(order)).otherwise(zero)
         for n in exprs
     }
     parts = [f"_{p}_{n}" for n in exprs for p in "ht"]

@@ -60,12 +60,13 @@ def rsi(grid: DataFrame, spans: dict[str, int] | None = None) -> DataFrame:
     out = out.withColumns(
         {c: F.when(F.col("_move").isNotNull(), F.col(c)) for c in ("_gain", "_loss")}
     )
-    for name, span in spans.items():
-        out = ts.ewm_mean(out, ["_gain", "_loss"], span, ["_ag", "_al"])
-        out = out.withColumn(
-            name, 100 - 100 / (1 + ts.ratio(F.col("_ag"), F.col("_al")))
-        ).drop("_ag", "_al")
-    return out.drop("_move", "_gain", "_loss")
+    out = ts.ewm_means(out, ["_gain", "_loss"], list(spans.values()))
+    strength = {
+        name: 100 - 100 / (1 + ts.ratio(F.col(f"_gain_ew{n}"), F.col(f"_loss_ew{n}")))
+        for name, n in spans.items()
+    }
+    used = [f"_{k}_ew{n}" for k in ("gain", "loss") for n in spans.values()]
+    return out.withColumns(strength).drop("_move", "_gain", "_loss", *used)
 
 
 # -- market and macro series --------------------------------------------------------
@@ -159,15 +160,16 @@ def risk_factors(grid: DataFrame, market: DataFrame, full: bool = True,
     if not full:
         return out
     # Before beta exists the residual is the raw return.
-    for name, beta, rows in (("IVOL6M", "BETA6M", h), ("IVOL12M", "BETA12M", y)):
+    sums = {}
+    for k, beta in (("6", "BETA6M"), ("12", "BETA12M")):
         res = F.coalesce(r - c(beta) * m, r)
-        out = ts.moving_sums(
-            out, {"n": F.when(res.isNotNull(), one), "s": res, "ss": res * res}, rows
-        )
-        var = ts.sample_variance(c("n"), c("s"), c("ss"))
-        out = out.withColumn(name, F.when(c("n") >= rows // 2, F.sqrt(var) * ANNUAL)).drop(
-            "n", "s", "ss"
-        )
+        sums |= {f"n{k}": F.when(res.isNotNull(), one), f"s{k}": res, f"ss{k}": res * res}
+    out = ts.moving_sums(out, sums, h)
+    out = out.withColumns({k: ts.doubled(k, h) for k in ("n12", "s12", "ss12")})
+    for name, k, need in (("IVOL6M", "6", h // 2), ("IVOL12M", "12", y // 2)):
+        var = ts.sample_variance(c(f"n{k}"), c(f"s{k}"), c(f"ss{k}"))
+        out = out.withColumn(name, F.when(c(f"n{k}") >= need, F.sqrt(var) * ANNUAL))
+    out = out.drop(*sums)
     out = out.withColumns(
         {f"res{p}": ts.change("px", p) - c("BETA6M") * c(f"mkt_ret{p}") for p in RESIDUAL_PERIODS}
     )

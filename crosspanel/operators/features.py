@@ -18,21 +18,42 @@ BETA_MACROS = ["URGENT", "HIGH", "MEDIUM", "LOW"]
 RAW_RETURNS, RAW_CHANGES = ["URGENT", "HIGH"], ["LOW"]
 
 
-def stock_factors(t: Tables, with_reports: bool = True) -> DataFrame:
-    """Daily price, market, macro-beta and report factors on one grid.
+def weekly_factors(t: Tables, cols: Sequence[str], signal_day: str) -> DataFrame:
+    """The listed factors sampled weekly.
 
-    Everything is partitioned by symbol once: day series arrive by broadcast, reports
-    arrive partitioned by symbol, and all windows share that partitioning.
+    Each family is computed on its own narrow copy of the grid, which keeps sorts and
+    generated code small, and is cut to one row per week before the families are joined.
+    Families without a listed factor are not computed.
     """
-    cal = t.calendar
-    df = factors.r1w(t.grid)
-    df = factors.momentum(df)
-    df = factors.rsi(df)
-    df = factors.risk_factors(df, factors.market_series(cal, t.market)).drop("ret")
-    df = factors.series_sensitivity(df, macro_on_calendar(t), BETA_MACROS)
-    if with_reports:
-        df = fundamentals.daily_fundamentals(df, t.statements, cal)
-    return df
+    cal, grid = t.calendar, t.grid.select("symbol", "t", "date", "px", "close")
+    families = [
+        (factors.PRICE_FACTORS[:8], lambda: factors.rsi(factors.momentum(factors.r1w(grid)))),
+        (
+            [*factors.PRICE_FACTORS[8:], *factors.MARKET_FACTORS],
+            lambda: factors.risk_factors(
+                grid.select("symbol", "t", "date", "px"), factors.market_series(cal, t.market)
+            ),
+        ),
+        (
+            [f"BETA_{m}" for m in BETA_MACROS],
+            lambda: factors.series_sensitivity(
+                grid.select("symbol", "t", "date", "px"), macro_on_calendar(t), BETA_MACROS
+            ),
+        ),
+        (
+            fundamentals.FACTORS,
+            lambda: fundamentals.daily_fundamentals(
+                grid.select("symbol", "t", "date", "close"), t.statements, cal
+            ),
+        ),
+    ]
+    out = None
+    for names, build in families:
+        wanted = [c for c in cols if c in names]
+        if wanted:
+            weekly = ts.weekly_last(build(), wanted, signal_day)
+            out = weekly if out is None else out.join(weekly, ["symbol", "date"], "full_outer")
+    return out
 
 
 def macro_on_calendar(t: Tables) -> DataFrame:
@@ -70,9 +91,7 @@ def feature_matrix(
     if whitelist is not None:
         cols = keep_listed(cols, whitelist)
         passthrough = keep_listed(passthrough, whitelist)
-    weekly = ts.weekly_last(
-        stock_factors(t, with_reports), [c for c in cols if c != "UPDOWN1W_RATINGS"], signal_day
-    )
+    weekly = weekly_factors(t, cols, signal_day)
     if "UPDOWN1W_RATINGS" in cols:
         # A symbol without actions is neutral, not missing.
         balance = ts.weekly_last(

@@ -471,9 +471,7 @@ SMALL_PASS = ["URGENT_HI", "URGENT_R5"]
 
 def small_matrix(t):
     """Eight factors and two passthrough columns: the input of the normalization queries."""
-    df = factors.risk_factors(factors.r1w(t.grid), market(t))
-    df = fundamentals.daily_fundamentals(df, t.statements, t.calendar)
-    weekly = ts.weekly_last(df, SMALL)
+    weekly = features.weekly_factors(t, SMALL, "THU")
     daily, _ = features.macro_features(t)
     common = ts.weekly_last(daily, SMALL_PASS, keys=())
     return weekly.join(F.broadcast(common), "date", "left")

@@ -167,7 +167,8 @@ def trailing_four(t):
     "grid",
 )
 def exponential_mean(t):
-    return ts.ewm_mean(t.grid, ["close"], 14, ["ew"]).filter("ew is not null")
+    out = ts.ewm_means(t.grid, ["close"], [14]).withColumnRenamed("close_ew14", "ew")
+    return out.filter("ew is not null")
 
 
 @query(

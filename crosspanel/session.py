@@ -8,6 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# SQL settings the operators expect; results depend on the first only.
+SQL_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    # Joins on (symbol, t) may reuse a partitioning by symbol: a symbol's rows are bounded
+    # by the calendar, so this cannot create a hot partition.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Recording a Python call site for every column costs more than planning does.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def apply_settings(spark: SparkSession) -> None:
+    for key, value in SQL_SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators expect.
 
@@ -16,7 +32,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     """
     builder = (
         SparkSession.builder.appName("crosspanel")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -29,6 +44,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in SQL_SETTINGS.items():
+        builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
