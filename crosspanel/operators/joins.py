@@ -20,8 +20,8 @@ def with_default(df: DataFrame, table: DataFrame, on: str, col: str, default: st
 
 
 def next_session(cal: DataFrame) -> DataFrame:
-    """(day, t) for every calendar day: the first session on or after it."""
-    prev = F.coalesce(F.lag("date").over(Window.orderBy("t")), F.date_sub("date", 400))
+    """(day, t) for every day from the first session on: the first session not before it."""
+    prev = F.coalesce(F.lag("date").over(Window.orderBy("t")), F.date_sub("date", 1))
     return cal.withColumn("prev", prev).select(
         "t", F.explode(F.sequence(F.date_add("prev", 1), F.col("date"))).alias("day")
     )
@@ -34,12 +34,15 @@ def report_asof(reports: DataFrame, cols: Sequence[str], cal: DataFrame, lag_day
     ``exact`` keeps only reports whose effective day is itself a session.  Values are
     carried per column, so a null in a later report leaves the earlier value in force.
     """
-    eff = reports.withColumn("day", F.date_add("date", lag_days)).drop("date")
+    eff = reports.withColumn("eff", F.date_add("date", lag_days)).drop("date")
+    # Reports already in force before the first session count from it.
+    first = cal.agg(F.min("date")).scalar()
+    eff = eff.withColumn("day", F.col("eff") if exact else F.greatest("eff", first))
     days = cal.select("t", F.col("date").alias("day")) if exact else next_session(cal)
     rows = eff.join(F.broadcast(days), "day")
     # Two reports effective on one session: the later one stands, column by column.
     rows = rows.groupBy("symbol", "t").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("day"))).alias(c) for c in cols]
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("eff"))).alias(c) for c in cols]
     )
     w = Window.partitionBy("symbol").orderBy("t")
     rows = rows.select(
@@ -73,12 +76,15 @@ def first_after(bars: DataFrame, signal_day: str = "THU") -> DataFrame:
 
 def session_on_or_before(labels: DataFrame, cal: DataFrame) -> DataFrame:
     """Latest calendar date not after each label; one row per day of history."""
-    nxt = F.coalesce(F.lead("date").over(Window.orderBy("t")), F.date_add("date", 400))
+    nxt = F.coalesce(F.lead("date").over(Window.orderBy("t")), F.date_add("date", 1))
     days = cal.withColumn("next", nxt).select(
         F.col("date").alias("session"),
-        F.explode(F.sequence(F.col("date"), F.date_sub("next", 1))).alias("date"),
+        F.explode(F.sequence(F.col("date"), F.date_sub("next", 1))).alias("_day"),
     )
-    return labels.join(F.broadcast(days), "date", "left")
+    # A label past the last session is answered by that session.
+    last = cal.agg(F.max("date")).scalar()
+    capped = labels.withColumn("_day", F.least("date", last))
+    return capped.join(F.broadcast(days), "_day", "left").drop("_day")
 
 
 def in_interval(rows: DataFrame, spans: DataFrame) -> DataFrame:

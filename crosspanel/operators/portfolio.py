@@ -85,21 +85,21 @@ def long_short(scores: DataFrame, returns: DataFrame, adv: DataFrame | None = No
                threshold: float | dict[str, float] = 2.0e7, profile: DataFrame | None = None,
                cost_bps: float = 1.5, q: int = 5, keys: Sequence[str] = (),
                max_group: int | None = None, members: DataFrame | None = None,
-               return_keys: Sequence[str] = (), variants: DataFrame | None = None) -> DataFrame:
+               variants: dict[str, Sequence] | None = None) -> DataFrame:
     """Weekly long, short and net returns with turnover.
 
-    ``return_keys`` names keys only the returns carry (execution lags): ``variants``
-    lists them, and membership and turnover, which do not depend on them, are shared.
+    ``variants`` lists the values of keys that only the returns carry (execution lags);
+    membership and turnover do not depend on them and are computed once.
     Each basket's return is sum(scale * ret) / sum(scale), so weights are never formed.
     """
     dates = rebalance_dates(scores, keys)
     if members is None:
         members = long_short_members(scores, q, keys=keys, max_group=max_group)
     rows = mark_kept(with_scale(members, adv, threshold, profile), dates, keys).drop("prev", "_was")
-    every = [*keys, *return_keys]
-    if variants is not None:
-        rows = rows.join(F.broadcast(variants))
-        dates = dates.join(F.broadcast(variants))
+    every = [*keys, *(variants or {})]
+    for name, values in (variants or {}).items():
+        each = F.explode(F.array(*map(F.lit, values)))
+        rows, dates = rows.withColumn(name, each), dates.withColumn(name, each)
     on = [*[k for k in every if k in returns.columns], "date", "symbol"]
     rows = rows.join(returns.select(*on, "ret"), on, "left")
     ret = F.coalesce("ret", F.lit(0.0))
@@ -231,10 +231,8 @@ def alpha_decay(bars: DataFrame, cal: DataFrame, scores: DataFrame, lags: Sequen
     returns = forward_returns(weekly, cal, signal_day, keys=("lag",))
     if cap is not None:
         returns = returns.withColumn("ret", clip(F.col("ret"), cap))
-    spark = bars.sparkSession
-    variants = spark.createDataFrame([(x,) for x in lags], "lag int")
     p = long_short(scores, returns, cost_bps=cost_bps, max_group=max_group,
-                   return_keys=("lag",), variants=variants, **sizing)
+                   variants={"lag": lags}, **sizing)
     return performance(p, ["lag"])
 
 

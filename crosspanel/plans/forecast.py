@@ -254,7 +254,7 @@ view(
 
 @query(
     "j11_weekly_performance",
-    "signal_day target_date:d scope as_of_date:d n_long:i n_short:i long_ret:6 short_ret:6 ls_ret:6 ls_positive:i n_picks:i n_correct:i single_stock_hit_rate:6 bundle_retrain_date:d",
+    "signal_day target_date:d scope as_of_date:d n_long:i n_short:i long_ret:6 short_ret:6 ls_ret:6 ls_positive:0 n_picks:i n_correct:i single_stock_hit_rate:6 bundle_retrain_date:d",
     "SELECT * FROM weekly_perf", "weekly_perf",
 )
 def weekly_performance(t):

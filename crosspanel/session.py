@@ -20,8 +20,10 @@ SQL_SETTINGS = {
 
 
 def apply_settings(spark: SparkSession) -> None:
+    """Set on a running session whatever may still be set there."""
     for key, value in SQL_SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:

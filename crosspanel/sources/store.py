@@ -143,9 +143,13 @@ def unpivot_tenors(curve: DataFrame, tenors: Sequence[str]) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Replace only the partitions present in ``df``."""
+    """Replace only the partitions present in ``df``.
+
+    The rebalance hint gathers a partition's rows into few files and lets AQE split a
+    partition that holds a large share of the table over several tasks.
+    """
     (
-        df.repartition(*keys)
+        df.hint("rebalance", *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys)
