@@ -155,20 +155,36 @@ def membership_intervals(events: DataFrame, current: DataFrame) -> DataFrame:
         F.col("added").alias("symbol"), "date", "seq", F.lit(1).alias("kind")
     )
     log = out.unionByName(came)
-    w = Window.partitionBy("symbol").orderBy("date", "seq", "kind")
-    # Removals so far, the current row excluded: each stint ends with its removal.
+    # Ordered within a day only; between days one row per (symbol, day) carries the state,
+    # so a symbol with a large share of the log is spread over its days.
+    in_day = Window.partitionBy("symbol", "date").orderBy("seq", "kind")
     stint = F.coalesce(
-        F.sum(1 - F.col("kind")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        F.sum(1 - F.col("kind")).over(in_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    spans = (
-        log.withColumn("stint", stint)
-        .groupBy("symbol", "stint")
-        .agg(
-            F.max(F.when(F.col("kind") == 1, F.col("date"))).alias("date_added"),
-            F.max(F.when(F.col("kind") == 0, F.col("date"))).alias("date_removed"),
-        )
-        .drop("stint")
+    stints = log.withColumn("stint", stint).groupBy("symbol", "date", "stint").agg(
+        F.max("kind").alias("added"), F.min("kind").alias("kept")
     )
+    days = log.groupBy("symbol", "date").agg(
+        F.max_by("kind", F.struct("seq", "kind")).alias("open")
+    )
+    w = Window.partitionBy("symbol").orderBy("date")
+    days = days.withColumns(
+        {
+            "carried": F.when(F.lag("open").over(w) == 1, F.lag("date").over(w)),
+            "newest": F.lead("date").over(w).isNull(),
+        }
+    )
+    closed = stints.filter("kept = 0").join(days, ["symbol", "date"]).select(
+        "symbol",
+        F.when(F.col("added") == 1, F.col("date"))
+        .when(F.col("stint") == 0, F.col("carried"))
+        .alias("date_added"),
+        F.col("date").alias("date_removed"),
+    )
+    still_in = days.filter("newest and open = 1").select(
+        "symbol", F.col("date").alias("date_added"), F.lit(None).cast("date").alias("date_removed")
+    )
+    spans = closed.unionByName(still_in)
     unseen = current.join(spans, "symbol", "left_anti").select(
         "symbol", F.col("date_first_added").alias("date_added"),
         F.lit(None).cast("date").alias("date_removed"),

@@ -48,6 +48,11 @@ def schedule(weeks: DataFrame, train: int, val: int, retrain: int, window: str =
                        "val_to", "score_from", "score_to")
 
 
+def weeks_in(plan: DataFrame, first: str, last: str) -> DataFrame:
+    """One row per retrain and week of a date range of the plan, to join on equality."""
+    return plan.withColumn("date", F.explode(F.sequence(first, last, F.expr("interval 7 days"))))
+
+
 def assemble_fold(features: DataFrame, target: DataFrame, cols: Sequence[str],
                   first: Column, last: Column) -> DataFrame:
     """Feature rows of a date range with a target; missing features become 0."""

@@ -190,10 +190,9 @@ def validation_ic(t):
     """Each member's mean rank-IC over a retrain's validation weeks, per scored week."""
     p = plan(t)
     by_date = ic(t)
-    val = by_date.join(F.broadcast(p), F.col("date").between(F.col("val_from"), F.col("val_to")))
+    val = by_date.join(walkforward.weeks_in(p, "val_from", "val_to"), "date")
     per = val.groupBy("retrain_id", "model").agg(F.avg("ic").alias("val_ic"))
-    weeks = portfolio_plans.staged_scores(t).select("date").distinct()
-    scored = weeks.join(F.broadcast(p), F.col("date").between(F.col("score_from"), F.col("score_to")))
+    scored = walkforward.weeks_in(p, "score_from", "score_to")
     return scored.select("date", "retrain_id").join(per, "retrain_id").select("date", "model", "val_ic")
 
 
@@ -270,7 +269,7 @@ def versions(t):
     """One row per retrain: a run fingerprint over its weeks, and a hash of its spec."""
     weeks = portfolio_plans.staged_scores(t).select("date").distinct()
     p = plan(t)
-    used = weeks.join(F.broadcast(p), F.col("date").between(F.col("train_from"), F.col("val_to")))
+    used = weeks.join(walkforward.weeks_in(p, "train_from", "val_to"), "date")
     text = F.date_format("date", "yyyy-MM-dd")
     dated = used.groupBy("retrain_id", "retrain_date").agg(F.sort_array(F.collect_list(text)).alias("days"))
     parts = [F.lit("|".join(FEATURES)), F.lit("forest|gbt"), F.lit(f"{TRAIN},{VAL},{RETRAIN}"), F.lit("rolling")]
