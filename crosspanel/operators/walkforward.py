@@ -81,7 +81,7 @@ Fit = Callable[[DataFrame], object]
 
 def bagged_gbt(space: dict[str, tuple[float, float]], n_candidates: int, n_select: int,
                logs: Sequence[str] = ("stepSize",), ints: Sequence[str] = ("maxDepth", "maxIter"),
-               seed: int = 42, base: dict | None = None) -> Fit:
+               seed: int = 42, base: dict | None = None, max_group: int | None = None) -> Fit:
     """Random-parameter bag: fit candidates, keep the best by validation rank-IC."""
 
     def fit(fold: DataFrame):
@@ -90,7 +90,7 @@ def bagged_gbt(space: dict[str, tuple[float, float]], n_candidates: int, n_selec
             params = (base or {}) | draw_params(space, rng, logs, ints)
             model = gbt(**params, seed=seed + k).fit(fold)
             val = model.transform(fold.filter("is_val"))
-            ic = ensemble.rank_ic(val, "prediction", "target")
+            ic = ensemble.rank_ic(val, "prediction", "target", max_group=max_group)
             value = ensemble.mean_rank_ic(ic).first()[0]
             scored.append((value if value is not None else float("-inf"), k, model))
         scored.sort(key=lambda s: (-s[0], s[1]))
@@ -120,7 +120,8 @@ def score(model, rows: DataFrame, keep: Sequence[str] = ("date", "symbol")) -> D
 
 
 def walk_forward(features: DataFrame, target: DataFrame, cols: Sequence[str], plan: DataFrame,
-                 members: dict[str, Fit]) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 members: dict[str, Fit],
+                 max_group: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit every member at each retrain and score the weeks of its block.
 
     Returns predictions (date, symbol, model, prediction), validation rank-IC per
@@ -140,8 +141,8 @@ def walk_forward(features: DataFrame, target: DataFrame, cols: Sequence[str], pl
             model = fit(fold)
             preds.append(score(model, vec.transform(weeks)).withColumn("model", F.lit(name)))
             val = score(model, fold.filter("is_val"), ["date", "symbol", "target"])
-            ic = ensemble.mean_rank_ic(ensemble.rank_ic(val, "prediction", "target"))
-            value = ic.first()[0]
+            ic = ensemble.rank_ic(val, "prediction", "target", max_group=max_group)
+            value = ensemble.mean_rank_ic(ic).first()[0]
             ics.append((row.retrain_id, row.score_from, row.score_to, name, value))
             first = model[0] if isinstance(model, list) else model
             for c, v in zip(cols, first.featureImportances.toArray().tolist()):
@@ -161,24 +162,31 @@ def walk_forward(features: DataFrame, target: DataFrame, cols: Sequence[str], pl
 
 
 def permutation_importance(model, fold: DataFrame, cols: Sequence[str], label: str = "target",
-                           seed: int = 7) -> list[tuple[str, float]]:
+                           seed: int = 7, max_group: int = 0) -> list[tuple[str, float]]:
     """Drop in mean rank-IC when one column's values are exchanged between rows.
 
-    A column is permuted inside each date by pairing two random orders of its rows.
+    A column is permuted inside each date by pairing two random orders of its rows.  Dates
+    above 100,000 rows are first cut into random parts, each permuted on its own.
     """
+    parts = max(1, max_group // 100_000)
+
     def quality(rows):
-        ic = ensemble.rank_ic(score(model, rows, ["date", "symbol", label]), "prediction", label)
+        scored = score(model, rows, ["date", "symbol", label])
+        ic = ensemble.rank_ic(scored, "prediction", label, max_group=max_group)
         return ensemble.mean_rank_ic(ic).first()[0] or 0.0
 
     vec = _vector(cols)
     base = quality(vec.transform(fold.drop("features")))
     out = []
     for c in cols:
-        a = Window.partitionBy("date").orderBy(F.xxhash64("symbol", F.lit(seed)), "symbol")
-        b = Window.partitionBy("date").orderBy(F.xxhash64("symbol", F.lit(seed + 1)), "symbol")
-        left = fold.drop("features").withColumn("_k", F.row_number().over(a)).drop(c)
-        right = fold.select("date", c, F.row_number().over(b).alias("_k"))
-        shuffled = left.join(right, ["date", "_k"]).drop("_k")
+        rows = fold.drop("features").withColumn(
+            "_s", F.pmod(F.xxhash64("symbol", F.lit(seed + 2)), F.lit(parts))
+        )
+        w = Window.partitionBy("date", "_s")
+        one, two = (w.orderBy(F.xxhash64("symbol", F.lit(seed + i)), "symbol") for i in (0, 1))
+        left = rows.withColumn("_k", F.row_number().over(one)).drop(c)
+        right = rows.select("date", "_s", c, F.row_number().over(two).alias("_k"))
+        shuffled = left.join(right, ["date", "_s", "_k"]).drop("_s", "_k")
         out.append((c, base - quality(vec.transform(shuffled))))
     return out
 

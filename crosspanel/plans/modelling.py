@@ -78,7 +78,7 @@ def model_inputs(t):
 
 def trained(t, members):
     big = walkforward.schedule(profiling_plans.four(t), BIG_TRAIN, BIG_VAL, BIG_RETRAIN)
-    return walkforward.walk_forward(*model_inputs(t), FEATURES, big, members)
+    return walkforward.walk_forward(*model_inputs(t), FEATURES, big, members, t.n_symbols)
 
 
 def gbt_member(fold):
@@ -102,7 +102,9 @@ def random_forest(t):
 
 @query("h5_random_parameter_bag", "date:d symbol prediction:6")
 def parameter_bag(t):
-    bag = walkforward.bagged_gbt(BAG_SPACE, 3, 2, base={"maxIter": 5, "maxBins": 16})
+    bag = walkforward.bagged_gbt(
+        BAG_SPACE, 3, 2, base={"maxIter": 5, "maxBins": 16}, max_group=t.n_symbols
+    )
     return trained(t, {"bag": bag})[0]
 
 
@@ -129,7 +131,7 @@ def permutation_importance(t):
     fold = z.na.fill(0.0).join(y, ["date", "symbol"])
     fold = t.staged("fold", lambda: fold.withColumn("is_val", F.col("date") >= F.lit("2000-06-01").cast("date")))
     model = gbt_member(walkforward._vector(FEATURES).transform(fold))
-    out = walkforward.permutation_importance(model, fold.filter("is_val"), FEATURES)
+    out = walkforward.permutation_importance(model, fold.filter("is_val"), FEATURES, max_group=t.n_symbols)
     return t.spark.createDataFrame(out, "feature string, delta_ic double")
 
 
