@@ -51,20 +51,24 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+_local_stage_dir: str | None = None
+
+
 def stage_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only on a local master, where the driver and the
-    executors are one process.
+    Only where that is unset and the master is local, where the driver and the executors are
+    one process, does a temporary folder stand in; it is kept here, not in the session.
     """
+    global _local_stage_dir
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if _local_stage_dir is None:
+        _local_stage_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_stage_dir
 
 
 def stage(df: DataFrame) -> DataFrame:
