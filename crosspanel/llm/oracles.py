@@ -60,4 +60,91 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM g
 """
 
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2, "op9_quality": OP9}
+
+def _digest(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+def _rounds(seed: int, rounds: int) -> str:
+    """Nested selects that send x through the Feistel network; keeps the other columns."""
+    sql = "SELECT r, n, x % a AS l, x // a AS h, a, b FROM walk WHERE x >= n OR step = 0"
+    for i in range(rounds):
+        half, size, other = ("l", "a", "h") if i % 2 == 0 else ("h", "b", "l")
+        mixed = f"({half} + {_digest(f"'{seed}:{i}:' || {other}")}) % {size} AS {half}"
+        sql = f"SELECT r, n, {mixed}, {other}, a, b FROM ({sql})"
+    return sql
+
+
+OP3 = f"""
+WITH RECURSIVE table_of AS (
+    SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1
+        THEN xor(c // 2, 3988292384) ELSE c // 2 END, n) ORDER BY n) AS tab
+    FROM range(256) AS t(n)),
+d AS (
+    SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, hex(encode(coalesce(text, ''))) AS hx
+    FROM documents),
+c AS (
+    SELECT doc_id, size, xor(4294967295, list_reduce(range(1, len(hx), 2), lambda c, i:
+        xor(c // 256, tab[xor(c % 256, CAST('0x' || substr(hx, i, 2) AS BIGINT)) + 1]),
+        CAST(4294967295 AS BIGINT))) AS text_crc32 FROM d, table_of),
+o AS (
+    SELECT *, row_number() OVER (ORDER BY {_digest("coalesce(CAST(doc_id AS VARCHAR), 'null') || ',' || text_crc32 || ',' || size")},
+        doc_id NULLS FIRST, text_crc32, size) - 1 AS r, count(*) OVER () AS n FROM c),
+walk AS (
+    SELECT r, n, r AS x, 0 AS step, CAST(ceil(sqrt(n)) AS BIGINT) AS a,
+        CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS b FROM o
+    UNION ALL
+    SELECT r, n, h * a + l, 1, a, b FROM ({_rounds(1, 6)}))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law,
+    CAST(x % 40 AS INTEGER) AS shard, CAST(x // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM o JOIN walk USING (r) WHERE step = 1 AND x < walk.n
+"""
+
+OP7 = rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (
+    SELECT source, sum(size) AS source_size,
+        ([5, 2, 1])[1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS weight
+    FROM d GROUP BY source),
+share AS (
+    SELECT 0 AS step, source, source_size, weight, CAST(0 AS DOUBLE) AS target,
+        CAST((SELECT sum(size) FROM d) AS DOUBLE) AS rest FROM s
+    UNION ALL
+    SELECT step + 1, source, source_size, weight, new_target, rest_of - sum(new_target) OVER () FROM (
+        SELECT *, least(3.0 * source_size, target + CASE WHEN target < 3.0 * source_size
+            THEN rest * weight / sum(CASE WHEN target < 3.0 * source_size THEN weight ELSE 0 END) OVER ()
+            ELSE 0 END) AS new_target, rest + sum(target) OVER () AS rest_of FROM share)
+    WHERE step < 60),
+goal AS (SELECT source, source_size, round(target, 6) AS target FROM share WHERE step = 60),
+o AS (
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY {_digest("coalesce(CAST(doc_id AS VARCHAR), 'null') || ',' || size")}
+        ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+    CAST(CASE WHEN size = 0 THEN 0 ELSE size * (
+        (start + size / 2 < target)::INT + (start + size / 2 + source_size < target)::INT
+        + (start + size / 2 + 2 * source_size < target)::INT) END AS BIGINT) AS taken
+FROM o JOIN goal ON o.source IS NOT DISTINCT FROM goal.source
+"""
+
+OP10 = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+            FILTER (WHERE role = 'assistant'), '') AS loss,
+        sum(6 + 6 + 5 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))
+            + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))) AS chars
+    FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+    sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+FROM c
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2, "op3_shard": OP3, "op7_mix": OP7, "op9_quality": OP9, "op10_chat": OP10,
+}

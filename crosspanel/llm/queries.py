@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import decontaminate, quality, toxicity
+from crosspanel.llm import chat, decontaminate, mixing, quality, sharding, toxicity
 from crosspanel.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -38,11 +38,53 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(_table(spark, sf_dir, "documents")).withColumn(
+        "position", F.get("positions", F.lit(0))
+    )
+    return mixing.in_order(planned).select(
+        "doc_id", "size", "source_size", "target",
+        (F.col("size") * F.size("positions")).cast("long").alias("taken"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.cascade(_table(spark, sf_dir, "documents"), with_stats=True)
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", probe), (-1, 1, "assistant", probe)],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    answers = F.filter("turns", lambda t: t["role"] == "assistant")
+    loss = F.array_join(F.transform(answers, lambda t: t["text"]), "")
+    return (
+        chat.format_chat(rows.unionByName(extra))
+        .withColumn("turns", chat.read_back(F.col("formatted")))
+        .withColumn("loss", loss)
+        .select(
+            "conv_id",
+            F.size("turns").cast("long").alias("n_turns"),
+            F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+            F.length("loss").cast("long").alias("loss_chars"),
+            F.sha2("loss", 256).alias("loss_sha256"),
+            F.length("formatted").cast("long").alias("formatted_chars"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontaminate, op9_quality)
+    f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_shard, op7_mix, op9_quality, op10_chat)
 }
