@@ -145,6 +145,84 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 FROM c
 """
 
+
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789:/._?=&#%-~$"
+
+
+def _levels(order: int) -> str:
+    """The smoothed models of each context length, from counts g (ctx, c, a, r) and ctxs."""
+    ctes = []
+    for k in range(order + 1):
+        below = (f"JOIN level{k - 1} AS q ON q.ctx = substr(x.ctx, 2) AND q.c = x.c" if k else
+                 f"CROSS JOIN (SELECT 1.0::DOUBLE / {len(_ALPHABET)} AS p_a, 1.0::DOUBLE / {len(_ALPHABET)} AS p_r) AS q")
+        ctes.append(f"""
+level{k} AS (
+    SELECT x.ctx, x.c, (coalesce(g.a, 0) + 4.0::DOUBLE * q.p_a) / (x.ctx_a + 4.0::DOUBLE) AS p_a,
+        (coalesce(g.r, 0) + 4.0::DOUBLE * q.p_r) / (x.ctx_r + 4.0::DOUBLE) AS p_r, q.p_a AS b_a, q.p_r AS b_r
+    FROM (SELECT ctxs.*, l.c FROM ctxs, letters AS l WHERE length(ctx) = {k}) AS x
+    LEFT JOIN g ON g.ctx = x.ctx AND g.c = x.c {below})""")
+    return ",".join(ctes)
+
+
+OP5 = rf"""
+WITH p AS (
+    SELECT page_id, coalesce(url, '') AS url,
+        translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+    FROM pages),
+hp AS (
+    SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path,
+        '^' || regexp_replace(low, '[^a-z0-9:/._?=&#%-]', '~', 'g') || '$' AS s
+    FROM p),
+ruled AS (
+    SELECT *, CASE
+        WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+        WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+    FROM hp),
+tabs AS (
+    SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1
+        THEN xor(c // 2, 3988292384) ELSE c // 2 END, n) ORDER BY n) AS tab
+    FROM range(256) AS t(n)),
+u AS (
+    SELECT s, count(*) FILTER (WHERE rule IN ('org/', 'com/fr/')) AS accepted,
+        count(*) FILTER (WHERE rule IN ('example.org/en/1', 'example.org/es/', 'com/de/')) AS rejected
+    FROM ruled GROUP BY s),
+e AS (
+    SELECT u.*, xor(4294967295, list_reduce(range(1, length(s) + 1), lambda c, i:
+        xor(c // 256, tab[xor(c % 256, ascii(substr(s, i, 1))) + 1]), CAST(4294967295 AS BIGINT))) % 5 <> 0 AS train
+    FROM u, tabs),
+grams AS (
+    SELECT s, accepted, rejected, train, substr(s, i, k) AS gram
+    FROM e, unnest(range(1, length(s) + 1)) AS t(i), unnest(range(1, 6)) AS v(k)
+    WHERE i + k - 1 <= length(s) AND substr(s, i, k) <> '^'),
+g AS (
+    SELECT left(gram, length(gram) - 1) AS ctx, right(gram, 1) AS c, sum(accepted) AS a, sum(rejected) AS r
+    FROM grams WHERE train AND accepted + rejected > 0 GROUP BY gram),
+ctxs AS (
+    SELECT ctx, sum(a) AS ctx_a, sum(r) AS ctx_r FROM g GROUP BY ctx
+    HAVING ctx = '' OR sum(a) + sum(r) >= 16),
+letters AS (SELECT unnest(string_split('{_ALPHABET}', '')) AS c),{_levels(4)},
+model AS ({" UNION ALL ".join(f"SELECT ctx || c AS gram, ln(p_a / p_r) - ln(b_a / b_r) AS change FROM level{k}" for k in range(5))}),
+scored AS (
+    SELECT s, round(sum(change) / (length(s) - 1), 6) AS score FROM grams JOIN model USING (gram) GROUP BY s),
+bins AS (
+    SELECT floor(score * 100) AS bin, sum(accepted) AS a, sum(rejected) AS r
+    FROM e JOIN scored USING (s) WHERE NOT train AND accepted + rejected > 0 GROUP BY 1),
+gaps AS (
+    SELECT bin, round(sum(a) OVER w / sum(a) OVER () - sum(r) OVER w / sum(r) OVER (), 9) AS gap,
+        sum(a) OVER () AS all_a, sum(r) OVER () AS all_r
+    FROM bins WINDOW w AS (ORDER BY bin DESC)),
+best AS (SELECT bin / 100.0 AS threshold FROM gaps WHERE all_a > 0 AND all_r > 0 ORDER BY gap DESC, abs(bin), bin LIMIT 1)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN coalesce(score, 0) >= coalesce((SELECT threshold FROM best), 0) THEN 'allow' ELSE 'block' END AS verdict
+FROM ruled LEFT JOIN scored USING (s)
+"""
+
 ORACLES: dict[str, str] = {
-    "op2_decontaminate": OP2, "op3_shard": OP3, "op7_mix": OP7, "op9_quality": OP9, "op10_chat": OP10,
+    "op2_decontaminate": OP2, "op3_shard": OP3, "op5_url_filter": OP5, "op7_mix": OP7,
+    "op9_quality": OP9, "op10_chat": OP10,
 }
