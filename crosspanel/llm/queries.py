@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import chat, decontaminate, mixing, quality, sharding, toxicity, urls
+from crosspanel.llm import chat, decontaminate, mixing, quality, sharding, tokens, toxicity, urls
 from crosspanel.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -45,6 +45,10 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).select(
         "page_id", "host", "path", "rule", "verdict"
@@ -92,5 +96,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_shard, op5_url_filter, op7_mix, op9_quality, op10_chat)
+    f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_shard, op4_tokens, op5_url_filter, op7_mix, op9_quality, op10_chat)
 }
