@@ -222,7 +222,24 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 FROM ruled LEFT JOIN scored USING (s)
 """
 
+OP6 = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+later AS (
+    SELECT doc_id, i FROM (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY ws[i : i + 19] ORDER BY doc_id, i) AS nth
+        FROM d, unnest(range(1, len(ws) - 18)) AS t(i) WHERE len(ws) >= 20) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM later, unnest(range(i, i + 20)) AS t(j)),
+word AS (SELECT doc_id, j, ws[j] AS w FROM d, unnest(range(1, len(ws) + 1)) AS t(j)),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY j) AS text
+    FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
-    "op2_decontaminate": OP2, "op3_shard": OP3, "op5_url_filter": OP5, "op7_mix": OP7,
-    "op9_quality": OP9, "op10_chat": OP10,
+    "op2_decontaminate": OP2, "op3_shard": OP3, "op5_url_filter": OP5, "op6_substrings": OP6,
+    "op7_mix": OP7, "op9_quality": OP9, "op10_chat": OP10,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import chat, decontaminate, mixing, quality, sharding, tokens, toxicity, urls
+from crosspanel.llm import chat, decontaminate, mixing, quality, sharding, substrings, tokens, toxicity, urls
 from crosspanel.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -55,6 +55,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(_table(spark, sf_dir, "documents")).withColumn(
         "position", F.get("positions", F.lit(0))
@@ -96,5 +100,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_shard, op4_tokens, op5_url_filter, op7_mix, op9_quality, op10_chat)
+    f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_shard, op4_tokens, op5_url_filter, op6_substrings, op7_mix, op9_quality, op10_chat)
 }
