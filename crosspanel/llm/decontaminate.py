@@ -132,6 +132,49 @@ def _result(rows: dict) -> dict:
     }
 
 
+def _searches(benchmark: DataFrame, window: int, item_col: str, item_text_col: str, block_patterns: int):
+    """One maker per block of patterns: called, it broadcasts the block and gives the search."""
+    pairs = stage(patterns(benchmark, window, item_col, item_text_col))
+    n_blocks = max(1, -(-pairs.count() // block_patterns))
+    block = F.pmod(F.xxhash64("seq", "item"), F.lit(n_blocks))
+
+    def maker(b: int):
+        rows = [(bytes(r.seq), r.item) for r in pairs.filter(block == b).collect()]
+        return _search(uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(rows))
+
+    return [partial(maker, b) for b in range(n_blocks)]
+
+
+def clean_rows(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    block_patterns: int = BLOCK_PATTERNS,
+) -> DataFrame:
+    """The rows of ``docs`` without any hit, all columns as they are."""
+    searches = _searches(benchmark, window, item_col, item_text_col, block_patterns)
+    for i, search in enumerate(searches):
+        docs = docs.mapInArrow(_clean(search(), text_col), docs.schema)
+        if i + 1 < len(searches):
+            docs = stage(docs)
+    return docs
+
+
+def _clean(search, text_col: str):
+    def run(batches):
+        apply = search()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
+            none = [None] * len(texts)
+            hits = apply({"doc_id": none, "text": texts, "hit": none, "items": none})["hit"]
+            yield batch.filter(pa.array([h is None for h in hits], pa.bool_()))
+
+    return run
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -143,10 +186,7 @@ def decontaminate(
     block_patterns: int = BLOCK_PATTERNS,
 ) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence), items (sorted as strings), contaminated."""
-    spark = docs.sparkSession
-    pairs = stage(patterns(benchmark, window, item_col, item_text_col))
-    n_blocks = max(1, -(-pairs.count() // block_patterns))
-    block = F.pmod(F.xxhash64("seq", "item"), F.lit(n_blocks))
+    searches = _searches(benchmark, window, item_col, item_text_col, block_patterns)
     fields = [("doc_id", pa.int64()), ("text", pa.binary()), ("hit", pa.binary()),
               ("items", pa.list_(pa.string()))]
     ddl = "doc_id long, text binary, hit binary, items array<string>"
@@ -157,14 +197,13 @@ def decontaminate(
     final = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
                        ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())])
     final_ddl = "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean"
-    for b in range(n_blocks):
-        rows = [(bytes(r.seq), r.item) for r in pairs.filter(block == b).collect()]
-        search = _search(uuid.uuid4().hex, spark.sparkContext.broadcast(rows))
-        if b + 1 < n_blocks:
-            state = stage(state.mapInArrow(map_rows(search, names, pa.schema(fields)), ddl))
+    *early, search = searches
+    for earlier in early:
+        state = stage(state.mapInArrow(map_rows(earlier(), names, pa.schema(fields)), ddl))
+    final_search = search()
 
     def last():
-        apply = search()
+        apply = final_search()
         return lambda rows: _result(apply(rows))
 
     return state.mapInArrow(map_rows(last, names, final), final_ddl)

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspanel.llm import chat, decontaminate, mixing, quality, sharding, substrings, tokens, toxicity, urls
+from crosspanel.llm import (
+    chat,
+    decontaminate,
+    mixing,
+    neardup,
+    quality,
+    sharding,
+    substrings,
+    tokens,
+    toxicity,
+    urls,
+)
 from crosspanel.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -69,6 +80,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.cascade(_table(spark, sf_dir, "documents"), with_stats=True)
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept")
@@ -100,5 +115,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_shard, op4_tokens, op5_url_filter, op6_substrings, op7_mix, op9_quality, op10_chat)
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_decontaminate, op3_shard, op4_tokens, op5_url_filter, op6_substrings,
+        op7_mix, op8_near_duplicates, op9_quality, op10_chat,
+    )
 }
