@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crosspanel.llm.text import folded_words, map_rows, with_bytes
 
@@ -227,4 +228,5 @@ def scored_rows(docs: DataFrame, model: bytes | None, text_col: str = "text") ->
             yield batch.append_column("toxic_score", pa.array(apply({"text": texts})["score"]))
 
     base = docs.drop("toxic_score")
-    return base.mapInArrow(run, base.schema.add("toxic_score", "double"))
+    schema = T.StructType([*base.schema.fields, T.StructField("toxic_score", T.DoubleType())])
+    return base.mapInArrow(run, schema)
