@@ -40,9 +40,9 @@ KEY = ["doc_id", "source", "size", "text_hash"]
 
 
 def keyed(
-    docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", keep: bool = False
+    docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", whole: bool = False
 ) -> DataFrame:
-    """The key of each row; beside its columns, with names after an underscore, if ``keep``."""
+    """The key of each row; with the row itself as a struct, if ``whole``."""
     words = F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"))
     key = {
         "doc_id": F.col(id_col).cast("long"),
@@ -50,9 +50,8 @@ def keyed(
         "size": F.coalesce(words, F.lit(0)).cast("long"),
         "text_hash": F.xxhash64(F.col(text_col)),
     }
-    if keep:
-        return docs.withColumns({f"_{name}": col for name, col in key.items()})
-    return docs.select(*[col.alias(name) for name, col in key.items()])
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")] if whole else []
+    return docs.select(*row, *[col.alias(name) for name, col in key.items()])
 
 
 def digest_key(*cols: str) -> Column:
@@ -145,20 +144,19 @@ def in_order(rows: DataFrame, position: str = "position") -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, range-sorted by training position."""
-    names = docs.columns
     taken = plan(docs, **options).filter(F.size("positions") > 0).select(
-        digest_key(*KEY).alias("_key"), F.col("copy").alias("_copy"),
-        F.col("positions").alias("_positions"),
+        digest_key(*KEY).alias("key"), "copy", "positions"
     )
     # Equal rows are told apart by number; the join needs no other shuffle than this window's.
-    each = W.partitionBy("_key").orderBy(F.lit(0))
-    key = keyed(docs, keep=True, **options)
-    rows = key.select(*names, digest_key(*[f"_{c}" for c in KEY]).alias("_key")).withColumn(
-        "_copy", (F.row_number().over(each) - 1).cast("long")
+    each = W.partitionBy("key").orderBy(F.lit(0))
+    rows = (
+        keyed(docs, whole=True, **options)
+        .select("whole", digest_key(*KEY).alias("key"))
+        .withColumn("copy", (F.row_number().over(each) - 1).cast("long"))
     )
     return (
-        rows.join(taken, ["_key", "_copy"])
-        .withColumn("_position", F.explode("_positions"))
-        .orderBy("_position", "_key")
-        .select(*names)
+        rows.join(taken, ["key", "copy"])
+        .select("whole", "key", F.explode("positions").alias("position"))
+        .orderBy("position", "key")
+        .select("whole.*")
     )

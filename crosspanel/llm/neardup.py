@@ -258,13 +258,15 @@ def _similar(least: float):
     return run
 
 
-def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (the id; nulls first), tid (md5 of the text), text (bytes)."""
+def identified(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
+) -> DataFrame:
+    """key (the id; nulls first), tid (md5 of the text), and text (bytes) or the ``whole`` row."""
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"),
         F.unhex(F.md5(text)).alias("tid"),
-        text.alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole") if whole else text.alias("text"),
     )
 
 
@@ -362,11 +364,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each class: that of least id.  Of equal rows one stays."""
     found = near_duplicates(docs, similarity, id_col, text_col)
-    keep = found.select(F.col("class_key").alias("_key"), F.col("class_tid").alias("_tid")).distinct()
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.withColumns({
-        "_key": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_tid": F.unhex(F.md5(text)),
-    })
-    each = W.partitionBy("_key", "_tid").orderBy(F.lit(0))
-    kept = rows.join(keep, ["_key", "_tid"]).withColumn("_n", F.row_number().over(each))
-    return kept.filter("_n = 1").select(*docs.columns)
+    keep = found.select(F.col("class_key").alias("key"), F.col("class_tid").alias("tid")).distinct()
+    rows = identified(docs, id_col, text_col, whole=True)
+    each = W.partitionBy("key", "tid").orderBy(F.lit(0))
+    kept = rows.join(keep, ["key", "tid"]).withColumn("nth", F.row_number().over(each))
+    return kept.filter("nth = 1").select("whole.*")

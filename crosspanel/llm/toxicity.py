@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from crosspanel.llm.text import folded_words, map_rows, with_bytes
 
@@ -216,17 +215,17 @@ def score(docs: DataFrame, model: bytes | None, text_col: str = "text") -> DataF
     )
 
 
-def scored_rows(docs: DataFrame, model: bytes | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``toxic_score`` appended, for filters that keep whole rows."""
+def accepted_rows(
+    docs: DataFrame, model: bytes | None, limit: float = 0.5, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that score under ``limit``, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         apply = _score(shared)()
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            yield batch.append_column("toxic_score", pa.array(apply({"text": texts})["score"]))
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
+            scores = apply({"text": texts.to_pylist()})["score"]
+            yield batch.filter(pa.array([s < limit for s in scores], pa.bool_()))
 
-    base = docs.drop("toxic_score")
-    schema = T.StructType([*base.schema.fields, T.StructField("toxic_score", T.DoubleType())])
-    return base.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
