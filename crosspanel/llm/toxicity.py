@@ -118,6 +118,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Machine:
             chosen = order[at : at + BATCH]
             sizes = np.array([len(docs[i]) for i in chosen])
             terms = np.concatenate([docs[i] for i in chosen])
+            if not len(terms):
+                continue
             row = np.repeat(np.arange(len(chosen)), sizes)
             xs = x[terms]
             vx = v[terms] * xs[:, None]
