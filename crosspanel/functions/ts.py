@@ -7,6 +7,7 @@ exceeds the calendar length, however many raw rows a hot symbol has.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,53 +115,60 @@ def rolling_median(col: Column, frame, min_count: int = 1) -> Column:
     return F.when(F.count(col).over(frame) >= min_count, array_median(values))
 
 
-EWM_BLOCK = 1024
+# Within a block of an exponential mean q^-r stays below EWM_GROWTH; OLD_BLOCKS blocks are
+# carried in, so what is left out weighs less than 1e-36 of the newest value.
+EWM_GROWTH = 1e6
+OLD_BLOCKS = 6
 
 
 def ewm_means(df: DataFrame, cols: Sequence[str], spans: Sequence[int]) -> DataFrame:
     """Adjusted exponential means with alpha = 1/span and min_periods = span.
 
-    Adds ``{col}_ew{span}``.  Weighted sums run inside blocks of 1,024 rows, scaled by
-    q^-r so that they are plain running sums; the previous block's end value is carried
-    in.  Weights older than that are below 1e-15 for spans up to 30.  Every window here
-    is ordered by (block, row), so one sort serves all columns and spans.
+    Adds ``{col}_ew{span}``.  With q = 1 - 1/span, weighted sums run inside blocks of rows,
+    scaled by q^-r so that they are plain running sums; the block length follows from the
+    span, so any span can be held.  The sums at the ends of the blocks before are carried
+    in.  A null keeps the mean of the row before, as both its sums only decay.
     """
-    row = F.row_number().over(by_symbol()) - 1
-    df = df.withColumn("_k", row).withColumns(
-        {"_b": F.floor(F.col("_k") / EWM_BLOCK), "_r": F.col("_k") % EWM_BLOCK}
+    df = df.withColumn("_k", F.row_number().over(by_symbol()) - 1)
+    order = Window.partitionBy("symbol").orderBy("_k")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    out, scratch = {}, ["_k"]
+    for n in spans:
+        if n < 1:
+            raise ValueError("span must be at least 1")
+        means = {c: F.col(c) for c in cols}
+        if n > 1:
+            q = 1.0 - 1.0 / n
+            sums = {}
+            for c in cols:
+                sums[f"_n_{c}_{n}"] = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+                sums[f"_d_{c}_{n}"] = F.col(c).isNotNull().cast("double")
+            df = _decayed_sums(df, sums, q, max(2, int(log(EWM_GROWTH) / -log(q))))
+            scratch += list(sums)
+            means = {c: ratio(F.col(f"_n_{c}_{n}"), F.col(f"_d_{c}_{n}")) for c in cols}
+        for c in cols:
+            held = F.last(F.when(F.col(c).isNotNull(), means[c]), ignorenulls=True).over(upto)
+            out[f"{c}_ew{n}"] = F.when(F.count(c).over(upto) >= n, held)
+    return df.withColumns(out).drop(*scratch)
+
+
+def _decayed_sums(df: DataFrame, exprs: dict[str, Column], q: float, size: int) -> DataFrame:
+    """sum over rows j <= k of q^(k - j) x_j, by symbol, for each expression."""
+    df = df.withColumns(exprs).withColumns(
+        {"_b": F.floor(F.col("_k") / size), "_r": F.col("_k") % size}
     )
-    upto = (Window.unboundedPreceding, 0)
-    inside = Window.partitionBy("symbol", "_b").orderBy("_k").rowsBetween(*upto)
-    order = Window.partitionBy("symbol").orderBy("_b", "_k")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0.0)
-    block = {}
-    for c in cols:
-        block[f"_seen_{c}"] = F.count(c).over(order.rowsBetween(*upto))
-        for n in spans:
-            q, x = F.lit(1.0 - 1.0 / n), F.col(c)
-            grow, decay = F.pow(q, -F.col("_r")), F.pow(q, F.col("_r"))
-            key = f"{c}_ew{n}"
-            block[f"_n_{key}"] = F.coalesce(F.sum(x * grow).over(inside), zero) * decay
-            block[f"_d_{key}"] = (
-                F.coalesce(F.sum(F.when(x.isNotNull(), grow)).over(inside), zero) * decay
-            )
-    df = df.withColumns(block)
-    at_end = F.col("_r") == EWM_BLOCK - 1
-    out = {}
-    for c in cols:
-        for n in spans:
-            q, key = 1.0 - 1.0 / n, f"{c}_ew{n}"
-            decay = F.pow(F.lit(q), F.col("_r") + 1)
-            total = {
-                k: F.col(f"_{k}_{key}")
-                + decay * F.coalesce(
-                    F.last(F.when(at_end, F.col(f"_{k}_{key}")), ignorenulls=True).over(before), zero
-                )
-                for k in "nd"
-            }
-            out[key] = F.when(F.col(f"_seen_{c}") >= n, ratio(total["n"], total["d"]))
-    return df.withColumns(out).drop("_k", "_b", "_r", *block)
+    inside = Window.partitionBy("symbol", "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    grow, decay = F.pow(F.lit(q), -F.col("_r")), F.pow(F.lit(q), F.col("_r"))
+    df = df.withColumns({f"_i{n}": F.sum(F.col(n) * grow).over(inside) * decay for n in exprs})
+    at_end = F.col("_r") == size - 1
+    before = Window.partitionBy("symbol").orderBy("_b", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    total = {}
+    for n in exprs:
+        ends = F.collect_list(F.when(at_end, F.col(f"_i{n}"))).over(before)
+        newest = F.slice(ends, F.greatest(F.size(ends) - OLD_BLOCKS + 1, F.lit(1)), F.lit(OLD_BLOCKS))
+        carried = F.aggregate(newest, F.lit(0.0), lambda s, e: s * q**size + e)
+        total[n] = F.col(f"_i{n}") + F.pow(F.lit(q), F.col("_r") + 1) * carried
+    return df.withColumns(total).drop("_b", "_r", *[f"_i{n}" for n in exprs])
 
 
 def growth(ret: Column, window) -> Column:

@@ -4,11 +4,13 @@ A date's cross-section grows with the number of symbols, so each primitive has t
 plans and picks by ``max_group``, an upper bound on the rows of any one group that the
 caller has proven (see ``Tables.n_symbols``) or that is counted here:
 
-* up to ``WINDOW_LIMIT`` rows, one window or one exact ``percentile`` buffer per group;
+* up to ``WINDOW_LIMIT`` cells (rows times columns held at once), one window or one exact
+  ``percentile`` buffer per group;
 * beyond it, groups are cut into value ranges at sketched split points.  Rows are ranked
   inside their range and shifted by the exact count of the ranges below, and quantiles
   are read from the few distinct values inside a sketched bracket.  The sketch only
-  decides how work is cut up, so both plans give the same values.
+  decides how work is cut up, so both plans give the same values, for null group keys and
+  text ties of any alphabet too.
 """
 
 from __future__ import annotations
@@ -32,20 +34,31 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return int(row[0] or 0)
 
 
-def fits_window(df: DataFrame, by: Sequence[str], max_group: int | None) -> tuple[DataFrame, bool]:
-    """Whether every group is small enough for a window over it.
+def fits_window(df: DataFrame, by: Sequence[str], max_group: int | None,
+                width: int = 1) -> tuple[DataFrame, bool]:
+    """Whether every group, ``width`` values a row, is small enough for a window over it.
 
     Past the limit the input is staged, because the other plans pass over it more than
     once.  Without a proven bound it is staged to be counted.
     """
     if max_group is None:
         df = stage(df)
-        return df, largest_group(df, by) <= WINDOW_LIMIT
-    if max_group <= WINDOW_LIMIT:
+        return df, largest_group(df, by) * width <= WINDOW_LIMIT
+    if max_group * width <= WINDOW_LIMIT:
         return df, True
     return stage(df), False
 
 
+def join_groups(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner",
+                small: bool = False) -> DataFrame:
+    """Join on group keys, where null equals null; the keys of ``df`` are kept."""
+    other = other.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return df.join(F.broadcast(other) if small else other, same, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def with_stats(df: DataFrame, by: Sequence[str], aggs: dict[str, Column],
                max_group: int | None = None) -> DataFrame:
     """Attach per-group aggregates to every row.
@@ -60,9 +73,7 @@ def with_stats(df: DataFrame, by: Sequence[str], aggs: dict[str, Column],
         w = Window.partitionBy(*by)
         return df.withColumns({n: c.over(w) for n, c in aggs.items()})
     stats = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
-    if list(by) == ["date"]:
-        stats = F.broadcast(stats)
-    return df.join(stats, list(by), "left")
+    return join_groups(df, stats, by, "left", small=list(by) == ["date"])
 
 
 def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("date",),
@@ -90,7 +101,7 @@ def quantiles(
     max_group: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group, ``{col}_q{i}`` columns."""
-    df, small = fits_window(df, by, max_group)
+    df, small = fits_window(df, by, max_group, len(cols))
     if small:
         aggs = [F.percentile(c, F.array(*map(F.lit, probs))).alias(f"_{c}") for c in cols]
         wide = df.groupBy(*by).agg(*aggs)
@@ -110,31 +121,31 @@ def _bracketed_quantiles(df, by, cols, probs) -> DataFrame:
     # Small groups keep every value: there the sketch's rank error could exceed the bracket.
     brackets = stage(df.groupBy(*by).agg(*sketch))
     m, few = len(probs), 4 / BRACKET
-    rows = df.select(*by, *cols).join(brackets, list(by))
-    items = []
+    rows = join_groups(df.select(*by, *cols), brackets, by)
+    items, below = [], []
     for c in cols:
         x = F.col(c)
         for i in range(m):
             small = F.col(f"_n_{c}") <= few
             under = ~small & (x < F.col(f"_b_{c}")[i])
             inside = small | (x <= F.col(f"_b_{c}")[m + i])
-            items.append(
-                F.when(
-                    x.isNotNull() & (under | inside),
-                    F.struct(
-                        F.lit(f"{c}_q{i}").alias("key"),
-                        F.lit(float(probs[i])).alias("p"),
-                        F.col(f"_n_{c}").alias("n"),
-                        F.when(~under, x).alias("value"),
-                    ),
-                )
-            )
-    # One counted row per distinct value in the bracket, one for everything below it.
-    counts = (
+            head = (F.lit(f"{c}_q{i}").alias("key"), F.lit(float(probs[i])).alias("p"))
+            items.append(F.when(
+                x.isNotNull() & ~under & inside, F.struct(*head, F.col(f"_n_{c}").alias("n"), x.alias("value"))
+            ))
+            below.append(F.struct(
+                *head, F.max(f"_n_{c}").alias("n"), F.lit(None).cast("double").alias("value"),
+                F.count_if(x.isNotNull() & under).alias("c"),
+            ))
+    # One counted row per distinct value in the bracket, one for everything below it: only
+    # rows inside a bracket are expanded, the others are counted where they are.
+    inside = (
         rows.select(*by, F.explode(F.array_compact(F.array(*items))).alias("e"))
-        .groupBy(*by, "e.key", "e.p", "e.n", "e.value")
+        .groupBy(*by, "e.key", "e.p", "e.n", F.col("e.value").cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
+    under = rows.groupBy(*by).agg(F.array(*below).alias("_all")).select(*by, F.inline("_all"))
+    counts = inside.unionByName(under.filter("c > 0"))
     w = Window.partitionBy(*by, "key").orderBy(F.col("value").asc_nulls_first())
     upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
     at = F.col("p") * (F.col("n") - 1)
@@ -151,7 +162,7 @@ def _bracketed_quantiles(df, by, cols, probs) -> DataFrame:
 
 def with_quantiles(df, by, cols, probs, max_group=None) -> DataFrame:
     """Attach ``{col}_q{i}`` to every row."""
-    df, small = fits_window(df, by, max_group)
+    df, small = fits_window(df, by, max_group, len(cols))
     names = {c: [f"{c}_q{i}" for i in range(len(probs))] for c in cols}
     if small:
         w = Window.partitionBy(*by)
@@ -160,9 +171,7 @@ def with_quantiles(df, by, cols, probs, max_group=None) -> DataFrame:
         picked = {n: F.col(f"_{c}")[i] for c in cols for i, n in enumerate(names[c])}
         return out.withColumns(picked).drop(*[f"_{c}" for c in cols])
     q = _bracketed_quantiles(df, by, cols, probs)
-    if list(by) == ["date"]:
-        q = F.broadcast(q)
-    return df.join(q, list(by), "left")
+    return join_groups(df, q, by, "left", small=list(by) == ["date"])
 
 
 def winsorize(df, cols, lower=0.02, upper=0.98, by=("date",), max_group=None) -> DataFrame:
@@ -269,7 +278,7 @@ def rank_average(
         (F.col("_below") + inside + (F.col("_ties") + 1) / 2).alias(name),
         F.col("_total").alias(count),
     )
-    return df.join(ranked, [*by, value], "left")
+    return join_groups(df, ranked, [*by, value], "left")
 
 
 def pct_rank(df, value, by=("date",), name="pct", max_group=None) -> DataFrame:
@@ -285,24 +294,27 @@ def _cut(df: DataFrame, by: Sequence[str], tie: str, weight: str | None = None)
     its rows form a range of their own, cut again by ranges of the tie column.
     """
     df = stage(df)
+    text = dict(df.dtypes)[tie] == "string"
     probs = [i / N_SPLITS for i in range(1, N_SPLITS)]
+    ends = df.groupBy(*by).agg(F.min(tie).alias("_first"), F.max(tie).alias("_last"))
+    ends = stage(ends.select(*by, (_shared_bytes() if text else F.lit(0)).alias("_skip")))
+    # One row per group, without a bound on the groups: left to the optimizer.
+    keyed = join_groups(df, ends, by).withColumn("_tie", _tie_key(tie, text)).drop("_skip")
     splits = stage(
-        df.groupBy(*by).agg(
+        keyed.groupBy(*by).agg(
             F.array_distinct(F.percentile_approx("_v", probs, SKETCH_ACCURACY)).alias("_splits"),
-            F.array_distinct(
-                F.percentile_approx(_tie_key(df, tie), probs, SKETCH_ACCURACY)
-            ).alias("_tie_splits"),
+            F.array_distinct(F.percentile_approx("_tie", probs, SKETCH_ACCURACY)).alias("_tie_splits"),
         )
     )
-    v = F.col("_v")
+    v, key = F.col("_v"), F.col("_tie")
     under = F.size(F.filter("_splits", lambda s: s < v))
     on_split = F.array_contains("_splits", v)
-    tie_range = F.size(F.filter("_tie_splits", lambda s: s < _tie_key(df, tie)))
+    tie_range = F.size(F.filter("_tie_splits", lambda s: s < key))
     rows = (
-        df.join(splits, list(by))
+        join_groups(keyed, splits, by)
         .withColumn("_range", 2 * under + on_split.cast("int"))
         .withColumn("_sub", F.when(on_split, tie_range).otherwise(0))
-        .drop("_splits", "_tie_splits")
+        .drop("_splits", "_tie_splits", "_tie")
     )
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     sizes = rows.groupBy(*by, "_range", "_sub").agg(size.alias("_size"))
@@ -314,14 +326,31 @@ def _cut(df: DataFrame, by: Sequence[str], tie: str, weight: str | None = None)
     offsets = sizes.withColumn("_below", running - F.col("_size")).withColumn(
         "_total", F.sum("_size").over(w)
     )
-    return rows.join(offsets.drop("_size"), [*by, "_range", "_sub"])
+    return join_groups(rows, offsets.drop("_size"), [*by, "_range", "_sub"])
 
 
-def _tie_key(df: DataFrame, tie: str) -> Column:
-    """An order-preserving number for the tie column: itself, or a 6-byte text prefix."""
-    if dict(df.dtypes)[tie] == "string":
-        return F.conv(F.hex(F.rpad(F.substring(tie, 1, 6), 6, "\x00")), 16, 10).cast("double")
-    return F.col(tie).cast("double")
+def _shared_bytes() -> Column:
+    """Length of the common prefix, in UTF-8 bytes, of ``_first`` and ``_last``: all texts
+    between the two share it."""
+    first, last = F.hex(F.encode("_first", "UTF-8")), F.hex(F.encode("_last", "UTF-8"))
+    shorter = F.floor(F.least(F.length(first), F.length(last)) / 2).cast("int")
+    same = F.filter(
+        F.when(shorter > 0, F.sequence(F.lit(1), shorter)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.substr(first, F.lit(1), 2 * i) == F.substr(last, F.lit(1), 2 * i),
+    )
+    return F.coalesce(F.size(same), F.lit(0))
+
+
+def _tie_key(tie: str, text: bool) -> Column:
+    """A number that never falls as the tie rises: itself, or six bytes of a text.
+
+    Texts sort by their UTF-8 bytes.  The six bytes after the group's common prefix decide
+    how ties are cut up; inside a piece the whole text is compared.
+    """
+    if not text:
+        return F.col(tie).cast("double")
+    six = F.substr(F.hex(F.encode(tie, "UTF-8")), 2 * F.col("_skip") + 1, F.lit(12))
+    return F.conv(F.rpad(six, 12, "0"), 16, 10).cast("double")
 
 
 def top_and_bottom(

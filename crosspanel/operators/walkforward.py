@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.functions import xs
 from crosspanel.operators import ensemble
 from crosspanel.session import stage
 
@@ -162,33 +163,42 @@ def walk_forward(features: DataFrame, target: DataFrame, cols: Sequence[str], pl
 
 
 def permutation_importance(model, fold: DataFrame, cols: Sequence[str], label: str = "target",
-                           seed: int = 7, max_group: int = 0) -> list[tuple[str, float]]:
+                           seed: int = 7, max_group: int | None = None) -> list[tuple[str, float]]:
     """Drop in mean rank-IC when one column's values are exchanged between rows.
 
-    A column is permuted inside each date by pairing two random orders of its rows.  Dates
-    above 100,000 rows are first cut into random parts, each permuted on its own.
+    A column is permuted inside each date by pairing two hashed orders of its rows: the k-th
+    row of one takes the value of the k-th of the other.  Positions come from
+    ``xs.rank_first``, so a date of any size gets the same permutation.
     """
-    parts = max(1, max_group // 100_000)
+    return importances(lambda rows: score(model, _vector(cols).transform(rows), ["date", "symbol", label]),
+                       fold, cols, label, seed, max_group)
+
+
+def permuted(rows: DataFrame, col: str, seed: int = 7, max_group: int | None = None) -> DataFrame:
+    """``rows`` with the values of ``col`` exchanged within each date."""
+    for i in (0, 1):
+        rows = rows.withColumn(f"_h{i}", F.xxhash64("symbol", F.lit(seed + i)))
+        rows = xs.rank_first(rows, f"_h{i}", name=f"_k{i}", count="_n", max_group=max_group).drop("_n")
+    rows = stage(rows.drop("_h0", "_h1"))
+    taken = rows.select("date", F.col("_k1").alias("_k0"), F.col(col).alias("_value"))
+    return (
+        xs.join_groups(rows.drop(col), taken, ["date", "_k0"])
+        .withColumnRenamed("_value", col).drop("_k0", "_k1")
+    )
+
+
+def importances(predict: Callable[[DataFrame], DataFrame], fold: DataFrame, cols: Sequence[str],
+                label: str = "target", seed: int = 7,
+                max_group: int | None = None) -> list[tuple[str, float]]:
+    """(column, loss of mean rank-IC) of any scorer that adds ``prediction``."""
 
     def quality(rows):
-        scored = score(model, rows, ["date", "symbol", label])
-        ic = ensemble.rank_ic(scored, "prediction", label, max_group=max_group)
+        ic = ensemble.rank_ic(predict(rows), "prediction", label, max_group=max_group)
         return ensemble.mean_rank_ic(ic).first()[0] or 0.0
 
-    vec = _vector(cols)
-    base = quality(vec.transform(fold.drop("features")))
-    out = []
-    for c in cols:
-        rows = fold.drop("features").withColumn(
-            "_s", F.pmod(F.xxhash64("symbol", F.lit(seed + 2)), F.lit(parts))
-        )
-        w = Window.partitionBy("date", "_s")
-        one, two = (w.orderBy(F.xxhash64("symbol", F.lit(seed + i)), "symbol") for i in (0, 1))
-        left = rows.withColumn("_k", F.row_number().over(one)).drop(c)
-        right = rows.select("date", "_s", c, F.row_number().over(two).alias("_k"))
-        shuffled = left.join(right, ["date", "_s", "_k"]).drop("_s", "_k")
-        out.append((c, base - quality(vec.transform(shuffled))))
-    return out
+    fold = stage(fold.drop("features"))
+    base = quality(fold)
+    return [(c, base - quality(permuted(fold, c, seed, max_group))) for c in cols]
 
 
 def retrain_due(weeks: DataFrame, retrains: DataFrame, every_weeks: int) -> DataFrame:

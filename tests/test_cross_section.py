@@ -81,3 +81,34 @@ def test_top_and_bottom(panel):
     assert got.groupby(["date", "side"]).size().max() == 3
     day = got[(got.date.astype(str) == "2020-01-02") & (got.side == "LONG")].sort_values("rank")
     assert day.v.is_monotonic_decreasing
+
+
+def test_plans_agree_on_text_ties_and_null_keys(spark, monkeypatch):
+    names = ["ab", "az", "aé", "zz", "zé", "éa", "日本", "日", "", "shared-prefix-a", "shared-prefix-b", "shared-prefix-é"]
+    rows = [(g, n, v) for g in ("2020-01-02", None) for n in names for v in (0.0,)]
+    rows += [("2020-01-09", f"shared-prefix-{i:04d}", 1.0 if i % 3 else float(i)) for i in range(900)]
+    rows += [(None, "nul", None), (None, None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, symbol string, v double")
+    df = df.select(F.to_date("g").alias("date"), "symbol", "v")
+    for fn, cols in (
+        (lambda: xs.rank_first(df, "v"), ["date", "symbol", "pos", "n"]),
+        (lambda: xs.rank_first(df, "v", descending=True), ["date", "symbol", "pos", "n"]),
+        (lambda: xs.pct_rank(df, "v"), ["date", "symbol", "pct"]),
+        (lambda: xs.with_stats(df, ["date"], {"m": F.avg("v")}), ["date", "symbol", "m"]),
+        (lambda: xs.with_quantiles(df, ["date"], ["v"], (0.1, 0.5)), ["date", "symbol", "v_q0", "v_q1"]),
+        (lambda: xs.quantile_bins(df, "v", 5), ["date", "symbol", "bin"]),
+    ):
+        found = []
+        for limit in (10**9, 0):
+            monkeypatch.setattr(xs, "WINDOW_LIMIT", limit)
+            found.append(sorted(map(tuple, fn().select(*cols).collect()), key=str))
+        assert found[0] == found[1]
+    monkeypatch.setattr(xs, "WINDOW_LIMIT", 0)
+    order = {r.symbol: r.pos for r in xs.rank_first(df.filter("date = '2020-01-02'"), "v").collect()}
+    assert sorted(order, key=order.get) == sorted(names, key=str.encode)
+
+
+def test_limit_counts_rows_and_columns(spark, monkeypatch):
+    df = spark.range(10).selectExpr("1 as g", "double(id) as a", "double(id) as b")
+    monkeypatch.setattr(xs, "WINDOW_LIMIT", 15)
+    assert xs.fits_window(df, ["g"], 10)[1] and not xs.fits_window(df, ["g"], 10, 2)[1]

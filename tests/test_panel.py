@@ -209,3 +209,16 @@ def test_append_only_merge(spark):
     new = spark.createDataFrame([(1, "new", 1), (2, "b", 2), (2, "a", 1)], "k int, v string, seq int")
     got = {(r.k, r.v, r.added) for r in store.merge_append_only(old, new, ["k"], "seq").collect()}
     assert got == {(1, "old", False), (2, "a", True)}
+
+
+def test_ewm_of_any_span(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=4000).cumsum()
+    x[rng.random(4000) < 0.1] = np.nan
+    x[700:1500] = np.nan
+    pdf = pd.DataFrame({"symbol": 1, "t": np.arange(4000), "x": x})
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    got = ts.ewm_means(df, ["x"], [1, 2, 30, 200, 500]).toPandas().sort_values("t")
+    for n in (1, 2, 30, 200, 500):
+        want = pdf.x.ewm(alpha=1 / n, min_periods=n).mean().to_numpy()
+        np.testing.assert_allclose(got[f"x_ew{n}"].to_numpy(float), want, rtol=1e-9, atol=1e-9)
