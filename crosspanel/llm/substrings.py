@@ -35,7 +35,7 @@ from crosspanel.llm.text import map_rows, raw_words
 
 WINDOW = 20
 SEED = 4
-UNIT_WORDS = 2_000_000
+UNIT_WORDS = 500_000
 BUCKET_WINDOWS = 200_000
 HOT_SHARE = 1e-3
 NULL_ID = -(2**63)
