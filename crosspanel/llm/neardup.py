@@ -9,11 +9,16 @@ candidates, whose df is then counted over all documents.
 
 Each text draws ``BANDS * ROWS`` consistent weighted samples; two texts draw the same with the
 chance of their weighted Jaccard similarity.  Texts that agree on all samples of a band meet
-in its bucket.  Within a bucket every text is compared with the two of least and greatest
-digest; after that, wherever a bucket still holds several classes, its texts outside the
-largest class are compared with all others there.  So all candidate pairs that could join two
-classes are verified, by exact weighted Jaccard similarity of ``SIMILARITY`` or more, while a
-bucket of one class costs its size, not its square.  Classes are the connected components.
+in its bucket.  Within a bucket every text is compared with its most central one, whose
+buckets hold most texts: usually the original of a group of near copies.  After that,
+wherever a bucket still holds several classes, its texts outside the largest class are
+compared with all others there: as pairs in buckets of up to ``SMALL_BUCKET`` texts, in larger
+ones by blocks of ``BLOCK_TEXTS``, where a matrix product bounds all similarities of two
+blocks from above, the few pairs that reach the threshold are compared, and at most one link
+for each text leaves the task.  So every candidate pair that could join two classes is
+verified by exact weighted Jaccard similarity of ``SIMILARITY`` or more, no pairs of a large
+group are written out, and a bucket of one class costs its size, not its square.  Classes are
+the connected components.
 
 Copies (equal texts) are one text throughout and get one class.  Texts of fewer words than a
 shingle have all their words as their only shingle; texts without words (null and empty count
@@ -42,6 +47,9 @@ RARE = 0.01
 UNIT_DOCS = 2000
 CANDIDATES_AT_ONCE = 1_000_000
 BLOCK = 1 << 16
+SMALL_BUCKET = 64
+BLOCK_TEXTS = 512
+COLUMNS_AT_ONCE = 4096
 NULL_ID = -(2**63)
 
 _A = np.uint64(0xBF58476D1CE4E5B9)
@@ -274,16 +282,20 @@ def _ordered(pairs: DataFrame, a, b) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b: tids) of at least the similarity, stored."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    wanted = nodes.join(reps, "tid").select("key", "tid")
-    vectors = stage(
+def vectors_of(nodes: DataFrame, docs: DataFrame, reps: DataFrame, shared) -> DataFrame:
+    """tid, vector of each distinct tid of ``nodes``, stored."""
+    wanted = nodes.distinct().join(reps, "tid").select("key", "tid")
+    return stage(
         docs.join(wanted, ["key", "tid"]).select("tid", "text")
         .mapInArrow(_vectors(shared), "tid binary, vector binary")
         .dropDuplicates(["tid"])
     )
 
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b: tids) of at least the similarity, stored."""
+    vectors = vectors_of(pairs.select(F.explode(F.array("a", "b")).alias("tid")), docs, reps, shared)
+
     def side(name: str) -> DataFrame:
         return vectors.select(F.col("tid").alias(name), F.col("vector").alias(f"vector_{name}"))
 
@@ -293,6 +305,88 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared, similar
     )
 
 
+def _bounds(xs: list, ys: list) -> np.ndarray:
+    """Upper bounds of the shared weight of each x and y: sum of sqrt(a b) >= sum of min(a, b)."""
+    docs = xs + ys
+    row = np.repeat(np.arange(len(docs)), [len(v) for v, _ in docs])
+    _, column, seen = np.unique(np.concatenate([v for v, _ in docs]), return_inverse=True, return_counts=True)
+    root = np.sqrt(np.concatenate([w for _, w in docs])).astype(np.float32)
+    shared = np.flatnonzero(seen > 1)
+    place = np.full(len(seen), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    total = np.zeros((len(xs), len(ys)), np.float32)
+    for at in range(0, len(shared), COLUMNS_AT_ONCE):
+        here = (column >= at) & (column < at + COLUMNS_AT_ONCE)
+        dense = np.zeros((len(docs), COLUMNS_AT_ONCE), np.float32)
+        dense[row[here], column[here] - at] = root[here]
+        total += dense[: len(xs)] @ dense[len(xs) :].T
+    return total
+
+
+def _block_links(least: float):
+    """Links that join classes between the outer texts (side 0) and the others of two blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        side = [[i for i, x in enumerate(rows["outer"]) if x == o] for o in (True, False)]
+        found: tuple[list, list] = ([], [])
+        if side[0] and side[1]:
+            docs = [[_opened(rows["vector"][i]) for i in members] for members in side]
+            sums = [np.array([w.sum() for _, w in d]) for d in docs]
+            need = least / (1 + least) * (sums[0][:, None] + sums[1][None, :])
+            close = _bounds(*docs) >= need * (1 - 1e-4)
+            bands = [np.array([rows["bands"][i] for i in members]) for members in side]
+            this = int(np.flatnonzero(bands[0][0] == rows["band"][0])[0])
+            for k in range(this):  # a pair is compared in the first band that it shares
+                close &= bands[0][:, k][:, None] != bands[1][:, k][None, :]
+            merged: dict[bytes, bytes] = {}
+
+            def find(x: bytes) -> bytes:
+                while x in merged:
+                    x = merged[x]
+                return x
+
+            for i, j in zip(*np.nonzero(close)):
+                x, y = side[0][i], side[1][j]
+                rx, ry = find(rows["root"][x]), find(rows["root"][y])
+                if rx != ry and weighted_jaccard(docs[0][i], docs[1][j]) >= least - 1e-9:
+                    merged[rx] = ry
+                    found[0].append(rows["tid"][x])
+                    found[1].append(rows["tid"][y])
+        return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary())})
+
+    return run
+
+
+def links_of_large(inside: DataFrame, sketch: DataFrame, docs, reps, shared, least: float) -> DataFrame:
+    """Links between classes in large mixed buckets: each text outside the main class with all.
+
+    ``inside`` has band, tid, root, main (root of the main class), n and outside (texts of the
+    bucket, and those outside its main class).
+    """
+    def part(n: str, by: str):
+        return F.pmod(F.xxhash64("tid"), _blocks(n)).cast("int").alias(by)
+
+    def _blocks(n: str):
+        return F.ceil(F.col(n) / BLOCK_TEXTS)
+
+    def other(n: str, name: str):
+        return F.explode(F.sequence(F.lit(0), (_blocks(n) - 1).cast("int"))).alias(name)
+
+    outer = inside.filter("root <> main").select(
+        "band", "tid", "root", part("outside", "i"), other("n", "j"), F.lit(True).alias("outer"))
+    inner = inside.select(
+        "band", "tid", "root", other("outside", "i"), part("n", "j"), F.lit(False).alias("outer"))
+    rows = outer.unionByName(inner)
+    bands = sketch.join(rows.select("tid").distinct(), "tid").groupBy("tid").agg(F.min("bands").alias("bands"))
+    vectors = vectors_of(rows.select("tid"), docs, reps, shared).join(bands, "tid")
+    return stage(
+        rows.join(vectors, "tid").groupBy("band", "i", "j")
+        .applyInArrow(_block_links(least), "a binary, b binary")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -305,21 +399,31 @@ def near_duplicates(
     )
     reps = stage(sketch.groupBy("tid").agg(F.min("key").alias("key")))
     members = sketch.select("tid", F.explode("bands").alias("band"))
-    pivots = stage(
+    shared_bands = stage(
         members.groupBy("band").agg(F.min("tid").alias("least"), F.max("tid").alias("greatest"))
-        .filter("least < greatest")
+        .filter("least < greatest").select("band")
     )
     # Texts of buckets that hold several, each once.
-    members = stage(members.join(pivots, "band").select("band", "tid", "least", "greatest").distinct())
-    star = members.select("tid", F.explode(F.array("least", "greatest")).alias("pivot"))
-    pairs = stage(_ordered(star, F.col("tid"), F.col("pivot")).distinct())
+    members = stage(members.join(shared_bands, "band").distinct())
+    sizes = stage(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")))
+    central = stage(members.join(sizes, "band").groupBy("tid").agg(F.sum("n").alias("score")))
+    centers = stage(
+        members.join(central, "tid").groupBy("band")
+        .agg(F.max_by("tid", F.struct("score", "tid")).alias("center"))
+    )
+    star = members.join(centers, "band")
+    pairs = stage(_ordered(star, F.col("tid"), F.col("center")).distinct())
     links = verified(pairs, docs, reps, shared, similarity)
     roots = stage(components(links))
 
-    rest = stage(_unresolved(members, roots).join(pairs, ["a", "b"], "left_anti"))
+    mixed = _mixed_buckets(members, sizes, roots)
+    rest = stage(_pairs_of_small(mixed).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.union(verified(rest, docs, reps, shared, similarity))
-        roots = stage(components(links))
+    large = mixed.filter(F.col("n") > SMALL_BUCKET)
+    if not large.isEmpty():
+        links = links.union(links_of_large(large, sketch, docs, reps, shared, similarity))
+    roots = stage(components(links))
 
     rows = sketch.select("key", "tid").join(
         roots.select(F.col("node").alias("tid"), "root"), "tid", "left"
@@ -330,21 +434,27 @@ def near_duplicates(
     )
 
 
-def _unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket in different classes: outside the largest class, with all."""
+def _mixed_buckets(members: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, tid, root, main (the largest class), n, outside, of buckets of several classes."""
     of = stage(
-        members.select("band", "tid")
-        .join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left")
+        members.join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left")
         .withColumn("root", F.coalesce("root", "tid"))
     )
-    sizes = of.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = stage(
-        sizes.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.max_by("root", F.struct("n", "root")).alias("main"))
-        .filter("classes > 1")
+    counts = of.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"))
+    mixed = (
+        counts.groupBy("band")
+        .agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("k", "root")).alias("most"))
+        .filter("classes > 1").select("band", F.col("most.root").alias("main"), F.col("most.k").alias("k"))
+        .join(sizes, "band").select("band", "main", "n", (F.col("n") - F.col("k")).alias("outside"))
     )
-    inside = of.join(mixed, "band")
-    outside = inside.filter("root <> main").select("band", F.col("tid").alias("x"), F.col("root").alias("rx"))
-    pairs = outside.join(inside.select("band", "tid", "root"), "band").filter("rx <> root")
+    return stage(of.join(mixed, "band"))
+
+
+def _pairs_of_small(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one small bucket in different classes: outside the largest, with all."""
+    small = mixed.filter(F.col("n") <= SMALL_BUCKET)
+    outside = small.filter("root <> main").select("band", F.col("tid").alias("x"), F.col("root").alias("rx"))
+    pairs = outside.join(small.select("band", "tid", "root"), "band").filter("rx <> root")
     return _ordered(pairs, F.col("x"), F.col("tid")).distinct()
 
 

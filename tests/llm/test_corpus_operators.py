@@ -173,13 +173,16 @@ def _brute_classes(docs, least):
     return bag((d, None if None in g else min(g)) for g in groups.values() for d in g)
 
 
-def test_near_duplicates_against_all_pairs(spark, awkward_rows, clashing, empty):
+@pytest.mark.parametrize("small,block", [(64, 512), (2, 3)])
+def test_near_duplicates_against_all_pairs(spark, awkward_rows, clashing, empty, monkeypatch, small, block):
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", block)
     rng = random.Random(8)
     docs = [r[:2] for r in awkward_rows if r[0] != 9]
     base = [f"t{i}" for i in range(120)]
     for i in range(60):  # one large group of near copies
         words = list(base)
-        for _ in range(rng.randint(0, 2)):
+        for _ in range(rng.randint(0, 6)):
             words[rng.randrange(120)] = f"n{i}"
         docs.append((1000 + i, " ".join(words)))
     for i in range(20):
@@ -188,6 +191,8 @@ def test_near_duplicates_against_all_pairs(spark, awkward_rows, clashing, empty)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
     got = neardup.classes(df)
     assert bag(got.select("doc_id", "class_id").collect()) == _brute_classes(docs, 0.8)
+    if small == 2:
+        return
     kept = neardup.one_of_each(df)
     firsts = neardup.near_duplicates(df).select("class_key", "class_tid").distinct()
     assert kept.count() == firsts.count()
