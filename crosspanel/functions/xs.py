@@ -144,7 +144,7 @@ def _bracketed_quantiles(df, by, cols, probs) -> DataFrame:
         .groupBy(*by, "e.key", "e.p", "e.n", F.col("e.value").cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    under = rows.groupBy(*by).agg(F.array(*below).alias("_all")).select(*by, F.inline("_all"))
+    under = rows.groupBy(*by).agg(F.array(*below).alias("_under")).select(*by, F.inline("_under"))
     counts = inside.unionByName(under.filter("c > 0"))
     w = Window.partitionBy(*by, "key").orderBy(F.col("value").asc_nulls_first())
     upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -203,8 +203,20 @@ def subtract_median(df, cols, by, max_group=None, min_size: int = 1) -> DataFram
 
 def quantile_bins(df, value: str, q: int, by=("date",), name="bin", max_group=None) -> DataFrame:
     """0-based quantile bin with right-closed edges; repeated edges are merged."""
-    probs = [i / q for i in range(q + 1)]
-    out = with_quantiles(df, by, [value], probs, max_group)
+    out = with_quantiles(df, by, [value], [i / q for i in range(q + 1)], max_group)
+    return _binned(out, value, q, name)
+
+
+def pooled_bins(df, value: str, q: int, by, name="bin") -> DataFrame:
+    """``quantile_bins`` for a few groups of any size: edges are aggregated and broadcast.
+
+    ``by`` must have few values, as its edges are one broadcast row each.
+    """
+    edges = _bracketed_quantiles(df, by, [value], [i / q for i in range(q + 1)])
+    return _binned(join_groups(df, edges, by, "left", small=True), value, q, name)
+
+
+def _binned(out: DataFrame, value: str, q: int, name: str) -> DataFrame:
     edges = F.array_distinct(F.array(*[F.col(f"{value}_q{i}") for i in range(q + 1)]))
     x = F.col(value)
     # Edges strictly below x, less one; the lowest edge belongs to the first bin.

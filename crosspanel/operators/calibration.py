@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.functions import ts, xs
 from crosspanel.operators.universe import clip
+from crosspanel.session import stage
 
 WEEKS_PER_YEAR = 52
 
@@ -26,12 +27,15 @@ def excess_returns(weekly: DataFrame, max_group: int | None = None, bound: float
     return df.select("date", "symbol", (F.col("fwd") - F.col("_m")).alias("ex_ret"))
 
 
-def prediction_bins(scores: DataFrame, excess: DataFrame, n_bins: int = 20,
-                    max_rows: int | None = None) -> DataFrame:
-    """Mean prediction and mean excess return per pooled quantile bin."""
-    joined = scores.join(excess, ["date", "symbol"]).dropna(subset=["prediction", "ex_ret"])
+def prediction_bins(scores: DataFrame, excess: DataFrame, n_bins: int = 20) -> DataFrame:
+    """Mean prediction and mean excess return per pooled quantile bin.
+
+    The pooled rows are one group, so their edges are aggregated and the row of edges is
+    broadcast; no task sees all rows.
+    """
+    joined = stage(scores.join(excess, ["date", "symbol"]).dropna(subset=["prediction", "ex_ret"]))
     joined = joined.withColumn("_all", F.lit(1))
-    binned = xs.quantile_bins(joined, "prediction", n_bins, by=["_all"], max_group=max_rows)
+    binned = xs.pooled_bins(joined, "prediction", n_bins, ["_all"])
     return binned.groupBy("bin").agg(
         F.avg("prediction").alias("pred"), F.avg("ex_ret").alias("ex_ret"),
         F.count(F.lit(1)).alias("n"),

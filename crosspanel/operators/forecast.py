@@ -269,7 +269,9 @@ def track_summary(baskets: DataFrame) -> DataFrame:
     return baskets.filter("ls_ret is not null").groupBy("scope").agg(
         F.count(F.lit(1)).alias("forecasts"),
         F.avg("ls_ret").alias("mean_ls"),
-        F.sum(F.ln(F.greatest(1 + F.col("ls_ret"), F.lit(1e-12)))).alias("log_cum_ls"),
+        (F.product(1 + F.col("ls_ret")) - 1).alias("cum_ls"),
+        F.avg("ls_ret_lag").alias("mean_ls_lag"),
+        (F.product(1 + F.col("ls_ret_lag")) - 1).alias("cum_ls_lag"),
         F.avg("hit_rate").alias("mean_hit_rate"),
     )
 

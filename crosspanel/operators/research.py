@@ -123,34 +123,70 @@ MAX_THESIS_WORDS = 25
 FENCE = r"(?m)^\s*```(?:json)?\s*|\s*```\s*$"
 
 
+# Names of JSON types in the messages, by how Spark spells a variant's schema.
+JSON_TYPES = {"STRING": "str", "ARRAY": "list", "OBJECT": "dict", "BOOLEAN": "bool", "BIGINT": "int",
+              "DECIMAL": "float", "DOUBLE": "float", "VOID": "NoneType"}
+
+
+def json_type(v: Column) -> Column:
+    """Type name of a variant value; null where there is none."""
+    kind, out = F.schema_of_variant(v), F.lit(None).cast("string")
+    for spelled, name in JSON_TYPES.items():
+        out = F.when(kind.startswith(spelled), name).otherwise(out)
+    # A whole number with more digits than a long is a decimal without a fraction.
+    return F.when(kind.rlike(r"^DECIMAL\(\d+,0\)"), "int").otherwise(out)
+
+
+def _as_text(v: Column) -> Column:
+    """A list item as text; nested objects and lists as their JSON."""
+    kind = json_type(v)
+    return (
+        F.when(kind == "bool", F.initcap(F.to_json(v)))
+        .when(kind.isNull() | (kind == "NoneType"), "None")
+        .when(kind.isin("dict", "list"), F.to_json(v))
+        .otherwise(F.try_variant_get(v, "$", "string"))
+    )
+
+
 def parse_briefs(texts: DataFrame, text: str = "text") -> DataFrame:
     """Text to validated brief columns plus ``problem``.
 
-    Fences are stripped, the outermost braces taken, and the JSON checked: four strings
-    are required, lists are trimmed, enumerations fall back to defaults.  All of it is
-    column expressions over the table of texts.
+    Fences are stripped.  If what is left is JSON it must be an object; otherwise the
+    outermost braces are taken.  Four strings are required, lists are trimmed (a lone string
+    is a list of one, a falsy value an empty list, items of other types become text), and
+    enumerations fall back to defaults.  All of it is column expressions over the texts.
     """
     body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), FENCE, ""))
-    df = texts.withColumn("_body", F.regexp_extract(body, r"(?s)\{.*\}", 0))
-    df = df.withColumn("_v", F.try_parse_json("_body"))
+    df = texts.withColumn("_all", body).withColumn("_whole", F.try_parse_json("_all"))
+    inner = F.regexp_extract("_all", r"(?s)\{.*\}", 0)
+    df = df.withColumn("_body", F.when(F.col("_whole").isNotNull(), F.col("_all")).otherwise(inner))
+    df = df.withColumn("_v", F.try_parse_json("_body")).withColumn("_type", json_type(F.col("_v")))
     get = lambda k, t: F.try_variant_get("_v", f"$.{k}", t)
-    kind = lambda k: F.schema_of_variant(F.try_variant_get("_v", f"$.{k}", "variant"))
-    strings = {k: F.when(kind(k) == "STRING", F.trim(get(k, "string"))) for k in REQUIRED}
+    kinds = [*REQUIRED, *LIST_LIMITS]
+    df = df.withColumns({f"_t_{k}": json_type(get(k, "variant")) for k in kinds})
+    strings = {k: F.when(F.col(f"_t_{k}") == "str", F.trim(get(k, "string"))) for k in REQUIRED}
     df = df.withColumns({f"_{k}": v for k, v in strings.items()})
     missing = F.concat_ws(
         ", ", *[F.when(F.coalesce(F.col(f"_{k}"), F.lit("")) == "", F.lit(k)) for k in REQUIRED]
     )
     lists, bad_lists = {}, []
     for k, limit in LIST_LIMITS.items():
-        raw = F.when(kind(k) == "STRING", F.array(get(k, "string"))).otherwise(get(k, "array<string>"))
-        clean = F.filter(F.transform(raw, lambda s: F.trim(s)), lambda s: s != "")
+        kind = F.col(f"_t_{k}")
+        items = F.transform(get(k, "array<variant>"), lambda x: F.trim(_as_text(x)))
+        raw = F.when(kind == "str", F.array(F.trim(get(k, "string")))).when(kind == "list", items)
+        clean = F.filter(raw, lambda s: s != "")
         lists[k] = F.slice(F.coalesce(clean, F.array().cast("array<string>")), 1, limit)
-        ok = kind(k).isNull() | (kind(k) == "VOID") | (kind(k) == "STRING") | kind(k).startswith("ARRAY")
-        bad_lists.append(F.when(~ok, F.lit(f"{k} must be a list")))
+        number = F.coalesce(get(k, "double"), F.lit(0.0))
+        falsy = (kind == "NoneType") | kind.isNull() | ((kind == "bool") & ~F.coalesce(get(k, "boolean"), F.lit(False)))
+        falsy = falsy | (kind.isin("int", "float") & (number == 0)) | (F.to_json(get(k, "variant")) == "{}")
+        bad_lists.append(F.when(
+            ~kind.isin("str", "list") & ~falsy, F.concat(F.lit(f"{k} must be a list, got "), kind)
+        ))
     problem = (
         F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, "empty response")
         .when(F.col("_body") == "", "no JSON object found in response")
         .when(F.col("_v").isNull(), "invalid JSON")
+        .when(F.col("_type") != "dict", F.concat(F.lit("expected a JSON object, got "), F.col("_type")))
         .when(missing != "", F.concat(F.lit("missing or non-string keys: "), missing))
         .otherwise(F.coalesce(*bad_lists))
     )

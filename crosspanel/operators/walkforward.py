@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from math import exp, log
 from random import Random
@@ -213,6 +214,16 @@ def retrain_due(weeks: DataFrame, retrains: DataFrame, every_weeks: int) -> Data
     return out.select("date", "last_retrain", due.alias("due"))
 
 
+def run_parts(features: Sequence[str], member_params: dict[str, dict], train: int, val: int, retrain: int,
+              window: str, max_train: int | None, signal_day: str) -> list[str]:
+    """Texts that identify a run but for its dates, which go before the last of them."""
+    return [
+        "|".join(features), "|".join(sorted(member_params)), f"{train},{val},{retrain}", window,
+        f"cap={'' if max_train is None else max_train}", signal_day.upper(),
+        json.dumps(member_params, sort_keys=True),
+    ]
+
+
 def fingerprint(parts: Sequence[Column], length: int = 16) -> Column:
     """Short SHA-1 over newline-joined parts, e.g. features, members, windows and dates."""
     return F.substring(F.sha1(F.concat_ws("\n", *parts)), 1, length)

@@ -523,8 +523,7 @@ def neutralized(t):
 )
 def winsorize_over_time(t):
     weekly = ts.weekly_last(factors.r1w(t.grid), ["R1W"]).withColumnRenamed("R1W", "r")
-    # A symbol has one row per week of history, far below the window limit.
-    return neutralize.winsorize_over_time(weekly, ["r"], max_rows=xs.WINDOW_LIMIT).filter("r is not null")
+    return neutralize.winsorize_over_time(weekly, ["r"], max_rows=t.n_weeks).filter("r is not null")
 
 
 @query(
@@ -576,7 +575,7 @@ def industry_neutral(t):
 def full_neutralization(t):
     weekly = ts.weekly_last(factors.r1w(t.grid), ["R1W"]).withColumnRenamed("R1W", "r")
     weekly = weekly.filter("r is not null")
-    return neutralize.full_neutralization(weekly, t.profile, ["r"], xs.WINDOW_LIMIT, t.n_symbols)
+    return neutralize.full_neutralization(weekly, t.profile, ["r"], t.n_weeks, t.n_symbols)
 
 
 # -- target and returns -------------------------------------------------------------

@@ -261,24 +261,34 @@ def weekly_performance(t):
     return fc.weekly_performance(ledger(t))
 
 
+def compared_growth(df, compounded: str, suffix: str):
+    """Sign and logarithm of 1 + a compounded return, which spans too many powers of ten here
+    to be compared digit by digit."""
+    growth = 1 + F.col(compounded)
+    return df.withColumns({f"growth_sign{suffix}": F.sign(growth), f"log_growth{suffix}": F.ln(F.abs(growth))})
+
+
 @query(
-    "j12_live_summary", "signal_day scope weeks:i mean_ls:6 portfolio_hit:6 single_stock_hit:6",
-    """SELECT signal_day, scope, count(*) AS weeks, avg(ls_ret) AS mean_ls, avg(CAST(coalesce(ls_positive = 1, false) AS INTEGER)) AS portfolio_hit,
+    "j12_live_summary", "signal_day scope weeks:i mean_ls:6 growth_sign:i log_growth:6 portfolio_hit:6 single_stock_hit:6",
+    """SELECT signal_day, scope, count(*) AS weeks, avg(ls_ret) AS mean_ls, sign(product(1 + coalesce(ls_ret, 0))) AS growth_sign,
+         ln(abs(product(1 + coalesce(ls_ret, 0)))) AS log_growth, avg(CAST(coalesce(ls_positive = 1, false) AS INTEGER)) AS portfolio_hit,
          sum(n_correct) / sum(n_picks) AS single_stock_hit FROM weekly_perf GROUP BY 1, 2""",
     "weekly_perf",
 )
 def live_summary(t):
-    return fc.live_summary(fc.weekly_performance(ledger(t)))
+    return compared_growth(fc.live_summary(fc.weekly_performance(ledger(t))), "cum_ls", "")
 
 
 @query(
-    "j13_track_summary", "scope forecasts:i mean_ls:5 log_cum_ls:4 mean_hit_rate:6",
-    """SELECT scope, count(*) AS forecasts, avg(ls_ret) AS mean_ls, sum(ln(greatest(1 + ls_ret, 1e-12))) AS log_cum_ls, avg(hit_rate) AS mean_hit_rate
+    "j13_track_summary", "scope forecasts:i mean_ls:5 growth_sign:i log_growth:6 mean_ls_lag:5 growth_sign_lag:i log_growth_lag:6 mean_hit_rate:6",
+    """SELECT scope, count(*) AS forecasts, avg(ls_ret) AS mean_ls, sign(product(1 + ls_ret)) AS growth_sign, ln(abs(product(1 + ls_ret))) AS log_growth,
+         avg(ls_ret_lag) AS mean_ls_lag, sign(product(1 + ls_ret_lag)) AS growth_sign_lag, ln(abs(product(1 + ls_ret_lag))) AS log_growth_lag, avg(hit_rate) AS mean_hit_rate
        FROM baskets WHERE ls_ret IS NOT NULL GROUP BY 1""",
     "baskets",
 )
 def track_summary(t):
-    return fc.track_summary(evaluated(t)[0])
+    out = fc.track_summary(evaluated(t)[0])
+    return compared_growth(compared_growth(out, "cum_ls", ""), "cum_ls_lag", "_lag")
 
 
 @query(

@@ -258,11 +258,18 @@ def retrain_due(t):
     return walkforward.retrain_due(weeks, plan(t).select(F.col("retrain_date").alias("date")), 9)
 
 
+CAP = 156
+# What each member is fitted with; the hash must change when any of it does.
+MEMBER_PARAMS = {"forest": {"maxDepth": 8, "numTrees": 400}, "gbt": {"maxIter": 2000, "patience": 50, "stepSize": 0.03}}
+RUN_PARTS = walkforward.run_parts(FEATURES, MEMBER_PARAMS, TRAIN, VAL, RETRAIN, "rolling", CAP, "thu")
+SPEC_PARTS = ["forest,gbt", "rank_mean", RUN_PARTS[-1]]
+quoted = ", ".join("'{}'".format(p) for p in RUN_PARTS[:-1])
+
 view(
     "versions", "plan scores",
-    f"""SELECT 'THU' AS signal_day, retrain_date AS bundle_retrain_date, sha1(concat_ws(chr(10), '{'|'.join(FEATURES)}', 'forest|gbt',
-          '{TRAIN},{VAL},{RETRAIN}', 'rolling', string_agg(strftime(d.date, '%Y-%m-%d'), '|' ORDER BY d.date)))[1:16] AS fingerprint,
-          sha1(concat_ws(chr(10), 'forest,gbt', 'rank_mean', CAST(retrain_id // 5 AS VARCHAR)))[1:12] AS config_hash
+    f"""SELECT 'THU' AS signal_day, retrain_date AS bundle_retrain_date, sha1(concat_ws(chr(10), {quoted},
+          string_agg(strftime(d.date, '%Y-%m-%d'), '|' ORDER BY d.date), '{RUN_PARTS[-1]}'))[1:16] AS fingerprint,
+          sha1(concat_ws(chr(10), {", ".join("'{}'".format(p) for p in SPEC_PARTS)}, CAST(retrain_id // 5 AS VARCHAR)))[1:12] AS config_hash
         FROM plan JOIN (SELECT DISTINCT date FROM scores) d ON d.date BETWEEN train_from AND val_to GROUP BY retrain_date, retrain_id""",
 )
 
@@ -274,13 +281,12 @@ def versions(t):
     used = weeks.join(walkforward.weeks_in(p, "train_from", "val_to"), "date")
     text = F.date_format("date", "yyyy-MM-dd")
     dated = used.groupBy("retrain_id", "retrain_date").agg(F.sort_array(F.collect_list(text)).alias("days"))
-    parts = [F.lit("|".join(FEATURES)), F.lit("forest|gbt"), F.lit(f"{TRAIN},{VAL},{RETRAIN}"), F.lit("rolling")]
+    *before, params = map(F.lit, RUN_PARTS)
     era = F.floor(F.col("retrain_id") / 5).cast("string")
-    spec = [F.lit("forest,gbt"), F.lit("rank_mean"), era]
     return dated.select(
         F.lit("THU").alias("signal_day"), F.col("retrain_date").alias("bundle_retrain_date"),
-        walkforward.fingerprint([*parts, F.array_join("days", "|")]).alias("fingerprint"),
-        walkforward.fingerprint(spec, 12).alias("config_hash"),
+        walkforward.fingerprint([*before, F.array_join("days", "|"), params]).alias("fingerprint"),
+        walkforward.fingerprint([*map(F.lit, SPEC_PARTS), era], 12).alias("config_hash"),
     )
 
 

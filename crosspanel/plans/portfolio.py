@@ -247,15 +247,16 @@ def cost_sweep(t):
 
 
 @query(
-    "i10_matched_period_stats", f"model {METRICS} capped_cumulative:4",
-    "SELECT *, least(cumulative_return, 1e6) AS capped_cumulative FROM (" + metrics_sql(
+    "i10_matched_period_stats", f"model {METRICS} log_growth:6",
+    "SELECT *, CASE WHEN cumulative_return > -1 THEN ln(1 + cumulative_return) END AS log_growth FROM (" + metrics_sql(
         "(SELECT * FROM mport WHERE date IN (SELECT date FROM mport GROUP BY date HAVING count(DISTINCT model) = 3))", "model"
     ) + ")",
     "mport",
 )
 def matched_period(t):
     out = portfolio.performance(portfolio.matched_weeks(model_portfolios(t)), ["model"])
-    return out.withColumn("capped_cumulative", F.least("cumulative_return", F.lit(1e6)))
+    # The compounded return spans many powers of ten; its logarithm is what digits can compare.
+    return out.withColumn("log_growth", F.log1p("cumulative_return"))
 
 
 @query(
@@ -344,8 +345,7 @@ def staged_ranks(t):
 def calibration_bins(t):
     weekly = ts.weekly_last(t.bars, ["close"])
     excess = calibration.excess_returns(weekly, t.n_symbols)
-    weeks = 600  # above the sample history; one row per symbol and week
-    return calibration.prediction_bins(staged_ranks(t), excess, max_rows=t.n_symbols * weeks)
+    return calibration.prediction_bins(staged_ranks(t), excess)
 
 
 view(

@@ -14,7 +14,6 @@ from crosspanel.plans.registry import query
 from crosspanel.plans.sql import view
 
 COLS = ["R1W", "R1M", "R3M1M", "VOL6M"]
-WEEKS_BOUND = 600
 
 
 def four(t):
@@ -46,7 +45,7 @@ view(
     "four_long",
 )
 def factor_summary(t):
-    return p.factor_summary(four(t), COLS, t.n_symbols * WEEKS_BOUND)
+    return p.factor_summary(four(t), COLS, t.n_symbols * t.n_weeks)
 
 
 @query(
@@ -70,7 +69,7 @@ def coverage(t):
 )
 def histogram(t):
     long = four(t).unpivot(["date", "symbol"], COLS, "factor", "value")
-    return p.histogram(long, "value", 80, 0.01, 0.99, max_rows=t.n_symbols * WEEKS_BOUND)
+    return p.histogram(long, "value", 80, 0.01, 0.99, max_rows=t.n_symbols * t.n_weeks)
 
 
 @query(

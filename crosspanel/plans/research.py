@@ -173,7 +173,7 @@ def sector_mix(t):
 
 def briefs(t):
     """Replies of every shape a model produces, around the conversation texts."""
-    v = (F.col("conv_id") * 3 + F.col("turn")) % 7
+    v = (F.col("conv_id") * 3 + F.col("turn")) % 10
     fields = {
         "thesis": F.col("text"), "theme": F.col("role"), "fundamental_read": F.lit(" solid "),
         "technical_read": F.lit("neutral"), "headline_risks": F.array(*[F.lit(x) for x in ("a", " b ", "", "c", "d", "e")]),
@@ -187,6 +187,9 @@ def briefs(t):
         .when(v == 3, F.concat(F.lit('{"thesis": "'), F.lit("cut off}")))
         .when(v == 4, F.lit("   "))
         .when(v == 5, F.lit("no structured answer"))
+        .when(v == 7, F.concat(F.lit("["), js(), F.lit("]")))
+        .when(v == 8, F.regexp_replace(js(), r'"headline_risks":\[[^]]*\]', '"headline_risks":false,"sources_used":[1,true,null," x "]'))
+        .when(v == 9, F.regexp_replace(js(), r'"catalysts":"one only"', '"catalysts":{"a":1}'))
         .otherwise(js())
     )
     return t.read("conversations").select("conv_id", "turn", v.alias("v"), body.alias("text"))
@@ -195,17 +198,19 @@ def briefs(t):
 view(
     "brief_expect", "",
     r"""SELECT conv_id, turn, v, CASE v WHEN 2 THEN 'missing or non-string keys: theme' WHEN 3 THEN 'invalid JSON' WHEN 4 THEN 'empty response'
-         WHEN 5 THEN 'no JSON object found in response' ELSE CASE WHEN length(tx) = 0 THEN 'missing or non-string keys: thesis' END END AS problem,
-         words, tx, role FROM (SELECT *, (conv_id * 3 + turn) % 7 AS v, trim(text, E' \n\t\r') AS tx,
+         WHEN 5 THEN 'no JSON object found in response'
+         WHEN 7 THEN 'expected a JSON object, got list' WHEN 9 THEN CASE WHEN length(tx) = 0 THEN 'missing or non-string keys: thesis'
+           ELSE 'catalysts must be a list, got dict' END ELSE CASE WHEN length(tx) = 0 THEN 'missing or non-string keys: thesis' END END AS problem,
+         words, tx, role FROM (SELECT *, (conv_id * 3 + turn) % 10 AS v, trim(text, E' \n\t\r') AS tx,
            regexp_split_to_array(trim(text, E' \n\t\r'), '\s+') AS words FROM conversations)""",
 )
 
 
 @query(
-    "l10_validate_briefs", "conv_id:i turn:i problem thesis theme fundamental_read risks catalysts model_agreement confidence",
+    "l10_validate_briefs", "conv_id:i turn:i problem thesis theme fundamental_read risks catalysts sources model_agreement confidence",
     """SELECT conv_id, turn, problem, CASE WHEN ok THEN CASE WHEN len(words) > 25 THEN array_to_string(words[1:25], ' ') || '…' ELSE tx END END AS thesis,
-         CASE WHEN ok THEN role END AS theme, CASE WHEN ok THEN 'solid' END AS fundamental_read, CASE WHEN ok THEN 'a,b,c,d' END AS risks,
-         CASE WHEN ok THEN 'one only' END AS catalysts, CASE WHEN ok THEN 'agrees' END AS model_agreement, CASE WHEN ok THEN 'low' END AS confidence
+         CASE WHEN ok THEN role END AS theme, CASE WHEN ok THEN 'solid' END AS fundamental_read, CASE WHEN ok THEN CASE WHEN v = 8 THEN '' ELSE 'a,b,c,d' END END AS risks,
+         CASE WHEN ok THEN 'one only' END AS catalysts, CASE WHEN ok THEN CASE WHEN v = 8 THEN '1,True,None,x' ELSE '' END END AS sources, CASE WHEN ok THEN 'agrees' END AS model_agreement, CASE WHEN ok THEN 'low' END AS confidence
        FROM (SELECT *, problem IS NULL AS ok FROM brief_expect)""",
     "brief_expect",
 )
@@ -213,22 +218,27 @@ def validate_briefs(t):
     out = r.parse_briefs(briefs(t))
     # array_join of a null array is null, so rejected briefs stay null.
     return out.withColumns(
-        {"risks": F.array_join("headline_risks", ","), "catalysts": F.array_join("catalysts", ",")}
+        {"risks": F.array_join("headline_risks", ","), "catalysts": F.array_join("catalysts", ","),
+         "sources": F.array_join("sources_used", ",")}
     )
 
 
 @query(
     "l10_brief_coverage", "conv_id:i status",
-    """WITH given AS (SELECT conv_id, coalesce(problem, 'merged') AS s FROM brief_expect WHERE turn = 0 AND conv_id % 5 <> 0),
-       names AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4 <> 0)
+    """WITH given AS (SELECT conv_id, CASE max(CASE WHEN problem IS NULL THEN 1 ELSE 0 END) WHEN 1 THEN 'merged' ELSE min(problem) END AS s
+         FROM brief_expect GROUP BY conv_id),
+       names AS (SELECT DISTINCT doc_id AS conv_id FROM labels)
        SELECT coalesce(g.conv_id, n.conv_id) AS conv_id, CASE WHEN n.conv_id IS NULL THEN 'not in this artifact'
          WHEN g.conv_id IS NULL THEN 'no brief supplied' ELSE s END AS status
        FROM given g FULL JOIN names n ON g.conv_id = n.conv_id""",
     "brief_expect",
 )
 def brief_coverage(t):
-    parsed = r.parse_briefs(briefs(t).filter("turn = 0 and conv_id % 5 <> 0"))
-    names = t.read("conversations").filter("conv_id % 4 <> 0").select("conv_id")
+    # Of several replies for a name a good one counts, else the first problem by name.
+    parsed = r.parse_briefs(briefs(t)).groupBy("conv_id").agg(
+        F.when(F.count_if(F.col("problem").isNull()) == 0, F.min("problem")).alias("problem")
+    )
+    names = t.read("labels").select(F.col("doc_id").alias("conv_id"))
     return r.brief_coverage(parsed, names, "conv_id")
 
 

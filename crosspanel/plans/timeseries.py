@@ -185,15 +185,13 @@ def weekly_last(t):
     "d14_growth_and_drawdown", "date:d growth:8 drawdown:8",
     """SELECT date, g AS growth, g / max(g) OVER (ORDER BY date) - 1 AS drawdown FROM (
          SELECT date, product(1 + r) OVER (ORDER BY date) AS g FROM (
-           SELECT date, greatest(-0.02, least(0.02, coalesce(mkt_close / lag(mkt_close) OVER (ORDER BY date) - 1, 0))) AS r
-           FROM market))""",
+           SELECT date, coalesce(mkt_close / lag(mkt_close) OVER (ORDER BY date) - 1, 0) AS r FROM market))""",
     "market",
 )
 def growth_and_drawdown(t):
     w = Window.orderBy("date")
     r = F.coalesce(ts.change("mkt_close", 1, w), F.lit(0.0))
-    clipped = F.greatest(F.lit(-0.02), F.least(F.lit(0.02), r))
-    out = t.market.withColumn("r", clipped).withColumn("growth", ts.growth(F.col("r"), w))
+    out = t.market.withColumn("r", r).withColumn("growth", ts.growth(F.col("r"), w))
     return out.withColumn("drawdown", F.col("growth") / F.max("growth").over(w) - 1)
 
 

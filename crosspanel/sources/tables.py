@@ -48,6 +48,13 @@ class Tables:
         """
         return self.read("supplier").count()
 
+    @cached_property
+    def n_weeks(self) -> int:
+        """Weeks between the first and last trading day, both included: bounds the rows of
+        any symbol in a weekly panel."""
+        first, last = self.trades.agg(F.min("date"), F.max("date")).first()
+        return (last - first).days // 7 + 2 if first else 0
+
     # -- prices -------------------------------------------------------------
 
     @cached_property
