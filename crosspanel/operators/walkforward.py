@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
+from heapq import heappop, heappush
 from math import exp, log
 from random import Random
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.functions import xs
 from crosspanel.operators import ensemble
-from crosspanel.session import stage
+from crosspanel.session import stage, stage_dir
 
 
 def schedule(weeks: DataFrame, train: int, val: int, retrain: int, window: str = "rolling",
@@ -67,9 +69,44 @@ def _vector(cols: Sequence[str]) -> VectorAssembler:
 
 
 def gbt(label: str = "target", **params) -> GBTRegressor:
-    """Boosted trees that stop early on the rows flagged ``is_val``."""
-    settings = {"maxDepth": 4, "stepSize": 0.03, "maxIter": 200, "seed": 42} | params
-    return GBTRegressor(labelCol=label, validationIndicatorCol="is_val", **settings)
+    settings = {"maxDepth": 4, "stepSize": 0.03, "maxIter": 2000, "seed": 42} | params
+    return GBTRegressor(labelCol=label, **settings)
+
+
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Index of the lowest loss before ``patience`` rounds bring no lower one, and whether
+    that happened."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best, True
+    return best, False
+
+
+def boosted(fold: DataFrame, label: str = "target", patience: int = 50, **params) -> object:
+    """Boosted trees cut at their best round on the rows flagged ``is_val``.
+
+    MLlib's own stop ends at the first round that improves by little, so the rounds are run
+    in growing fits without a stop (a longer fit starts with the trees of a shorter one) until
+    ``patience`` rounds in a row bring nothing or ``maxIter`` is reached, and the trees up to
+    the best round are fitted.  Without validation rows all ``maxIter`` rounds are kept.
+    """
+    train, val = fold.filter(~F.col("is_val")), fold.filter("is_val")
+    most = gbt(label, **params).getMaxIter()
+    if val.isEmpty():
+        return gbt(label, **params).fit(train)
+    rounds = min(most, 2 * patience)
+    while True:
+        model = gbt(label, **params | {"maxIter": rounds}).fit(train)
+        best, ended = best_round(model.evaluateEachIteration(val, "squared"), patience)
+        if ended or rounds == most:
+            break
+        rounds = min(most, 2 * rounds)
+    if best + 1 == rounds:
+        return model
+    return gbt(label, **params | {"maxIter": best + 1}).fit(train)
 
 
 def forest(label: str = "target", **params) -> RandomForestRegressor:
@@ -81,22 +118,26 @@ def forest(label: str = "target", **params) -> RandomForestRegressor:
 Fit = Callable[[DataFrame], object]
 
 
-def bagged_gbt(space: dict[str, tuple[float, float]], n_candidates: int, n_select: int,
+def bagged_gbt(space: dict[str, tuple[float, float]], n_candidates: int = 200, n_select: int = 50,
                logs: Sequence[str] = ("stepSize",), ints: Sequence[str] = ("maxDepth", "maxIter"),
                seed: int = 42, base: dict | None = None, max_group: int | None = None) -> Fit:
-    """Random-parameter bag: fit candidates, keep the best by validation rank-IC."""
+    """Random-parameter bag: fit candidates, keep the best by validation rank-IC.
+
+    Only the ``n_select`` best models so far are held.
+    """
 
     def fit(fold: DataFrame):
-        rng, scored = Random(seed), []
+        rng, kept = Random(seed), []
         for k in range(n_candidates):
             params = (base or {}) | draw_params(space, rng, logs, ints)
-            model = gbt(**params, seed=seed + k).fit(fold)
+            model = boosted(fold, **params, seed=seed + k)
             val = model.transform(fold.filter("is_val"))
             ic = ensemble.rank_ic(val, "prediction", "target", max_group=max_group)
             value = ensemble.mean_rank_ic(ic).first()[0]
-            scored.append((value if value is not None else float("-inf"), k, model))
-        scored.sort(key=lambda s: (-s[0], s[1]))
-        return [m for _, _, m in scored[:n_select]]
+            heappush(kept, (value if value is not None else float("-inf"), -k, model))
+            if len(kept) > n_select:
+                heappop(kept)
+        return [m for _, _, m in sorted(kept, key=lambda s: s[:2], reverse=True)]
 
     return fit
 
@@ -126,14 +167,17 @@ def walk_forward(features: DataFrame, target: DataFrame, cols: Sequence[str], pl
                  max_group: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit every member at each retrain and score the weeks of its block.
 
-    Returns predictions (date, symbol, model, prediction), validation rank-IC per
+    Returns predictions (date, symbol, model, prediction, retrain_id), validation rank-IC per
     (retrain_id, model), and feature importances.  The driver loops over the retrains in
-    the plan, each a distributed MLlib fit; data stays in the tables.
+    the plan, each a distributed MLlib fit; data stays in the tables, and the predictions of
+    each block are written as it is fitted.
     """
+    spark = features.sparkSession
+    folder = f"{stage_dir(spark)}/predictions-{uuid.uuid4().hex}"
     vec = _vector(cols)
     features = stage(features.na.fill(0.0, list(cols)))
     joined = stage(features.join(target, ["date", "symbol"]).filter("target is not null"))
-    preds, ics, imps = [], [], []
+    ics, imps = [], []
     for row in plan.orderBy("retrain_id").collect():
         in_val = F.col("date").between(row.val_from, row.val_to)
         fold = joined.filter(F.col("date").between(row.train_from, row.val_to))
@@ -141,7 +185,7 @@ def walk_forward(features: DataFrame, target: DataFrame, cols: Sequence[str], pl
         weeks = features.filter(F.col("date").between(row.score_from, row.score_to))
         for name, fit in members.items():
             model = fit(fold)
-            preds.append(score(model, vec.transform(weeks)).withColumn("model", F.lit(name)))
+            score(model, vec.transform(weeks)).write.parquet(f"{folder}/retrain_id={row.retrain_id}/model={name}")
             val = score(model, fold.filter("is_val"), ["date", "symbol", "target"])
             ic = ensemble.rank_ic(val, "prediction", "target", max_group=max_group)
             value = ensemble.mean_rank_ic(ic).first()[0]
@@ -150,10 +194,8 @@ def walk_forward(features: DataFrame, target: DataFrame, cols: Sequence[str], pl
             for c, v in zip(cols, first.featureImportances.toArray().tolist()):
                 imps.append((row.retrain_id, name, c, v))
         fold.unpersist()
-    spark = features.sparkSession
-    every = preds[0]
-    for p in preds[1:]:
-        every = every.unionByName(p)
+    schema = features.select("date", "symbol").schema.add("prediction", "double")
+    every = spark.read.schema(schema.add("retrain_id", "integer").add("model", "string")).parquet(folder)
     ic_table = spark.createDataFrame(
         ics, "retrain_id int, score_from date, score_to date, model string, val_ic double"
     )

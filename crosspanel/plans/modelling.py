@@ -15,12 +15,12 @@ MODELS = portfolio_plans.MODELS
 TRAIN, VAL, RETRAIN = 104, 26, 12
 
 
-def plan_sql(first: str) -> str:
-    return f"""WITH idx AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM scores)),
-      r AS (SELECT *, (i - {TRAIN + VAL}) // {RETRAIN} AS retrain_id FROM idx WHERE i >= {TRAIN + VAL} AND (i - {TRAIN + VAL}) % {RETRAIN} = 0)
+def plan_sql(first: str, source: str = "scores", train: int = TRAIN, val: int = VAL, retrain: int = RETRAIN) -> str:
+    return f"""WITH idx AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM {source})),
+      r AS (SELECT *, (i - {train + val}) // {retrain} AS retrain_id FROM idx WHERE i >= {train + val} AND (i - {train + val}) % {retrain} = 0)
       SELECT retrain_id, r.date AS retrain_date, a.date AS train_from, b.date AS train_to, c.date AS val_from, d.date AS val_to,
-        r.date AS score_from, f.date AS score_to FROM r JOIN idx a ON a.i = {first} JOIN idx b ON b.i = r.i - {VAL + 1}
-        JOIN idx c ON c.i = r.i - {VAL} JOIN idx d ON d.i = r.i - 1 JOIN idx f ON f.i = least(r.i + {RETRAIN - 1}, r.n - 1)"""
+        r.date AS score_from, f.date AS score_to FROM r JOIN idx a ON a.i = {first} JOIN idx b ON b.i = r.i - {val + 1}
+        JOIN idx c ON c.i = r.i - {val} JOIN idx d ON d.i = r.i - 1 JOIN idx f ON f.i = least(r.i + {retrain - 1}, r.n - 1)"""
 
 
 view("plan", "scores", plan_sql(f"r.i - {TRAIN + VAL}"))
@@ -65,7 +65,7 @@ def fold_assembly(t):
 # -- trained members: results depend on the learner, so these have no SQL ---------------
 
 BIG_TRAIN, BIG_VAL, BIG_RETRAIN = 208, 52, 49
-QUICK_GBT = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.1, "maxBins": 16}
+QUICK_GBT = {"maxIter": 24, "patience": 4, "maxDepth": 3, "stepSize": 0.1, "maxBins": 16}
 QUICK_FOREST = {"numTrees": 10, "maxDepth": 4, "maxBins": 16}
 BAG_SPACE = {"stepSize": (0.05, 0.3), "maxDepth": (2, 4)}
 
@@ -82,7 +82,7 @@ def trained(t, members):
 
 
 def gbt_member(fold):
-    return walkforward.gbt(**QUICK_GBT).fit(fold)
+    return walkforward.boosted(fold, **QUICK_GBT)
 
 
 def forest_member(fold):
@@ -103,7 +103,7 @@ def random_forest(t):
 @query("h5_random_parameter_bag", "date:d symbol prediction:6")
 def parameter_bag(t):
     bag = walkforward.bagged_gbt(
-        BAG_SPACE, 3, 2, base={"maxIter": 5, "maxBins": 16}, max_group=t.n_symbols
+        BAG_SPACE, 3, 2, base={"maxIter": 8, "patience": 2, "maxBins": 16}, max_group=t.n_symbols
     )
     return trained(t, {"bag": bag})[0]
 
@@ -113,6 +113,33 @@ def weekly_scoring(t):
     return trained(t, {"gbt": gbt_member, "forest": forest_member})[0]
 
 
+BOTH = {"gbt": gbt_member, "forest": forest_member}
+view("big_plan", "four", plan_sql(f"r.i - {BIG_TRAIN + BIG_VAL}", "four", BIG_TRAIN, BIG_VAL, BIG_RETRAIN))
+
+
+@query(
+    "h6_scored_rows", "retrain_id:i model date:d n:i symbols:i",
+    """SELECT retrain_id, model, date, count(*) AS n, sum(symbol) AS symbols FROM four
+       JOIN big_plan p ON date BETWEEN score_from AND score_to CROSS JOIN (VALUES ('gbt'), ('forest')) v(model) GROUP BY 1, 2, 3""",
+    "four big_plan",
+)
+def scored_rows(t):
+    """Which retrain and model scored which names in each week."""
+    return trained(t, BOTH)[0].filter("prediction is not null").groupBy("retrain_id", "model", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("symbol").alias("symbols"))
+
+
+@query(
+    "h17_importance_totals", "retrain_id:i model features:i total:4",
+    """SELECT retrain_id, model, 4 AS features, 1.0 AS total FROM big_plan CROSS JOIN (VALUES ('gbt'), ('forest')) v(model)""",
+    "big_plan",
+)
+def importance_totals(t):
+    """Importances of every fit: one per feature, adding up to 1."""
+    return trained(t, BOTH)[2].groupBy("retrain_id", "model").agg(
+        F.count_distinct("feature").alias("features"), F.sum("importance").alias("total"))
+
+
 @query("h12_live_week", "date:d symbol prediction:6")
 def live_week(t):
     preds = trained(t, {"gbt": gbt_member, "forest": forest_member})[0]

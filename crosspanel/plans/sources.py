@@ -1,9 +1,12 @@
 """Queries for sources, keyed merges and sinks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crosspanel.functions import ts
 from crosspanel.plans.registry import query
+from crosspanel.session import stage_dir
 from crosspanel.sources import store
 
 SERIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -62,12 +65,19 @@ def append_only_merge(t):
 
 @query(
     "a5_event_dedupe", "symbol date:d action seq:i",
-    "SELECT symbol, date, action, min(seq) AS seq FROM ratings GROUP BY 1, 2, 3",
+    """SELECT symbol, date, action, min(seq) AS seq FROM (
+         SELECT * FROM ratings UNION ALL
+         SELECT symbol, date, CASE WHEN seq % 5 = 0 THEN 'upgrade' ELSE action END, seq + 1000000000
+         FROM ratings WHERE date >= DATE '2024-01-15') GROUP BY 1, 2, 3""",
     "ratings",
 )
 def event_dedupe(t):
-    topped_up = t.ratings.unionByName(t.ratings.filter("date >= '2024-01-15'"))
-    return store.first_by_key(topped_up, ["symbol", "date", "action"], "seq")
+    # The top-up comes later, and some of its rows differ, so they add keys of their own.
+    later = t.ratings.filter("date >= '2024-01-15'").withColumns({
+        "action": F.when(F.col("seq") % 5 == 0, "upgrade").otherwise(F.col("action")),
+        "seq": F.col("seq") + 1_000_000_000,
+    })
+    return store.first_by_key(t.ratings.unionByName(later), ["symbol", "date", "action"], "seq")
 
 
 @query(
@@ -186,6 +196,45 @@ def freshness(t):
 )
 def series_set_check(t):
     expected = F.explode(F.array(F.lit("1-URGENT"), F.lit("9-NONE")))
-    names = t.read("region").limit(1).select(expected.alias("series"))
+    names = t.spark.range(1).select(expected.alias("series"))
     found = t.read("orders").select(F.col("o_orderpriority").alias("series"))
     return store.missing_and_extra(found, names, "series")
+
+
+def _scratch(t, name: str) -> str:
+    return f"{stage_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "a13_csv_mirror", "symbol date:d close:4 volume:2",
+    "SELECT symbol, date, close, volume FROM bars", "bars",
+)
+def csv_mirror(t):
+    path = _scratch(t, "mirror")
+    store.write_csv_mirror(t.bars.select("symbol", "date", "close", "volume"), path, [F.col("date"), F.col("symbol")])
+    return t.spark.read.csv(path, header=True, schema="symbol long, date date, close double, volume double")
+
+
+@query(
+    "a14_metrics_json", "symbol n:i first:d volume:2",
+    "SELECT symbol, count(*) AS n, min(date) AS first, sum(volume) AS volume FROM bars GROUP BY 1", "bars",
+)
+def metrics_json(t):
+    path = _scratch(t, "metrics")
+    stats = t.bars.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.sum("volume").alias("volume"))
+    store.write_metrics_json(stats, path)
+    return t.spark.read.json(path, schema="symbol long, n long, first date, volume double")
+
+
+@query(
+    "a14_result_versions", "version:i symbol rows:i",
+    """SELECT v.version, symbol, count(*) AS rows FROM bars CROSS JOIN (VALUES (1), (2)) v(version)
+       WHERE v.version = 1 OR date >= DATE '1995-01-01' GROUP BY 1, 2""",
+    "bars",
+)
+def result_versions(t):
+    path = _scratch(t, "results")
+    store.write_version(t.bars, path, 1)
+    store.write_version(t.bars.filter("date >= '1995-01-01'"), path, 2)
+    return t.spark.read.parquet(path).groupBy("version", "symbol").agg(F.count(F.lit(1)).alias("rows"))

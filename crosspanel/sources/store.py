@@ -6,7 +6,9 @@ Spark files are immutable, so a merge returns the new version of the table and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -158,9 +160,15 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> None:
 
 
 def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The newest partition; the filter prunes folders before any file is opened."""
+    """The newest partition, by the names of the folders; no file of another is opened."""
     df = spark.read.parquet(path)
-    newest = df.agg(F.max(key)).scalar()
+    folders = df.inputFiles()
+    values = {m[1] for m in (re.search(rf"/{re.escape(key)}=([^/]*)/", f) for f in folders) if m}
+    dated = [v for v in values if v != "__HIVE_DEFAULT_PARTITION__"]
+    if not dated:
+        return df.limit(0)
+    names = spark.createDataFrame([(unquote(v),) for v in dated], "v string")
+    newest = names.agg(F.max(F.col("v").cast(df.schema[key].dataType))).scalar()
     return df.filter(F.col(key) == newest)
 
 
