@@ -346,7 +346,7 @@ def positions(t):
         F.sum("volume").alias("v"), F.max_by("close", "date").alias("market_price")
     )
     position = F.when(F.col("symbol") % 2 == 0, F.col("v")).otherwise(-F.col("v"))
-    return recent.filter("symbol % 5 = 0").select(
+    return recent.select(
         "symbol", position.alias("position"), "market_price",
         (position * F.col("market_price")).alias("market_value"),
     )
@@ -354,7 +354,7 @@ def positions(t):
 
 @query(
     "j16_book_totals", "new_orders:i liquidations:i long_usd:1 short_usd:1 liquidated_usd:1 gross_usd:1 net_usd:1",
-    """WITH pos AS (SELECT symbol, sum(volume) AS v, arg_max(close, date) AS price FROM bars WHERE date >= '2001-09-01' AND symbol % 5 = 0 GROUP BY 1),
+    """WITH pos AS (SELECT symbol, sum(volume) AS v, arg_max(close, date) AS price FROM bars WHERE date >= '2001-09-01' GROUP BY 1),
        every_order AS (SELECT action, est_usd, order_type FROM orders_sized UNION ALL
          SELECT CASE WHEN symbol % 2 = 0 THEN 'SELL' ELSE 'BUY' END, v * price, 'LIQUIDATE' FROM pos WHERE v <> 0)
        SELECT *, long_usd + short_usd AS gross_usd, long_usd - short_usd AS net_usd FROM (
@@ -373,7 +373,7 @@ def book_totals(t):
     "j17_reconcile_plan", "symbol action qty:i ref_px:4 limit_px:4",
     """WITH target AS (SELECT symbol, CASE action WHEN 'BUY' THEN shares ELSE -shares END AS s FROM orders_sized),
        held AS (SELECT symbol, CASE WHEN symbol % 2 = 0 THEN 1 ELSE -1 END * sum(volume) AS s FROM bars
-                WHERE date >= '2001-09-01' AND symbol % 5 = 0 GROUP BY symbol),
+                WHERE date >= '2001-09-01' GROUP BY symbol),
        d AS (SELECT symbol, round_even(coalesce(t.s, 0) - coalesce(h.s, 0), 0) AS delta FROM target t FULL JOIN held h USING (symbol))
        SELECT d.symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS action, abs(delta) AS qty, price AS ref_px,
          price * (1 + CASE WHEN delta > 0 THEN 1 ELSE -1 END * 25.0 / 1e4) AS limit_px

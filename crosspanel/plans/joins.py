@@ -9,24 +9,25 @@ from crosspanel.plans.sql import week
 
 
 @query(
-    "c1_lookup_with_default", "date:d symbol sector",
-    """SELECT date, symbol, coalesce(sector, 'Unknown') AS sector FROM bars
-       LEFT JOIN (SELECT * FROM profile WHERE sector <> 'ASIA') USING (symbol)""",
-    "bars profile",
+    "c1_lookup_with_default", "date:d symbol action",
+    """SELECT date, symbol, coalesce(action, 'Unknown') AS action FROM bars
+       LEFT JOIN (SELECT symbol, arg_max(action, seq) AS action FROM ratings GROUP BY 1) USING (symbol)""",
+    "bars ratings",
 )
 def lookup_with_default(t):
-    return joins.with_default(t.bars, t.profile.filter("sector <> 'ASIA'"), "symbol", "sector")
+    last = t.ratings.groupBy("symbol").agg(F.max_by("action", "seq").alias("action"))
+    return joins.with_default(t.bars, last, "symbol", "action")
 
 
 @query(
-    "c2_outer_alignment", "date:d symbol close:4 volume:2",
-    """SELECT date, symbol, close, volume FROM (SELECT date, symbol, close FROM bars WHERE symbol % 3 <> 0)
-       FULL JOIN (SELECT date, symbol, volume FROM bars WHERE symbol % 2 = 0) USING (date, symbol)""",
-    "bars",
+    "c2_outer_alignment", "date:d symbol close:4 revenue:2",
+    """SELECT date, symbol, close, revenue FROM (SELECT date, symbol, close FROM bars)
+       FULL JOIN (SELECT date, symbol, revenue FROM statements) USING (date, symbol)""",
+    "bars statements",
 )
 def outer_alignment(t):
-    a = t.bars.filter("symbol % 3 <> 0").select("date", "symbol", "close")
-    b = t.bars.filter("symbol % 2 = 0").select("date", "symbol", "volume")
+    a = t.bars.select("date", "symbol", "close")
+    b = t.statements.select("date", "symbol", "revenue")
     return a.join(b, ["date", "symbol"], "full_outer")
 
 
@@ -164,16 +165,16 @@ def semi_and_anti(t):
     return parts[0].unionByName(parts[1])
 
 
-BOOKS_SQL = """WITH target AS (SELECT symbol, sum(volume) / 7 AS shares FROM bars WHERE date >= '2001-06-01' AND symbol % 3 <> 0 GROUP BY 1),
-  held AS (SELECT symbol, sum(volume) / 9 AS shares FROM bars WHERE date BETWEEN '2001-01-01' AND '2001-05-31' AND symbol % 4 <> 0 GROUP BY 1)"""
+BOOKS_SQL = """WITH target AS (SELECT symbol, sum(volume) / 7 AS shares FROM bars WHERE date >= '2001-06-01' GROUP BY 1),
+  held AS (SELECT symbol, sum(volume) / 9 AS shares FROM bars WHERE date BETWEEN '2001-01-01' AND '2001-05-31' GROUP BY 1)"""
 
 
 def books(t):
     """A target book and a held book, both with fractional shares."""
-    target = t.bars.filter("date >= '2001-06-01' and symbol % 3 <> 0").groupBy("symbol").agg(
+    target = t.bars.filter("date >= '2001-06-01'").groupBy("symbol").agg(
         (F.sum("volume") / 7).alias("shares")
     )
-    held = t.bars.filter("date between '2001-01-01' and '2001-05-31' and symbol % 4 <> 0").groupBy(
+    held = t.bars.filter("date between '2001-01-01' and '2001-05-31'").groupBy(
         "symbol"
     ).agg((F.sum("volume") / 9).alias("shares"))
     return target, held
@@ -229,7 +230,7 @@ def enrich_selection(t):
 @query(
     "c16_priority_merge", "host page_id:i prio:i rank:i",
     r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages),
-       lead_rows AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM p WHERE page_id % 3 = 0),
+       lead_rows AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM p WHERE url LIKE 'https:%'),
        first_rows AS (SELECT page_id, url, host, 0 AS prio FROM lead_rows WHERE r <= 6),
        both_rows AS (SELECT * FROM first_rows UNION ALL SELECT page_id, url, host, 1 FROM p
          WHERE NOT EXISTS (SELECT 1 FROM first_rows f WHERE f.url = p.url AND f.host = p.host))
@@ -238,4 +239,4 @@ def enrich_selection(t):
 )
 def priority_merge(t):
     p = t.read("pages").select("page_id", "url", F.expr("parse_url(url, 'HOST')").alias("host"))
-    return joins.merge_by_priority(p.filter("page_id % 3 = 0"), p, "host", "url", "page_id", 6, 8)
+    return joins.merge_by_priority(p.filter("url like 'https:%'"), p, "host", "url", "page_id", 6, 8)

@@ -73,19 +73,19 @@ def latest_report(t):
 
 @query(
     "l3_valuation", "symbol pe_ttm:5 pb_ttm:5 ev_ebitda_ttm:5 ev_sales_ttm:5 debt_to_equity_ttm:5 gross_margin_ttm:2 roe_ttm:2 fcf_yield_ttm:2",
-    """WITH q AS (SELECT symbol, arg_max(net_income, date) AS ni, arg_max(total_equity, date) AS eq, arg_max(revenue, date) AS rev,
+    """WITH q AS (SELECT symbol, arg_max(net_income, date) AS ni, arg_max(net_income, date) AS net, arg_max(total_equity, date) AS eq, arg_max(revenue, date) AS rev,
          arg_max(gross_profit, date) AS gp, arg_max(ebitda, date) AS ebitda, arg_max(total_debt, date) AS debt, arg_max(shares, date) AS sh,
          arg_max(free_cash_flow, date) AS fcf FROM statements GROUP BY symbol)
        SELECT symbol, eq / nullif(ni, 0) AS pe_ttm, rev / nullif(eq, 0) AS pb_ttm, (eq + debt) / nullif(ebitda, 0) AS ev_ebitda_ttm,
-         CASE WHEN symbol % 3 <> 0 THEN (eq + debt) / rev END AS ev_sales_ttm, debt / nullif(eq, 0) AS debt_to_equity_ttm,
-         round(gp / rev * 100, 2) AS gross_margin_ttm, CASE WHEN symbol % 3 <> 0 THEN round(ni / nullif(eq, 0) * 100, 2) END AS roe_ttm,
-         CASE WHEN symbol % 3 <> 0 THEN round(fcf / nullif(eq, 0) * 100, 2) END AS fcf_yield_ttm FROM (
-           SELECT q.* REPLACE (CASE WHEN symbol % 3 <> 0 THEN ebitda END AS ebitda) FROM q)""",
+         CASE WHEN net > 0 THEN (eq + debt) / rev END AS ev_sales_ttm, debt / nullif(eq, 0) AS debt_to_equity_ttm,
+         round(gp / rev * 100, 2) AS gross_margin_ttm, CASE WHEN net > 0 THEN round(ni / nullif(eq, 0) * 100, 2) END AS roe_ttm,
+         CASE WHEN net > 0 THEN round(fcf / nullif(eq, 0) * 100, 2) END AS fcf_yield_ttm FROM (
+           SELECT q.* REPLACE (CASE WHEN net > 0 THEN ebitda END AS ebitda) FROM q)""",
     "statements",
 )
 def valuation(t):
     q, c = latest_report(t), F.col
-    metrics = q.filter("symbol % 3 <> 0").select(
+    metrics = q.filter("net_income > 0").select(
         "symbol", ts.ratio(c("total_equity") + c("total_debt"), c("ebitda")).alias("ev_ebitda_ttm"),
         ts.ratio(c("total_equity") + c("total_debt"), c("revenue")).alias("ev_sales_ttm"),
         ts.ratio(c("net_income"), c("total_equity")).alias("roe"),
@@ -104,20 +104,20 @@ def valuation(t):
     "l4_nearest_estimate", "symbol date:d revenue:2",
     """SELECT symbol, coalesce(min(date) FILTER (WHERE date > DATE '2001-02-15'), min(date)) AS date,
          coalesce(arg_min(revenue, date) FILTER (WHERE date > DATE '2001-02-15'), arg_min(revenue, date)) AS revenue
-       FROM statements WHERE symbol % 10 <> 0 OR date < DATE '2000-01-01' GROUP BY symbol""",
+       FROM statements GROUP BY symbol""",
     "statements",
 )
 def nearest_estimate(t):
-    rows = t.statements.filter("symbol % 10 <> 0 or date < '2000-01-01'").select("symbol", "date", "revenue")
+    rows = t.statements.select("symbol", "date", "revenue")
     return r.nearest_estimate(rows, day("2001-02-15"))
 
 
 @query(
     "l5_consensus", "symbol available:i reason buys:0 avg_pt:2 pt_vs_price_pct:2",
     f"""WITH names AS (SELECT s_suppkey AS symbol, code FROM ({universe_plans.SYMBOL_SQL})),
-       rt AS (SELECT user_id AS symbol, count(*) FILTER (WHERE event_type = 'purchase') AS buys FROM events WHERE user_id < 60 GROUP BY 1),
-       pt AS (SELECT l_suppkey AS symbol, CASE WHEN l_suppkey % 2 = 0 THEN avg(l_extendedprice) ELSE 0.0 END AS m, avg(l_extendedprice) * 1.1 AS q
-              FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1),
+       rt AS (SELECT user_id AS symbol, count(*) FILTER (WHERE event_type = 'purchase') AS buys FROM events GROUP BY 1),
+       pt AS (SELECT l_suppkey AS symbol, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') > count(*) FILTER (WHERE l_returnflag = 'A') THEN avg(l_extendedprice) ELSE 0.0 END AS m, avg(l_extendedprice) * 1.1 AS q
+              FROM lineitem GROUP BY 1),
        px AS (SELECT symbol, arg_max(close, date) AS price FROM bars GROUP BY symbol)
        SELECT symbol, rt.symbol IS NOT NULL OR pt.symbol IS NOT NULL AS available,
          CASE WHEN rt.symbol IS NULL AND pt.symbol IS NULL THEN CASE WHEN code LIKE '%.TO' OR code LIKE '%.L'
@@ -128,12 +128,12 @@ def nearest_estimate(t):
 )
 def consensus(t):
     names = universe_plans.listing_codes(t).withColumnRenamed("s_suppkey", "symbol")
-    ratings = t.read("events").filter("user_id < 60").groupBy(F.col("user_id").alias("symbol")).agg(
+    ratings = t.read("events").groupBy(F.col("user_id").alias("symbol")).agg(
         F.count_if(F.col("event_type") == "purchase").alias("buys")
     )
     avg = F.avg("l_extendedprice")
-    targets = t.read("lineitem").filter("l_suppkey % 3 <> 0").groupBy(F.col("l_suppkey").alias("symbol")).agg(
-        F.when(F.col("symbol") % 2 == 0, avg).otherwise(0.0).alias("avg_month"), (avg * 1.1).alias("avg_quarter")
+    targets = t.read("lineitem").groupBy(F.col("l_suppkey").alias("symbol")).agg(
+        F.when(F.count_if(F.col("l_returnflag") == "R") > F.count_if(F.col("l_returnflag") == "A"), avg).otherwise(0.0).alias("avg_month"), (avg * 1.1).alias("avg_quarter")
     )
     from crosspanel.operators.orders import last_prices
 
@@ -146,11 +146,11 @@ def consensus(t):
           next_date - DATE '{AS_OF}' AS days_until, verdict, z20
         FROM aligned a LEFT JOIN (SELECT symbol, arg_max(eps_actual, date) FILTER (WHERE past) AS eps_actual,
           arg_max(eps_estimated, date) FILTER (WHERE past) AS eps_estimated, min(date) FILTER (WHERE date > DATE '{AS_OF}') AS next_date
-          FROM (SELECT *, date <= DATE '{AS_OF}' AND eps_actual IS NOT NULL AS past FROM earn WHERE symbol % 5 <> 0) GROUP BY symbol) e USING (symbol)""",
+          FROM (SELECT *, date <= DATE '{AS_OF}' AND eps_actual IS NOT NULL AS past FROM earn) GROUP BY symbol) e USING (symbol)""",
     "aligned earn",
 )
 def flatten_dossier(t):
-    e = r.earnings(earnings_rows(t).filter("symbol % 5 <> 0"), day(AS_OF), day(TARGET)).select(
+    e = r.earnings(earnings_rows(t), day(AS_OF), day(TARGET)).select(
         "symbol",
         F.struct(
             F.struct("eps_actual", "eps_surprise_pct").alias("last"),

@@ -158,11 +158,11 @@ def preferred_filter(t):
     "b9_region_of_symbol", "symbol region",
     """SELECT symbol, CASE min(p) WHEN 1 THEN 'US' WHEN 2 THEN 'UK' ELSE 'CA' END AS region FROM (
          SELECT l_suppkey AS symbol, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS p
-         FROM lineitem WHERE l_tax > 0.07 OR l_suppkey % 3 = 0) GROUP BY symbol""",
+         FROM lineitem) GROUP BY symbol""",
 )
 def region_of_symbol(t):
     flag = F.col("l_returnflag")
-    listings = t.read("lineitem").filter("l_tax > 0.07 or l_suppkey % 3 = 0").select(
+    listings = t.read("lineitem").select(
         F.col("l_suppkey").alias("symbol"),
         F.when(flag == "R", "US").when(flag == "A", "UK").otherwise("CA").alias("region"),
     )
@@ -221,8 +221,8 @@ def screener_snapshot(t):
 THIN_SQL = """WITH counts AS (SELECT symbol, count(*) AS rows, min(date) AS first_date, max(date) AS last_date
          FROM bars GROUP BY symbol),
        cut AS (SELECT median(rows) AS m FROM counts),
-       renames AS (SELECT CAST(o_orderdate AS DATE) AS date, o_custkey % 300 AS old_symbol, o_orderkey AS k,
-           o_orderkey % 400 AS new_symbol FROM orders WHERE o_orderstatus = 'P'),
+       renames AS (SELECT CAST(o_orderdate AS DATE) AS date, o_custkey AS old_symbol, o_orderkey AS k,
+           o_orderkey AS new_symbol FROM orders WHERE o_orderstatus = 'P'),
        latest AS (SELECT old_symbol, arg_max(new_symbol, (date, k)) AS new_symbol FROM renames GROUP BY 1),
        reasons AS (SELECT symbol, arg_max(reason, (date, seq)) AS reason FROM (
            SELECT user_id AS symbol, CAST(ts AS DATE) AS date, event_id AS seq, CASE event_type
@@ -242,7 +242,7 @@ def thin_audit(t):
     cut = float(counts.agg(F.median("count")).first()[0])
     renames = t.read("orders").filter("o_orderstatus = 'P'").select(
         F.struct(F.to_date("o_orderdate").alias("d"), F.col("o_orderkey").alias("k")).alias("date"),
-        (F.col("o_custkey") % 300).alias("old_symbol"), (F.col("o_orderkey") % 400).alias("new_symbol"),
+        F.col("o_custkey").alias("old_symbol"), F.col("o_orderkey").alias("new_symbol"),
     )
     kind = F.col("event_type")
     reasons = t.read("events").select(
