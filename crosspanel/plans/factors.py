@@ -650,6 +650,31 @@ def observed_sessions(t):
     return sessions.sessions(t.bars, t.calendar, min_frac=0.8)
 
 
+@query(
+    "g5_sessions_default", "date:d n:i norm:2",
+    """SELECT * FROM (SELECT date, n, median(n) OVER (ORDER BY date ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS norm
+         FROM (SELECT date, count(close) AS n FROM bars GROUP BY date)) WHERE n >= 0.2 * norm AND n > 0""",
+    "bars",
+)
+def observed_sessions_default(t):
+    return sessions.sessions(t.bars, t.calendar)
+
+
+@query(
+    "g6_sessions_by_region_default", "date:d region n:i norm:2",
+    """SELECT * FROM (SELECT date, region, n, median(n) OVER (PARTITION BY region ORDER BY date
+         ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS norm FROM (
+         SELECT c.date, r.region, coalesce(k.n, 0) AS n FROM cal c CROSS JOIN (SELECT DISTINCT region FROM profile) r
+         LEFT JOIN (SELECT date, region, count(close) AS n FROM bars JOIN profile USING (symbol) GROUP BY 1, 2) k
+         ON k.date = c.date AND k.region = r.region))
+       WHERE n >= 0.2 * norm AND n > 0""",
+    "bars profile cal",
+)
+def sessions_by_region_default(t):
+    by_region = t.bars.join(t.profile.select("symbol", "region"), "symbol")
+    return sessions.sessions(by_region, t.calendar, "region")
+
+
 def region_sessions(t):
     by_region = t.bars.join(t.profile.select("symbol", "region"), "symbol")
     return sessions.sessions(by_region, t.calendar, "region", min_frac=0.6)

@@ -81,9 +81,9 @@ def dispersion(t):
     return p.dispersion(four(t), COLS)
 
 
-def corr_sql(where: str) -> str:
+def corr_sql(where: str, least: int = 4) -> str:
     parts = [
-        f"SELECT date, '{a} / {b}' AS pair, corr({a}, {b}) AS corr FROM full_rows GROUP BY date HAVING count(*) > 4"
+        f"SELECT date, '{a} / {b}' AS pair, corr({a}, {b}) AS corr FROM full_rows GROUP BY date HAVING count(*) > {least}"
         for a, b in combinations(COLS, 2)
     ]
     full = " AND ".join(f"{c} IS NOT NULL" for c in COLS)

@@ -74,6 +74,18 @@ def adv_filter(t):
     return u.adv_mask(t.grid, t.profile, ADV_FLOOR, ADV_ROWS, ADV_MIN)
 
 
+@query(
+    "b2_adv_filter_defaults", "date:d symbol liquid:i",
+    f"""SELECT date, symbol, coalesce(CASE WHEN n >= 63 THEN m END >= {case('region', ADV_FLOOR, '1e300')}, false) AS liquid
+        FROM (SELECT *, count(close) OVER w AS n, avg(close * volume) OVER w AS m FROM grid
+              WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 125 PRECEDING AND CURRENT ROW))
+        LEFT JOIN profile USING (symbol) WHERE px IS NOT NULL""",
+    "grid profile",
+)
+def adv_filter_defaults(t):
+    return u.adv_mask(t.grid, t.profile, ADV_FLOOR)
+
+
 @query(
     "b3_keep_by_last_row", "symbol",
     """SELECT symbol FROM adv_daily WHERE adv >= 60000 AND date = (SELECT max(date) FROM cal)""",
