@@ -63,7 +63,11 @@ GOOD = '{"thesis": "t", "theme": "x", "fundamental_read": "f", "technical_read":
         ("no braces", "no JSON object found in response"),
         ("{broken}", "invalid JSON"),
         (GOOD.replace('"x"', "3"), "missing or non-string keys: theme"),
-        (GOOD[:-1] + ', "catalysts": {"a": 1}}', "catalysts must be a list"),
+        (GOOD[:-1] + ', "catalysts": {"a": 1}}', "catalysts must be a list, got dict"),
+        ("[" + GOOD + "]", "expected a JSON object, got list"),
+        ("42", "expected a JSON object, got int"),
+        (GOOD[:-1] + ', "catalysts": true}', "catalysts must be a list, got bool"),
+        (GOOD[:-1] + ', "catalysts": 0, "headline_risks": false, "sources_used": {}}', None),
     ],
 )
 def test_briefs(spark, text, problem):
@@ -72,6 +76,12 @@ def test_briefs(spark, text, problem):
     assert (out.thesis == "t") == (problem is None)
 
 
+def test_brief_list_items_become_text(spark):
+    text = GOOD[:-1] + ', "catalysts": " alone ", "sources_used": [1, true, null, " x ", "", 2.5], "headline_risks": {}}'
+    out = research.parse_briefs(spark.createDataFrame([(text,)], "text string")).first()
+    assert (out.catalysts, out.sources_used, out.headline_risks) == (["alone"], ["1", "True", "None", "x", "2.5"], [])
+
+
 def test_rank_ic(spark):
     rng = np.random.default_rng(0)
     rows = [(dt.date(2020, 1, 2) + dt.timedelta(7 * w), i, float(v)) for w in range(3) for i, v in enumerate(rng.normal(size=40 if w else 3))]
