@@ -239,7 +239,61 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP11 = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+        CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+    FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (
+    SELECT * FROM pair WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, p.vec_id AS positive_id,
+    CAST(row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INT) AS rank,
+    n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive AS p JOIN pair AS n USING (anchor_id)
+WHERE NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+"""
+
+OP12 = r"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM piece),
+f AS (
+    SELECT lang, k, ws[i : i + k - 1] AS seq, count(*) AS f
+    FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+          FROM p, unnest(range(1, 5)) AS v(k) WHERE len(ws) >= k) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, seq, f AS a FROM f WHERE k >= 2 AND f >= 30),
+side AS (SELECT lang, seq, a, j, seq[1 : j] AS head, seq[j + 1 : k] AS tail
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+cut AS (
+    SELECT side.lang, side.seq, a, j, l.f AS l, r.f AS r,
+        CAST(CAST(2000000 AS HUGEINT) * a // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+    FROM side JOIN f AS l ON l.lang = side.lang AND l.seq = side.head
+    JOIN f AS r ON r.lang = side.lang AND r.seq = side.tail),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, seq ORDER BY score, j) = 1),
+part AS (
+    SELECT lang, seq[i : i + m - 1] AS seq, max(a) AS longer
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, unnest(range(2, 4)) AS u(m) WHERE k > m)
+    GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.seq, ' ')) AS rank,
+    array_to_string(b.seq, ' ') AS phrase, a, l, r, n, score
+FROM best AS b JOIN total USING (lang) LEFT JOIN part ON part.lang = b.lang AND part.seq = b.seq
+WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a
+QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2, "op3_shard": OP3, "op5_url_filter": OP5, "op6_substrings": OP6,
     "op7_mix": OP7, "op9_quality": OP9, "op10_chat": OP10,
+    "op11_hard_negatives": OP11, "op12_collocations": OP12,
 }

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from crosspanel.llm import (
     chat,
     decontaminate,
+    langid,
     mixing,
     neardup,
+    negatives,
+    phrases,
     quality,
     sharding,
     substrings,
@@ -114,10 +117,29 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), label=label)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs)).select(
+        "doc_id",
+        F.coalesce(langid.is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "lang_pred", "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_decontaminate, op3_shard, op4_tokens, op5_url_filter, op6_substrings,
-        op7_mix, op8_near_duplicates, op9_quality, op10_chat,
+        op7_mix, op8_near_duplicates, op9_quality, op10_chat, op11_hard_negatives,
+        op12_collocations, op13_language,
     )
 }
