@@ -1,24 +1,28 @@
 """Chat formatting of typed content parts.
 
-A message's content is an array of parts ``struct<kind, text, ref, tokens>``.  The visitor
-flattens it in order: a text part becomes its escaped text; an image, audio or document part
-becomes a numbered placeholder (counted over the conversation) and an attachment record of
-its kind, reference and the tokens it expands to.
+A message's content is an array of parts ``struct<kind, text, ref, tokens>``; a plain text is an
+array of one text part.  The visitor flattens the parts in order: a text part becomes its escaped
+text; an image, audio or document part becomes a numbered placeholder (counted over the
+conversation) and an attachment record of its kind, reference and the tokens it expands to.
 
 Template: ``[TURN]role[SAYS]content[END]`` per turn.  ``&``, ``<`` and ``[`` inside texts,
 roles and references are written ``&amp;``, ``&lt;`` and ``&#91;``, so no control string can
-be spelled by a text, and unescaping gives the text back exactly.  The loss mask covers the
-content of assistant turns.
-
-Turns are sorted by turn, then role and text (nulls first); equal rows stay.  Null texts and
-roles are empty; rows with a null conversation form one conversation.  A conversation is one
-output row, so its turns are gathered by the task that writes it.  An empty table gives an
-empty result; extra columns are not read.
+be spelled by a text, and unescaping gives the text back exactly.  The loss mask is an array of
+spans (start and length in characters of the formatted text) that cover the text parts of
+assistant turns, not their placeholders; ``masked_text`` cuts them out and unescapes them.
+
+Parts are numbered and placed by running sums over the conversation, so a turn of many parts, or
+a conversation of many turns, costs its sort.  Turns are sorted by turn, then role and parts
+(nulls first); equal rows stay.  Null texts, roles and parts are empty; a part of any other kind,
+or none, counts as text; rows with a null conversation form one conversation.  A conversation is
+one output row, so its turns are gathered by the task that writes it, long texts included.  An
+empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Tokens that an attachment expands to where its part states none.
@@ -46,7 +50,7 @@ def text_parts(text: Column) -> Column:
 
 
 def is_attachment(part: Column) -> Column:
-    return part["kind"].isin(*DEFAULT_TOKENS)
+    return F.coalesce(part["kind"].isin(*DEFAULT_TOKENS), F.lit(False))
 
 
 def part_tokens(part: Column) -> Column:
@@ -56,20 +60,41 @@ def part_tokens(part: Column) -> Column:
     return F.coalesce(part["tokens"], default).cast("bigint")
 
 
-def _visit(part: Column, at: Column) -> Column:
-    """The written form of one part; ``at`` numbers the attachments."""
-    held = F.concat(F.lit("<"), part["kind"], F.lit(":"), at.cast("string"), F.lit(">"))
+def visit(part: Column, number: Column) -> Column:
+    """The written form of one part; ``number`` counts the attachments up to it."""
+    held = F.concat(F.lit("<"), part["kind"], F.lit(":"), number.cast("string"), F.lit(">"))
     return F.when(is_attachment(part), held).otherwise(escaped(part["text"]))
 
 
-def conversations_of(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, parts: Column) -> DataFrame:
-    """conv_id and its messages in order, each struct<turn, role, parts>."""
-    message = F.struct(
-        F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
+def visited_parts(
+    rows: DataFrame, conv_col: str, turn_col: str, role_col: str, parts: Column
+) -> DataFrame:
+    """One row per part in its conversation's order (nth message, pos), with its written form.
+
+    A message without parts has one row, whose part is null.
+    """
+    messages = rows.select(
+        F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
+        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         parts.cast(f"array<{PART}>").alias("parts"),
     )
-    return rows.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(
-        F.sort_array(F.collect_list(message)).alias("messages")
+    in_order = W.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    up_to = W.partitionBy("conv_id").orderBy("nth", "pos").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("conv_id").orderBy("nth", "pos").rowsBetween(W.unboundedPreceding, -1)
+    last = F.coalesce(F.size("parts") - 1, F.lit(0))
+    return (
+        messages.withColumn("nth", F.row_number().over(in_order))
+        .select("conv_id", "nth", "role", F.greatest(last, F.lit(0)).alias("last"),
+                F.posexplode_outer("parts").alias("pos", "part"))
+        .withColumn("pos", F.coalesce("pos", F.lit(0)))
+        .withColumn("attached", is_attachment(F.col("part")))
+        .withColumn("number", F.sum(F.col("attached").cast("int")).over(up_to))
+        .withColumn("piece", visit(F.col("part"), F.col("number")))
+        .withColumn("opening", F.when(
+            F.col("pos") == 0, F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(SAYS))).otherwise(""))
+        .withColumn("written", F.concat(
+            "opening", "piece", F.when(F.col("pos") == F.col("last"), F.lit(END)).otherwise("")))
+        .withColumn("start", F.coalesce(F.sum(F.length("written")).over(before), F.lit(0)) + F.length("opening"))
     )
 
 
@@ -80,34 +105,41 @@ def format_chat(
     role_col: str = "role",
     text_col: str = "text",
     parts_col: str | None = None,
+    learned_role: str = "assistant",
 ) -> DataFrame:
-    """conv_id, formatted, attachments (array of number, kind, ref, tokens), attachment_tokens."""
+    """conv_id, formatted, mask (array of start, length), attachments (array of number, kind,
+    ref, tokens) and attachment_tokens of each conversation."""
     parts = F.col(parts_col) if parts_col else text_parts(F.col(text_col))
-    talks = conversations_of(rows, conv_col, turn_col, role_col, parts)
-
-    def attachments(messages: Column) -> Column:
-        return F.filter(F.flatten(F.transform(messages, lambda m: m["parts"])), is_attachment)
-
-    def content(m: Column, first: Column) -> Column:
-        seen = F.transform(m["parts"], lambda p, i: F.size(
-            F.filter(F.slice(m["parts"], 1, i), is_attachment)))
-        return F.array_join(
-            F.zip_with(m["parts"], seen, lambda p, i: _visit(p, first + i + 1)), "")
-
-    def turn(m: Column, i: Column) -> Column:
-        before = F.size(attachments(F.slice(F.col("messages"), 1, i)))
-        said = content(m, before) if parts_col else escaped(m["parts"][0]["text"])
-        return F.concat(F.lit(TURN), escaped(m["role"]), F.lit(SAYS), said, F.lit(END))
-
-    records = F.transform(attachments(F.col("messages")), lambda p, i: F.struct(
-        (i + 1).alias("number"), p["kind"].alias("kind"), p["ref"].alias("ref"),
-        part_tokens(p).alias("tokens")))
-    return talks.select(
-        "conv_id",
-        F.array_join(F.transform("messages", turn), "").alias("formatted"),
-        records.alias("attachments"),
-    ).withColumn("attachment_tokens", F.aggregate(
-        "attachments", F.lit(0).cast("bigint"), lambda s, a: s + a["tokens"]))
+    visited = visited_parts(rows, conv_col, turn_col, role_col, parts)
+    learned = (F.col("role") == learned_role) & ~F.col("attached") & (F.length("piece") > 0)
+    span = F.struct("start", F.length("piece").cast("long").alias("length"))
+    record = F.struct(
+        "number", F.col("part.kind").alias("kind"), F.col("part.ref").alias("ref"),
+        part_tokens(F.col("part")).alias("tokens"))
+    gathered = visited.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("nth", "pos", "written"))).alias("pieces"),
+        F.sort_array(F.collect_list(F.when(learned, span))).alias("mask"),
+        F.sort_array(F.collect_list(F.when(F.col("attached"), record))).alias("attachments"),
+    )
+    return gathered.select(
+        "conv_id", F.array_join("pieces.written", "").alias("formatted"), "mask", "attachments",
+        F.aggregate("attachments", F.lit(0).cast("bigint"), lambda s, a: s + a["tokens"])
+        .alias("attachment_tokens"),
+    )
+
+
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """The text under the mask, unescaped.
+
+    Cut from a form of four bytes a character, where the place of a span is known without
+    reading what precedes it; the outer ``transform`` holds that form as a variable.
+    """
+    def cut(wide: Column) -> Column:
+        spans = F.transform(mask, lambda s: F.decode(
+            F.substr(wide, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int")), "UTF-32"))
+        return unescaped(F.array_join(spans, ""))
+
+    return F.transform(F.array(F.encode(formatted, "UTF-32")), cut)[0]
 
 
 def read_back(formatted: Column) -> Column:

@@ -100,12 +100,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id long, turn long, role string, text string",
     )
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    answers = F.filter("turns", lambda t: t["role"] == "assistant")
-    loss = F.array_join(F.transform(answers, lambda t: t["text"]), "")
     return (
         chat.format_chat(rows.unionByName(extra))
         .withColumn("turns", chat.read_back(F.col("formatted")))
-        .withColumn("loss", loss)
+        .withColumn("loss", chat.masked_text(F.col("formatted"), F.col("mask")))
         .select(
             "conv_id",
             F.size("turns").cast("long").alias("n_turns"),

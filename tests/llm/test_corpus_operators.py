@@ -103,6 +103,10 @@ def test_positions_invert_the_schedule(spark):
         assert np.allclose(got, ts[::100], atol=1e-6)
 
 
+def _md5(text):
+    return hashlib.md5((text or "").encode()).digest()
+
+
 def _brute_repeats(docs, k):
     seen, out = set(), []
     for doc, text in sorted(docs.items(), key=lambda d: (d[0][0] is not None, d[0][0] or 0, d[0][1])):
@@ -127,18 +131,43 @@ def test_substrings_against_brute_force(spark, awkward, awkward_rows, clashing,
     docs = clashing.select("doc_id", "text", "key", "crc", "start").union(
         spark.createDataFrame(more, "doc_id long, text string").selectExpr("*", "'x'", "'x'", "'x'"))
     every = [r[:2] for r in awkward_rows] + more
-    # Rows equal in id and text are one document; rows of equal id are ordered by crc32.
-    distinct = {(i, zlib.crc32((t or "").encode())): t for i, t in every}
-    want = {(d, zlib.crc32((t or "").encode())): row for (d, _), t, row in zip(
-        sorted(distinct, key=lambda d: (d[0] is not None, d[0] or 0, d[1])),
-        [distinct[k] for k in sorted(distinct, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))],
-        _brute_repeats(distinct, 5))}
+    # Rows equal in id and text are one document; rows of equal id are ordered by md5.
+    distinct = {(i, _md5(t)): t for i, t in every}
+    order = sorted(distinct, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+    want = dict(zip(order, _brute_repeats(distinct, 5)))
     got = substrings.dedup_substrings(docs, window=5)
-    assert bag(got.drop("kept").collect()) == bag(want[i, zlib.crc32((t or "").encode())] for i, t in every)
+    assert bag(got.drop("kept").collect()) == bag(want[i, _md5(t)] for i, t in every)
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
     assert substrings.dedup_substrings(empty).count() == 0
 
 
+def test_texts_of_one_id_and_one_crc32_are_two_documents(spark):
+    rng = random.Random(1)
+    seen = {}
+    while True:
+        text = " ".join(str(rng.randrange(10**6)) for _ in range(25))
+        crc = zlib.crc32(text.encode())
+        if crc in seen:
+            break
+        seen[crc] = text
+    rows = [(1, text), (1, seen[crc]), (2, seen[crc]), (3, text)]
+    got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == [(1, 25, 0), (1, 25, 0), (2, 25, 25), (3, 25, 25)]
+
+
+@pytest.mark.parametrize("unit_words", [500_000, 50, 1])
+def test_a_passage_of_every_text_meets_in_two_levels(spark, monkeypatch, unit_words):
+    """The number of groups follows the units; the result doesn't."""
+    monkeypatch.setattr(substrings, "UNIT_WORDS", unit_words)
+    monkeypatch.setattr(substrings, "BUCKET_WINDOWS", 100)
+    passage = " ".join(f"common{i}" for i in range(30))
+    rows = [(i, f"own{i}a own{i}b {passage} own{i}c") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    got = substrings.dedup_substrings(docs).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: 30 if i else 0 for i in range(60)}
+    assert {r.kept for r in got if r.doc_id} == {f"own{i}a own{i}b own{i}c" for i in range(1, 60)}
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 120)] + [(300, 300), (200, 201), (201, 200)]
     got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()

@@ -187,9 +187,52 @@ def test_chat_round_trip_and_parts(spark):
     assert [(a.number, a.kind, a.ref, a.tokens) for a in got[1].attachments] == [
         (1, "image", "i.png", 576), (2, "audio", "a.wav", 9), (3, "document", "d.pdf", 2048)]
     assert got[1].attachment_tokens == 576 + 9 + 2048 and got[2].formatted == "[TURN]user[SAYS][END]"
+    assert [(a.start, a.length) for a in got[1].mask] == [(got[1].formatted.index("ok[END]"), 2)]
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def _flattened(messages):
+    """The definition: formatted, loss text, attachments of messages (turn, role, parts)."""
+    out, loss, held = "", "", []
+    esc = lambda t: (t or "").replace("&", "&amp;").replace("<", "&lt;").replace("[", "&#91;")
+    for _, role, parts in sorted(messages, key=lambda m: (m[0], m[1] or "")):
+        out += f"[TURN]{esc(role)}[SAYS]"
+        for kind, text, ref, tokens in parts or []:
+            if kind in chat.DEFAULT_TOKENS:
+                held.append((len(held) + 1, kind, ref, chat.DEFAULT_TOKENS[kind] if tokens is None else tokens))
+                out += f"<{kind}:{len(held)}>"
+            else:
+                out += esc(text)
+                loss += (text or "") if role == "assistant" else ""
+        out += "[END]"
+    return out, loss, held
+
+
+def test_typed_conversations_of_many_parts(spark):
+    rng = random.Random(8)
+
+    def parts(n):
+        return [(rng.choice(["text", "text", "image", "audio", "document", "odd", None]),
+                 rng.choice(["a[TURN]", "é 𝄞&lt;", "", None, "&#91;</s>", "x"]), rng.choice([None, "r<1>"]),
+                 rng.choice([None, 0, 7])) for _ in range(n)]
+
+    talks = {c: [(t, "assistant" if t % 2 else rng.choice(["user", "[x]", None]), parts(rng.randint(0, 6)))
+                 for t in range(rng.randint(1, 9))] for c in range(20)}
+    talks[50] = [(0, "user", parts(3)), (1, "assistant", parts(10_000)), (2, "user", None)]
+    talks[51] = [(t, "assistant", [("text", f"<{t}> 𝄞", None, None)]) for t in range(5_000)]
+    rows = [(c, t, r, p, "clash", "clash") for c, ms in talks.items() for t, r, p in ms]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(
+        rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>, mask string, nth string")
+    out = chat.format_chat(df, parts_col="parts").withColumn(
+        "loss", chat.masked_text(chat.F.col("formatted"), chat.F.col("mask")))
+    for r in out.collect():
+        formatted, loss, held = _flattened(talks[r.conv_id])
+        assert r.formatted == formatted and r.loss == loss
+        assert [(a.number, a.kind, a.ref, a.tokens) for a in r.attachments] == held
+        assert r.attachment_tokens == sum(h[3] for h in held)
+
+
 def test_word_patterns():
     assert raw_words("a\x0bb\x1cc\xa0d  e".encode()) == ["a".encode(), "b\x1cc\xa0d".encode(), b"e"]
     assert folded_words("Äb-C9É".encode()) == ["Äb".encode(), "c9É".encode()]
