@@ -71,6 +71,9 @@ def stage_dir(spark: SparkSession) -> str:
     return _local_stage_dir
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -80,4 +83,24 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _staged.append(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.staged_path = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(stored: DataFrame) -> None:
+    """Delete a table that ``stage`` wrote and that nothing reads any more."""
+    _delete(stored.sparkSession, stored.staged_path)
+    _staged.remove(stored.staged_path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every staged table of this process: for the end of a run, when results are written."""
+    while _staged:
+        _delete(spark, _staged.pop())
