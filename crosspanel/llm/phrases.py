@@ -7,22 +7,27 @@ without its first word) have reached the threshold, while these may still be cou
 stays until it has been counted in every shard once.  The scans end when no phrase is left
 that has not completed its cycle.
 
-A counter holds one figure per shard, so a shard that is scanned for a phrase twice counts
-once.  That makes it safe to choose what a scan counts by a filter: the reached phrases are
-broadcast as a bit table of bounded size (``FILTER_BITS``), whose rare false positives cost
-work and change no count.  Tasks count within Arrow batches, Spark sums by phrase with
-map-side combination, and the counters are a stored table.
+Which phrases have reached the threshold is broadcast as a bit table of bounded size (at most
+``FILTER_BITS``).  Bits are only ever added, and a scan also gets the table of one cycle before:
+a phrase is counted while both subphrases are in the first table and not both in the second.
+So every phrase is counted in exactly as many successive scans as there are shards, and the
+table's rare false positives cost work but change no count.  Tasks count within runs of
+``WORDS_AT_ONCE`` words, Spark sums by phrase with map-side combination, and only phrases that
+are within their cycle, or have completed it with the threshold reached, are kept from scan to
+scan, as a stored table.
 
 Words and phrases are per language (null: ``und``).  A-Z are lower-cased; pieces end at
 ``.,;:!?`` and line ends, words at spaces and tabs.  Null and empty texts have no words, rows
 without an id and repeated rows count like others, an empty table gives an empty result, and
-extra columns are not read.  Long texts are counted whole, batch by batch.
+extra columns are not read.  Long texts are counted whole.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +36,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crosspanel.llm.text import WordHashes
-from crosspanel.session import stage, stage_dir
+from crosspanel.session import release, stage, stage_dir
 
-SHARDS = 3
+SHARDS = 2
 LONGEST = 4
 FILTER_BITS = 1 << 27
-BITS_PER_PHRASE = 32
+BITS_PER_PHRASE = 128
 WORDS_AT_ONCE = 1 << 20
 
 # Fixed value: lower-cases A-Z, writes every separator of pieces as "." and tabs as spaces.
@@ -61,107 +66,114 @@ def extend(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-class BitTable:
-    """Reached phrases, as two bits each; ``recent`` are those reached within the last cycle."""
+def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in a table of ``bits`` bits (a power of two)."""
+    mask = np.uint64(bits - 1)
+    return hashes & mask, (hashes >> np.uint64(32)) & mask
 
-    def __init__(self, bits: int, every: np.ndarray, recent: np.ndarray):
-        self.mask, self.every, self.recent = np.uint64(bits - 1), every, recent
 
-    @staticmethod
-    def places(hashes: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        return hashes & mask, (hashes >> np.uint64(32)) & mask
-
-    def has(self, hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for at in self.places(hashes, self.mask):
+def has(table: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
+    found = np.full(len(hashes), table is not None)
+    if table is not None:
+        for at in places(hashes, 64 * len(table)):
             found &= (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return found
+    return found
 
 
 def lang_seed(lang: str, hashes: WordHashes) -> np.uint64:
     return np.uint64(hashes[b"lang:" + lang.encode()])
 
 
-def count_batch(lang: str, tokens: list[bytes], table: BitTable | None, words_too: bool, longest: int,
-                hashes: WordHashes) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """k, phrases and their counts of one run of tokens; k = 0 has the number of words.
+def exact_codes(ids: np.ndarray, at: np.ndarray, k: int, n_words: int) -> np.ndarray:
+    """Equal numbers for equal phrases of ``k`` words at the places ``at``."""
+    code, most = ids[at], n_words
+    for j in range(1, k):
+        if most * n_words >= 1 << 62:
+            values, code = np.unique(code, return_inverse=True)
+            most = len(values)
+        code, most = code * n_words + ids[at + j], most * n_words
+    return code
+
 
-    ``table`` tells which phrases have reached the threshold; without it only words count.
+def count_run(lang: str, ids: np.ndarray, words: list[bytes], reached, before, words_too: bool, longest: int,
+              hashes: WordHashes) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """k, phrases and their counts in a run of words; k = 0 has the number of words.
+
+    ``ids`` are places in ``words``, 0 between pieces.  ``reached`` and ``before`` are the bit
+    tables of now and of one cycle ago.
     """
-    number: dict[bytes, int] = {b".": 0}
-    ids = np.fromiter((number.setdefault(t, len(number)) for t in tokens), np.int64, len(tokens))
-    words = list(number)
     if words_too:
         counts = np.bincount(ids, minlength=len(words))
         yield 0, [b""], np.array([len(ids) - counts[0]])
         yield 1, words[1:], counts[1:]
-    if table is None:
+    if reached is None:
         return
     h = hashes.of(words)
     hashed = extend(np.full(len(h), lang_seed(lang, hashes)), h)
-    # For each position: the number and the hash of the phrase of k - 1 words that starts there,
-    # and whether it has reached the threshold (ever, recently).
-    code, size, texts = ids, len(words), words
-    every, recent = table.has(hashed, table.every), table.has(hashed, table.recent)
-    every[0] = False
+    now, then = has(reached, hashed), has(before, hashed)
+    now[0] = False
+    # Places at which a phrase of k - 1 words starts that has reached the threshold, the hash of
+    # that phrase, and whether it had reached it a cycle ago.
+    at = np.flatnonzero(now[ids])
+    hashed, then = hashed[ids[at]], then[ids[at]]
     for k in range(2, longest + 1):
-        # The phrase is its prefix at p and its last word, ids[p + k - 1]; its suffix is at p + 1.
-        at = np.flatnonzero(every[code[:-1]] & every[code[1:]]) if len(code) > 1 else np.zeros(0, np.int64)
-        last = ids[at + k - 1]
-        fresh = recent[code[at]] | recent[code[at + 1]]
-        uniq, first, inverse, counts = np.unique(
-            code[at] * len(words) + last, return_index=True, return_inverse=True, return_counts=True
-        )
-        if not len(uniq):
-            return
-        chosen = fresh[first]
-        hashed = extend(hashed[uniq // len(words)], h[uniq % len(words)])
-        # Positions without a phrase get the number after the last, which is never reached.
-        code = np.full(len(code) - 1, len(uniq), np.int64)
-        code[at] = inverse
-        every = np.append(table.has(hashed, table.every), False)
-        recent = np.append(table.has(hashed, table.recent), False)
-        texts = [
-            texts[c // len(words)] + b" " + words[c % len(words)] if used else b""
-            for c, used in zip(uniq.tolist(), (chosen | every[:-1]).tolist())
-        ]
-        if chosen.any():
-            yield k, [texts[i] for i in np.flatnonzero(chosen)], counts[chosen]
-
-
-def scan(shared, words_too: bool, longest: int):
-    """A ``mapInArrow`` function over lang and text: the counts of each batch."""
+        # Of two such phrases one word apart, the first is the prefix and the second the suffix.
+        both = np.flatnonzero(np.diff(at) == 1)
+        counted = then[both] & then[both + 1]  # the phrase was active a cycle ago
+        fresh = both[~counted]
+        if len(fresh):
+            _, first, counts = np.unique(
+                exact_codes(ids, at[fresh], k, len(words)), return_index=True, return_counts=True)
+            some = ids[at[fresh[first]][:, None] + np.arange(k)].tolist()
+            yield k, [b" ".join([words[i] for i in phrase]) for phrase in some], counts
+        if k < longest:
+            hashed = extend(hashed[both], h[ids[at[both] + k - 1]])
+            there = has(reached, hashed)
+            at, hashed = at[both[there]], hashed[there]
+            then = counted[there] & has(before, hashed)
+
+
+def scan(tables, words_too: bool, longest: int):
+    """A ``mapInArrow`` function over lang and text: the counts of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = shared.value if shared else None, WordHashes()
-
-        def counted(lang: str, tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
-            for k, phrases, n in count_batch(lang, tokens, table, words_too, longest, hashes):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(phrases), pa.string()), pa.array([k] * len(phrases), pa.int32()),
-                    pa.array(phrases, pa.binary()), pa.array(n, pa.int64()),
-                ], names=["lang", "k", "phrase", "n"])
+        reached, before = tables.value
+        hashes = WordHashes()
+        held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, (number, ids) in held.items():
+                for k, phrases, n in count_run(
+                    lang, np.concatenate(ids), list(number), reached, before, words_too, longest, hashes
+                ):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([lang] * len(phrases), pa.string()), pa.array([k] * len(phrases), pa.int32()),
+                        pa.array(phrases, pa.binary()), pa.array(n, pa.int64()),
+                    ], names=["lang", "k", "phrase", "n"])
+            held.clear()
 
-        held: dict[str, list[bytes]] = {}
         n = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if lang not in held:
+                    number = defaultdict(count().__next__)
+                    number[b"."]  # 0
+                    held[lang] = number, []
+                number, ids = held[lang]
                 tokens = tokens_of(text)
-                tokens.append(b".")
-                held.setdefault(lang, []).extend(tokens)
-                n += len(tokens)
+                ids.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
+                ids.append(np.zeros(1, np.int64))
+                n += len(tokens) + 1
                 if n >= WORDS_AT_ONCE:
-                    for lang in list(held):
-                        yield from counted(lang, held.pop(lang))
+                    yield from counted()
                     n = 0
-        for lang in list(held):
-            yield from counted(lang, held.pop(lang))
+        yield from counted()
 
     return run
 
 
-def _positions(bits: int):
-    """A ``mapInArrow`` function: the words of the bit table that a reached phrase sets bits in."""
+def _bits(bits: int):
+    """A ``mapInArrow`` function: the words of the bit table that a phrase sets bits in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -172,31 +184,23 @@ def _positions(bits: int):
                 for word in phrase.split(b" "):
                     out = extend(out, np.array([hashes[word]], np.uint64))
                 h[i] = out[0]
-            recent = np.asarray(batch.column(2))
-            for at in BitTable.places(h, np.uint64(bits - 1)):
-                one = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+            for at in places(h, bits):
                 yield pa.RecordBatch.from_pydict({
-                    "word": (at >> np.uint64(6)).astype(np.int64), "every": one, "recent": np.where(recent, one, 0)})
+                    "word": (at >> np.uint64(6)).astype(np.int64),
+                    "bits": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
 
     return run
 
 
-def bit_table(reached: DataFrame, n: int, most_bits: int = FILTER_BITS) -> BitTable:
-    """``reached`` has lang, phrase and recent; at most ``most_bits`` / 64 rows reach the driver."""
-    bits = 64
-    while bits < min(most_bits, BITS_PER_PHRASE * n):
-        bits *= 2
+def with_phrases(table: np.ndarray, phrases: DataFrame) -> np.ndarray:
+    """``table`` with the bits of lang, phrase; at most as many rows as it has reach the driver."""
     rows = (
-        reached.select("lang", "phrase", "recent")
-        .mapInArrow(_positions(bits), "word long, every long, recent long")
-        .groupBy("word").agg(F.bit_or("every").alias("every"), F.bit_or("recent").alias("recent"))
-        .toArrow()
+        phrases.select("lang", "phrase").mapInArrow(_bits(64 * len(table)), "word long, bits long")
+        .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     )
-    tables = np.zeros((2, bits // 64), np.uint64)
-    at = rows.column("word").to_numpy()
-    tables[0, at] = rows.column("every").to_numpy().view(np.uint64)
-    tables[1, at] = rows.column("recent").to_numpy().view(np.uint64)
-    return BitTable(bits, *tables)
+    out = table.copy()
+    out[rows.column("word").to_numpy()] |= rows.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def frequent_phrases(
@@ -220,43 +224,49 @@ def frequent_phrases(
     ).withColumn("shard", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     ).write.partitionBy("shard").parquet(path)
     texts = docs.sparkSession.read.schema("lang string, text binary, shard int").parquet(path)
-    by_shard = [f"n{s}" for s in range(shards)]
-    counter = sum((F.col(c) for c in by_shard), F.lit(0).cast("long"))
-    state, table, step = None, None, 0
+    # The bit tables of the last cycle, the newest at the end; none before a phrase has reached.
+    tables: list[np.ndarray | None] = [None] * (shards + 1)
+    state, step = None, 0
     while True:
-        shard = step % shards
-        counts = (
-            texts.filter(F.col("shard") == shard).select("lang", "text")
-            .mapInArrow(scan(table, step < shards, longest), COUNTS)
-            .groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-        )
-        rows = counts.select(
-            "lang", "k", "phrase",
-            *[(F.col("n") if s == shard else F.lit(0).cast("long")).alias(c) for s, c in enumerate(by_shard)],
-            F.lit(None).cast("int").alias("reached"),
+        shared = sc.broadcast((tables[-1], tables[0]))
+        rows = (
+            texts.filter(F.col("shard") == step % shards).select("lang", "text")
+            .mapInArrow(scan(shared, step < shards, longest), COUNTS)
+            .select("*", F.lit(step).alias("born"), F.lit(False).alias("reached"))
         )
         if state is not None:
-            rows = (
-                state.union(rows).groupBy("lang", "k", "phrase")
-                .agg(*[F.max(c).alias(c) for c in by_shard], F.min("reached").alias("reached"))
-            )
-        rows = rows.withColumn("reached", F.when(
-            F.col("reached").isNull() & (F.col("k") > 0) & (counter >= threshold), step).otherwise(F.col("reached")))
-        if step >= shards - 1:  # words have been counted in full
-            rows = rows.filter((F.col("k") != 1) | F.col("reached").isNotNull())
-        state, step = stage(rows), step + 1
-        active = state.filter(F.col("reached").isNotNull() & (F.col("k") < longest))
-        recent = F.col("reached") >= step - shards
-        n, n_recent = active.agg(F.count(F.lit(1)), F.count_if(recent)).first()
-        if table:
-            table.unpersist()
-        table = None
-        if n_recent:
-            table = sc.broadcast(bit_table(active.withColumn("recent", recent), n, filter_bits))
-        elif step >= shards:
+            rows = rows.union(state.filter(~F.col("done")).drop("done"))
+        rows = rows.groupBy("lang", "k", "phrase").agg(
+            F.sum("n").alias("n"), F.min("born").alias("born"), F.max("reached").alias("old"))
+        reached = F.col("n") >= threshold
+        # A phrase that first occurred in this cycle may still miss shards.
+        complete = F.when(F.col("k") < 2, step >= shards - 1).otherwise(F.col("born") <= step - shards + 1)
+        rows = rows.filter(~complete | reached | (F.col("k") == 0)).select(
+            "lang", "k", "phrase", "n", "born", reached.alias("reached"), complete.alias("done"),
+            (reached & ~F.col("old") & (F.col("k") > 0) & (F.col("k") < longest)).alias("new"))
+        if state is not None:
+            rows = rows.union(state.filter("done").withColumn("new", F.lit(False)))
+        previous, stored = state, stage(rows)
+        shared.unpersist()
+        state, step = stored.drop("new"), step + 1
+        if previous is not None:
+            release(before)
+        before = stored
+        n = stored.filter("new").count()
+        table = tables[-1]
+        if n:
+            if table is None:
+                bits = 1 << 12
+                while bits < min(filter_bits, BITS_PER_PHRASE * n):
+                    bits *= 2
+                table = np.zeros(min(bits, filter_bits) // 64, np.uint64)
+            table = with_phrases(table, stored.filter("new"))
+        tables = [*tables[1:], table]
+        same = tables[0] is table or (tables[0] is not None and np.array_equal(tables[0], table))
+        if step >= shards and same:
             break
-    return state.filter(F.col("reached").isNotNull() | (F.col("k") == 0)).select(
-        "lang", "k", "phrase", counter.alias("f"))
+    # Nothing has reached the threshold within the last cycle, so every phrase has completed its own.
+    return state.filter("reached or k = 0").select("lang", "k", "phrase", F.col("n").alias("f"))
 
 
 def collocations(

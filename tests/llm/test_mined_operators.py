@@ -148,7 +148,7 @@ def _talk(seed, n):
                    (4, rows[0][1], "en"), (5, "new york city hall " * 3000, "de"), (6, "lone", "xx")]
 
 
-@pytest.mark.parametrize("shards,bits", [(3, 1 << 20), (4, 64), (1, 128)])
+@pytest.mark.parametrize("shards,bits", [(3, 1 << 20), (4, 64), (1, 128), (2, 1 << 12)])
 def test_collocations_equal_a_plain_count(spark, shards, bits):
     rows = _talk(shards, 300)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -166,16 +166,27 @@ def test_late_phrases_complete_their_cycle(spark):
     assert got == {" ".join("abcd"[i:j]): 12 for i in range(4) for j in range(i + 1, 5)}
 
 
-def test_batches_may_end_anywhere(monkeypatch):
+def test_a_run_of_words_is_counted_in_full():
     tokens = phrases.tokens_of(b"a b a b. a b\tA, b a\nb a b")
-    table = phrases.BitTable(64, np.full(1, -1, np.int64).view(np.uint64), np.full(1, -1, np.int64).view(np.uint64))
-    got = {(k, p): n for k, ps, ns in phrases.count_batch("en", tokens, table, True, 4, phrases.WordHashes())
-           for p, n in zip(ps, ns.tolist())}
+    words = [b".", b"a", b"b"]
+    ids = np.array([words.index(t) for t in tokens])
+    every = np.full(1, -1, np.int64).view(np.uint64)
     want = Counter()
     for piece in (["a", "b", "a", "b"], ["a", "b", "a"], ["b", "a"], ["b", "a", "b"]):
         want[(0, b"")] += len(piece)
         want.update((k, " ".join(piece[i:i + k]).encode()) for k in range(1, 5) for i in range(len(piece) - k + 1))
-    assert got == want
+    for now, then, least in ((every, None, 2), (None, None, 9), (every, every, 9)):
+        got = {(k, p): n for k, ps, ns in phrases.count_run("en", ids, words, now, then, True, 4, phrases.WordHashes())
+               for p, n in zip(ps, ns.tolist())}
+        assert got == {p: n for p, n in want.items() if p[0] < 2 or p[0] >= least}
+
+
+def test_codes_of_long_phrases_are_exact():
+    ids = np.random.default_rng(1).integers(0, 3, 500)
+    at = np.arange(490)
+    for n_words in (3, 1 << 20, 1 << 40):  # from 2**62 on the codes are numbered anew
+        code = phrases.exact_codes(ids, at, 4, n_words)
+        assert len({(c, tuple(ids[p:p + 4])) for c, p in zip(code.tolist(), at)}) == len(set(code.tolist())) == 81
 
 
 def test_collocations_of_nothing(spark, empty, awkward):
