@@ -1,7 +1,7 @@
 """Phrase collocations by dynamic itemset counting.
 
-The texts are dealt into ``SHARDS`` shards that are scanned in turn, round and round.  Phrases
-of all lengths are counted in the same scans.  Words are counted from the first scan on; a
+The texts are split once and stored as runs of numbered words with their vocabulary, dealt into
+``SHARDS`` shards that are scanned in turn, round and round.  Phrases of all lengths are counted in the same scans.  Words are counted from the first scan on; a
 longer phrase joins in as soon as the counters of both its subphrases (without its last and
 without its first word) have reached the threshold, while these may still be counting, and
 stays until it has been counted in every shard once.  The scans end when no phrase is left
@@ -28,6 +28,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ SHARDS = 2
 LONGEST = 4
 FILTER_BITS = 1 << 27
 BITS_PER_PHRASE = 128
+RUN_WORDS = 1 << 16
 WORDS_AT_ONCE = 1 << 20
 
 # Fixed value: lower-cases A-Z, writes every separator of pieces as "." and tabs as spaces.
@@ -133,18 +135,60 @@ def count_run(lang: str, ids: np.ndarray, words: list[bytes], reached, before, w
             then = counted[there] & has(before, hashed)
 
 
+class Held:
+    """Words of several texts of a language as places in a growing vocabulary, 0 between pieces."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
+        self.number[b"."]  # 0
+        self.ids: list[np.ndarray] = []
+
+    def add(self, words: list[bytes], ids: np.ndarray | None = None) -> int:
+        """Append ``words``, or, with ``ids``, the words at those places of ``words``."""
+        at = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+        self.ids.append(at if ids is None else at[ids])
+        return len(self.ids[-1])
+
+
+def split_texts(shards: int):
+    """A ``mapInArrow`` function: texts as runs of up to about ``RUN_WORDS`` words of a language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Held] = {}
+
+        def written() -> Iterator[pa.RecordBatch]:
+            for lang, h in held.items():
+                ids = np.concatenate(h.ids).tobytes()
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.array([lang]), "words": pa.array([b" ".join(h.number)], pa.binary()),
+                    "ids": pa.array([ids], pa.binary()), "shard": pa.array([crc32(ids) % shards], pa.int32())})
+            held.clear()
+
+        n = 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = held.setdefault(lang, Held())
+                n += h.add(tokens_of(text)) + h.add([b"."])
+                if n >= RUN_WORDS:
+                    yield from written()
+                    n = 0
+        yield from written()
+
+    return run
+
+
 def scan(tables, words_too: bool, longest: int):
-    """A ``mapInArrow`` function over lang and text: the counts of each run."""
+    """A ``mapInArrow`` function over lang, words and ids: the counts of up to ``WORDS_AT_ONCE``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached, before = tables.value
         hashes = WordHashes()
-        held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
+        held: dict[str, Held] = {}
 
         def counted() -> Iterator[pa.RecordBatch]:
-            for lang, (number, ids) in held.items():
+            for lang, h in held.items():
                 for k, phrases, n in count_run(
-                    lang, np.concatenate(ids), list(number), reached, before, words_too, longest, hashes
+                    lang, np.concatenate(h.ids).astype(np.int64), list(h.number), reached, before, words_too, longest, hashes
                 ):
                     yield pa.RecordBatch.from_arrays([
                         pa.array([lang] * len(phrases), pa.string()), pa.array([k] * len(phrases), pa.int32()),
@@ -154,16 +198,9 @@ def scan(tables, words_too: bool, longest: int):
 
         n = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang not in held:
-                    number = defaultdict(count().__next__)
-                    number[b"."]  # 0
-                    held[lang] = number, []
-                number, ids = held[lang]
-                tokens = tokens_of(text)
-                ids.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
-                ids.append(np.zeros(1, np.int64))
-                n += len(tokens) + 1
+            for i in range(batch.num_rows):
+                lang, words, ids = (batch.column(c)[i].as_py() for c in range(3))
+                n += held.setdefault(lang, Held()).add(words.split(b" "), np.frombuffer(ids, np.int32))
                 if n >= WORDS_AT_ONCE:
                     yield from counted()
                     n = 0
@@ -216,21 +253,21 @@ def frequent_phrases(
 
     k = 0 has the number of words of a language, whatever it is.
     """
-    sc = docs.sparkSession.sparkContext
-    path = f"{stage_dir(docs.sparkSession)}/staged-{uuid.uuid4().hex}"
+    spark = docs.sparkSession
+    path = f"{stage_dir(spark)}/staged-{uuid.uuid4().hex}"
+    schema = "lang string, words binary, ids binary, shard int"
     docs.select(
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
-    ).withColumn("shard", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    ).write.partitionBy("shard").parquet(path)
-    texts = docs.sparkSession.read.schema("lang string, text binary, shard int").parquet(path)
+        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"),
+    ).mapInArrow(split_texts(shards), schema).write.partitionBy("shard").parquet(path)
+    texts = spark.read.schema(schema).parquet(path)
     # The bit tables of the last cycle, the newest at the end; none before a phrase has reached.
     tables: list[np.ndarray | None] = [None] * (shards + 1)
     state, step = None, 0
     while True:
-        shared = sc.broadcast((tables[-1], tables[0]))
+        shared = spark.sparkContext.broadcast((tables[-1], tables[0]))
         rows = (
-            texts.filter(F.col("shard") == step % shards).select("lang", "text")
+            texts.filter(F.col("shard") == step % shards).select("lang", "words", "ids")
             .mapInArrow(scan(shared, step < shards, longest), COUNTS)
             .select("*", F.lit(step).alias("born"), F.lit(False).alias("reached"))
         )
