@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import log
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
 
 def by_symbol():
     """A symbol's rows in calendar order."""
@@ -109,10 +112,34 @@ def array_median(values: Column) -> Column:
     return F.when(n > 0, mid)
 
 
-def rolling_median(col: Column, frame, min_count: int = 1) -> Column:
-    """Sliding median over a bounded frame; Spark has no median over ordered frames."""
-    values = F.collect_list(col).over(frame)
-    return F.when(F.count(col).over(frame) >= min_count, array_median(values))
+def rolling_medians(df: DataFrame, cols: dict[str, str], rows: int, min_count: int = 1,
+                    by: Sequence[str] = ("symbol",), order: str = "t", centered: bool = False) -> DataFrame:
+    """Adds the sliding median of each column: ``cols`` maps new names to columns.
+
+    Spark has no median over ordered frames, and sorting each frame anew costs a row the length
+    of the window.  Here the window's values stay in an ordered list from row to row, one pass
+    over each group.  A group is a series on the calendar, so it is bounded.  Nulls are left out;
+    a window of fewer than ``min_count`` values gives null.  ``centered`` puts the row in the
+    middle of an odd number of rows, cut off at the ends.
+    """
+    if centered and rows % 2 == 0:
+        raise ValueError("a centered window has an odd number of rows")
+    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in cols]])
+    whole = not by  # one series: one group
+    if whole:
+        df, by = df.withColumn("_series", F.lit(0)), ["_series"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        if whole:
+            table = table.drop_columns("_series")
+        for name, col in cols.items():
+            values = table.column(col).cast(pa.float64()).to_pandas()
+            medians = values.rolling(rows, min_periods=min_count, center=centered).median()
+            table = table.append_column(name, pa.array(medians, pa.float64(), from_pandas=True))
+        return table
+
+    return df.groupBy(*by).applyInArrow(run, schema)
 
 
 # Within a block of an exponential mean q^-r stays below EWM_GROWTH; OLD_BLOCKS blocks are
@@ -160,15 +187,19 @@ def _decayed_sums(df: DataFrame, exprs: dict[str, Column], q: float, size: int)
     inside = Window.partitionBy("symbol", "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     grow, decay = F.pow(F.lit(q), -F.col("_r")), F.pow(F.lit(q), F.col("_r"))
     df = df.withColumns({f"_i{n}": F.sum(F.col(n) * grow).over(inside) * decay for n in exprs})
+    # The sum at the end of each row's own block, then that of each of the blocks before: they
+    # are complete, so they lie a whole number of block lengths back.
     at_end = F.col("_r") == size - 1
-    before = Window.partitionBy("symbol").orderBy("_b", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    block = Window.partitionBy("symbol", "_b")
+    df = df.withColumns({f"_e{n}": F.max(F.when(at_end, F.col(f"_i{n}"))).over(block) for n in exprs})
+    order = Window.partitionBy("symbol").orderBy("_b", "_k")
     total = {}
     for n in exprs:
-        ends = F.collect_list(F.when(at_end, F.col(f"_i{n}"))).over(before)
-        newest = F.slice(ends, F.greatest(F.size(ends) - OLD_BLOCKS + 1, F.lit(1)), F.lit(OLD_BLOCKS))
-        carried = F.aggregate(newest, F.lit(0.0), lambda s, e: s * q**size + e)
+        carried = F.lit(0.0)
+        for j in range(OLD_BLOCKS, 0, -1):
+            carried = carried * q**size + F.coalesce(F.lag(f"_e{n}", j * size).over(order), F.lit(0.0))
         total[n] = F.col(f"_i{n}") + F.pow(F.lit(q), F.col("_r") + 1) * carried
-    return df.withColumns(total).drop("_b", "_r", *[f"_i{n}" for n in exprs])
+    return df.withColumns(total).drop("_b", "_r", *[f"_{p}{n}" for n in exprs for p in "ie"])
 
 
 def growth(ret: Column, window) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions import xs
+from crosspanel.session import stage
 
 
 def rank_ic(rows: DataFrame, pred: str, actual: str, keys: Sequence[str] = (), min_names: int = 5,
@@ -23,10 +24,9 @@ def rank_ic(rows: DataFrame, pred: str, actual: str, keys: Sequence[str] = (), m
     both = rows.dropna(subset=[pred, actual])
     ranked = xs.rank_average(both, pred, by, "_rp", "_n", max_group).drop("_n")
     ranked = xs.rank_average(ranked, actual, by, "_ra", "_n", max_group)
-    ic = F.when(
-        (F.count(F.lit(1)) >= min_names) & (F.stddev_samp("_rp") > 0) & (F.stddev_samp("_ra") > 0),
-        F.corr("_rp", "_ra"),
-    )
+    # Not ``corr``, which fails on a date without spread.
+    spread = F.stddev_samp("_rp") * F.stddev_samp("_ra")
+    ic = F.when(F.count(F.lit(1)) >= min_names, F.try_divide(F.covar_samp("_rp", "_ra"), spread))
     return ranked.groupBy(*by).agg(ic.alias("ic"))
 
 
@@ -72,13 +72,14 @@ def combine_stack(preds: DataFrame, target: DataFrame, members: Sequence[str],
     """Walk-forward ridge of the target on member ranks, fit on all earlier weeks.
 
     Each week contributes its moments once; running sums over weeks give every week's
-    normal equations, solved in closed form for up to four members.  Weeks without
-    enough history use the rank mean.
+    normal equations, solved by a Cholesky decomposition for any number of members.  Weeks
+    without enough history use the rank mean.
     """
     ms = list(members)
-    ranked = member_ranks(preds, max_group).groupBy("date", "symbol").agg(
+    # Stored: both the moments and the scores are taken from it.
+    ranked = stage(member_ranks(preds, max_group).groupBy("date", "symbol").agg(
         *[F.max(F.when(F.col("model") == m, F.col("pct"))).alias(m) for m in ms]
-    )
+    ))
     both = ranked.join(target.select("date", "symbol", "target"), ["date", "symbol"], "left")
     complete = F.col("target").isNotNull()
     for m in ms:
@@ -107,14 +108,12 @@ def combine_stack(preds: DataFrame, target: DataFrame, members: Sequence[str],
         for i in range(len(ms))
     ]
     b = [cov(f"xy{i}", f"x{i}", "y") for i in range(len(ms))]
-    det = _determinant(a)
-    fit = {}
-    for i in range(len(ms)):
-        swapped = [[b[r] if c == i else a[r][c] for c in range(len(ms))] for r in range(len(ms))]
-        fit[f"_b{i}"] = F.try_divide(_determinant(swapped), det)
-        fit[f"_m{i}"] = F.col(f"_x{i}") / n
     enough = (F.col("_week") >= min_weeks) & (n >= len(ms) + 1)
-    coef = run.select("date", enough.alias("_ok"), *[e.alias(k) for k, e in fit.items()])
+    means = [(F.col(f"_x{i}") / n).alias(f"_m{i}") for i in range(len(ms))]
+    k = range(len(ms))
+    cells = [a[i][j].alias(f"_a{i}_{j}") for i in k for j in range(i + 1)]
+    coef = run.select("date", enough.alias("_ok"), *means, *cells, *[b[i].alias(f"_z{i}") for i in k])
+    coef = solved(coef, len(ms)).select("date", "_ok", *[f"_{c}{i}" for c in "mb" for i in k])
     scored = ranked.join(F.broadcast(coef), "date")
     stacked = F.lit(0.0)
     for i, m in enumerate(ms):
@@ -126,15 +125,25 @@ def combine_stack(preds: DataFrame, target: DataFrame, members: Sequence[str],
     )
 
 
-def _determinant(m: list[list[Column]]) -> Column:
-    if len(m) == 1:
-        return m[0][0]
-    total = None
-    for j in range(len(m)):
-        minor = [row[:j] + row[j + 1:] for row in m[1:]]
-        term = m[0][j] * _determinant(minor) * (1.0 if j % 2 == 0 else -1.0)
-        total = term if total is None else total + term
-    return total
+def solved(df: DataFrame, k: int) -> DataFrame:
+    """Adds ``_b0``.. with A b = z for the symmetric A of ``_a{i}_{j}`` (j <= i) and ``_z{i}``.
+
+    A = L D L' column by column, then the two triangular systems.  Each step is a projection
+    on the columns of the one before, so expressions stay short however many members there are.
+    """
+    col = F.col
+    for j in range(k):
+        df = df.withColumn(f"_d{j}", col(f"_a{j}_{j}") - sum(
+            (col(f"_l{j}_{p}") * col(f"_l{j}_{p}") * col(f"_d{p}") for p in range(j)), F.lit(0.0)))
+        df = df.withColumns({f"_l{i}_{j}": F.try_divide(col(f"_a{i}_{j}") - sum(
+            (col(f"_l{i}_{p}") * col(f"_l{j}_{p}") * col(f"_d{p}") for p in range(j)), F.lit(0.0)), col(f"_d{j}"))
+            for i in range(j + 1, k)})
+    for i in range(k):
+        df = df.withColumn(f"_y{i}", col(f"_z{i}") - sum((col(f"_l{i}_{p}") * col(f"_y{p}") for p in range(i)), F.lit(0.0)))
+    for i in reversed(range(k)):
+        df = df.withColumn(f"_b{i}", F.try_divide(col(f"_y{i}"), col(f"_d{i}")) - sum(
+            (col(f"_l{p}_{i}") * col(f"_b{p}") for p in range(i + 1, k)), F.lit(0.0)))
+    return df
 
 
 def combine(method: str, preds: DataFrame, **inputs) -> DataFrame:

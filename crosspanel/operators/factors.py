@@ -236,15 +236,14 @@ def macro_zscore(aligned: DataFrame, names: Sequence[str], rows: int = HALF_YEAR
 def regime_flags(aligned: DataFrame, names: Sequence[str], rows: int = HALF_YEAR,
                  threshold: float = 1.0) -> DataFrame:
     """1.0 where the z-score exceeds the threshold / the level exceeds its median, else 0.0."""
-    out = macro_zscore(aligned, names, rows)
-    frame = ts.trailing(rows, Window.orderBy("t"))
+    medians = {f"_{s}_MED": s for s in names}
+    out = ts.rolling_medians(macro_zscore(aligned, names, rows), medians, rows, rows // 2, by=())
     flags = {}
     for s in names:
-        med = ts.rolling_median(F.col(s), frame, rows // 2)
-        hi, up = F.col(f"{s}_Z") > threshold, F.col(s) > med
+        hi, up = F.col(f"{s}_Z") > threshold, F.col(s) > F.col(f"_{s}_MED")
         flags[f"{s}_HI"] = F.coalesce(hi, F.lit(False)).cast("double")
         flags[f"{s}_TREND_UP"] = F.coalesce(up, F.lit(False)).cast("double")
-    return out.withColumns(flags).drop(*[f"{s}_Z" for s in names])
+    return out.withColumns(flags).drop(*[f"{s}_Z" for s in names], *medians)
 
 
 def raw_moves(aligned: DataFrame, returns: Sequence[str] = (), changes: Sequence[str] = (),

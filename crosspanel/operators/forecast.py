@@ -20,10 +20,11 @@ LEDGER_KEY = ["signal_day", "target_date", "scope", "side", "rank"]
 
 def forecast_table(scores: DataFrame, eligible: DataFrame, profile: DataFrame,
                    trade_dates: DataFrame, signal_day: str = "THU", retrain_weeks: int = 12,
-                   max_group: int | None = None) -> DataFrame:
+                   max_group: int | None = None, ranked: bool = True) -> DataFrame:
     """One row per (as_of_date, symbol) with score, eligibility, dates and region rank.
 
-    An absent eligibility cell is ineligible.  ``region_rank`` counts eligible names only.
+    An absent eligibility cell is ineligible.  ``region_rank`` counts eligible names only; the
+    sort that it takes can be left out (``ranked``) where nothing reads it.
     """
     flags = eligible.select("date", "symbol", "eligible")
     df = scores.join(flags, ["date", "symbol"], "left").join(
@@ -46,12 +47,14 @@ def forecast_table(scores: DataFrame, eligible: DataFrame, profile: DataFrame,
     df = df.join(days, ["region", "target_date"], "left").withColumn(
         "target_trade_date", F.coalesce("trade_date", "target_date")
     ).drop("trade_date")
-    ranked = xs.rank_first(
+    if not ranked:
+        return df
+    with_rank = xs.rank_first(
         df.filter("eligible"), "prediction", by=["as_of_date", "region"], descending=True,
         name="region_rank", count="_n", max_group=max_group,
     ).drop("_n")
     rest = df.filter("not eligible").withColumn("region_rank", F.lit(None).cast("int"))
-    return ranked.unionByName(rest)
+    return with_rank.unionByName(rest)
 
 
 def target_eligibility(eligible: DataFrame, codes: DataFrame, as_of: Column) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,16 +57,45 @@ def dispersion(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
 def pair_correlations(rows: DataFrame, cols: Sequence[str], min_names: int) -> DataFrame:
     """Correlation of every factor pair per date over complete rows, as long rows.
 
-    One grouped pass computes all pairs; the pair list grows with the factor list, not
-    with the data.
+    Tasks take the products of all columns of a date at once, as one matrix product, and give
+    one row of moments per date and pair; Spark adds those up.  So the plan is as long for two
+    factors as for a hundred.  Columns are shifted by their means first, so that no digits cancel.
     """
-    pairs = list(combinations(cols, 2))
-    per_date = rows.dropna(subset=list(cols)).groupBy("date").agg(
-        F.count(F.lit(1)).alias("names"),
-        *[F.corr(a, b).alias(f"{a} / {b}") for a, b in pairs],
+    cols = list(cols)
+    means = rows.agg(*[F.avg(c) for c in cols]).first()
+    shift = np.array([float(m or 0.0) for m in means])
+    sums = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def moments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            days = np.asarray(batch.column(0).cast(pa.int32()))
+            x = np.stack([
+                np.asarray(batch.column(i + 1).cast(pa.float64()).fill_null(np.nan)) for i in range(len(cols))
+            ], 1) - shift
+            whole = ~np.isnan(x).any(1)
+            days, x = days[whole], x[whole]
+            for day in np.unique(days).tolist():
+                part = x[days == day]
+                n, s, p = held.get(day, (0, 0.0, 0.0))
+                held[day] = n + len(part), s + part.sum(0), p + part.T @ part
+        i, j = np.triu_indices(len(cols), 1)
+        for day, (n, s, p) in held.items():
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(i), day), pa.int32()).cast(pa.date32()), pa.array(i, pa.int64()), pa.array(j, pa.int64()),
+                *[pa.array(v, pa.float64()) for v in (np.full(len(i), n), s[i], s[j], p[i, i], p[j, j], p[i, j])],
+            ], names=["date", "i", "j", *sums])
+
+    found = (
+        rows.select("date", *cols).mapInArrow(moments_of, "date date, i long, j long, " + ", ".join(f"{c} double" for c in sums))
+        .groupBy("date", "i", "j").agg(*[F.sum(c).alias(c) for c in sums]).filter(F.col("n") > min_names)
     )
-    kept = per_date.filter(F.col("names") > min_names)
-    return kept.unpivot(["date"], [f"{a} / {b}" for a, b in pairs], "pair", "corr")
+    spread = {c: F.greatest(F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / F.col("n"), F.lit(0.0)) for c in "ab"}
+    both = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
+    corr = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(both, F.sqrt(spread["a"]) * F.sqrt(spread["b"]))))
+    names = F.array(*[F.lit(c) for c in cols])
+    pair = F.concat(F.get(names, F.col("i")), F.lit(" / "), F.get(names, F.col("j")))
+    return found.select("date", pair.alias("pair"), corr.alias("corr"))
 
 
 def latest_full_date(rows: DataFrame, cols: Sequence[str], min_names: int) -> DataFrame:

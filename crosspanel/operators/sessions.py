@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.functions import ts
@@ -24,10 +24,7 @@ def sessions(bars: DataFrame, dates: DataFrame, group: str | None = None, min_fr
         groups = counts.select(group).distinct()
         every = groups.withColumn("days", days).select(group, F.explode("days").alias("date"))
         counts = every.join(counts, [group, "date"], "left").na.fill(0, ["n"])
-    half = window // 2
-    w = Window.partitionBy(*keys).orderBy("date").rowsBetween(-half, half)
-    norm = ts.rolling_median(F.col("n"), w)
-    out = counts.withColumn("norm", norm)
+    out = ts.rolling_medians(counts, {"norm": "n"}, 2 * (window // 2) + 1, by=keys, order="date", centered=True)
     return out.filter((F.col("n") >= F.col("norm") * min_frac) & (F.col("n") > 0))
 
 

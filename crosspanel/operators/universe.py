@@ -90,8 +90,8 @@ def eligibility(weekly: DataFrame, profile: DataFrame, membership: DataFrame | N
                 pit_region: str = "US") -> DataFrame:
     """``eligible`` per (date, symbol) from price, ADV and point-in-time membership.
 
-    A region without a price floor passes; one without an ADV floor fails.  Membership is
-    an equi-join on symbol with the interval test as a condition, then one flag per cell.
+    A region without a price floor passes; one without an ADV floor fails.  Membership is an
+    equi-join on symbol with the interval test as a condition, reduced to the member cells.
     """
     df = weekly.join(profile.select("symbol", "region"), "symbol", "left")
     price_ok = F.col("close") >= lookup(F.col("region"), min_price, F.lit(0.0))
@@ -99,25 +99,17 @@ def eligibility(weekly: DataFrame, profile: DataFrame, membership: DataFrame | N
     ok = F.coalesce(price_ok & adv_ok, F.lit(False))
     if membership is None:
         return df.withColumn("eligible", ok)
-    spans = membership.select("symbol", "date_added", "date_removed")
-    joined = df.join(spans, "symbol", "left")
+    # One flag per (date, symbol) that is a member, from cells and spans alone; then one join.
+    spans = membership.select("symbol", "date_added", "date_removed").filter(
+        F.col("date_added").isNotNull() | F.col("date_removed").isNotNull())
     in_span = (F.col("date") >= F.coalesce("date_added", F.col("date"))) & (
         F.col("date_removed").isNull() | (F.col("date") < F.col("date_removed"))
     )
-    has_span = F.col("date_added").isNotNull() | F.col("date_removed").isNotNull()
-    per_cell = joined.groupBy("date", "symbol").agg(
-        F.first("close").alias("close"),
-        F.first("adv").alias("adv"),
-        F.first("region").alias("region"),
-        F.max(F.coalesce(has_span & in_span, F.lit(False))).alias("_member"),
-    )
-    ok = F.coalesce(
-        (F.col("close") >= lookup(F.col("region"), min_price, F.lit(0.0)))
-        & (F.col("adv") >= lookup(F.col("region"), min_adv, F.lit(INFINITE_FLOOR))),
-        F.lit(False),
-    )
-    member = (F.col("region") != pit_region) | F.col("_member")
-    return per_cell.withColumn("eligible", ok & F.coalesce(member, F.lit(True))).drop("_member")
+    members = weekly.select("date", "symbol").join(spans, "symbol").filter(in_span)
+    flags = members.select("date", "symbol").distinct().withColumn("_member", F.lit(True))
+    member = (F.col("region") != pit_region) | F.coalesce("_member", F.lit(False))
+    return df.join(flags, ["date", "symbol"], "left").select(
+        "date", "symbol", "close", "adv", "region", (ok & F.coalesce(member, F.lit(True))).alias("eligible"))
 
 
 def mask_scores(scores: DataFrame, eligible: DataFrame) -> DataFrame:

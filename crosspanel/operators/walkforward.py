@@ -15,17 +15,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions import xs
-from crosspanel.operators import ensemble
+from crosspanel.operators import boosting, ensemble
 from crosspanel.session import stage, stage_dir
 
 
 def schedule(weeks: DataFrame, train: int, val: int, retrain: int, window: str = "rolling",
-             max_train: int | None = None) -> DataFrame:
+             max_train: int | None = None, purge_weeks: int = 0) -> DataFrame:
     """One row per retrain: its training, validation and scoring date ranges.
 
     ``rolling`` trains on the last ``train`` weeks before validation, ``expanding`` on all
-    of them, or on at most ``max_train``.  Input is one row per week of history.
+    of them, or on at most ``max_train``.  A week's label ends after the next week's close, so
+    the last ``purge_weeks`` weeks of training and of validation can be left out: their labels
+    overlap what follows.  Input is one row per week of history.
     """
+    if not 0 <= purge_weeks < min(train, val):
+        raise ValueError("purge_weeks must leave weeks to train and validate on")
     w = Window.orderBy("date")
     idx = weeks.select("date").distinct().select("date", (F.row_number().over(w) - 1).alias("i"))
     n = F.count(F.lit(1)).over(Window.partitionBy())
@@ -41,8 +45,8 @@ def schedule(weeks: DataFrame, train: int, val: int, retrain: int, window: str =
     rows = rows.select(
         ((i - start) / retrain).cast("int").alias("retrain_id"),
         F.col("date").alias("retrain_date"),
-        first.cast("int").alias("a"), (i - val - 1).alias("b"), (i - val).alias("c"),
-        (i - 1).alias("d"), i.alias("e"), F.least(i + retrain - 1, F.col("n") - 1).alias("f"),
+        first.cast("int").alias("a"), (i - val - 1 - purge_weeks).alias("b"), (i - val).alias("c"),
+        (i - 1 - purge_weeks).alias("d"), i.alias("e"), F.least(i + retrain - 1, F.col("n") - 1).alias("f"),
     )
     for name, ref in (("train_from", "a"), ("train_to", "b"), ("val_from", "c"), ("val_to", "d"),
                       ("score_from", "e"), ("score_to", "f")):
@@ -142,6 +146,42 @@ def bagged_gbt(space: dict[str, tuple[float, float]], n_candidates: int = 200, n
     return fit
 
 
+# The ranges that the bag draws from.
+LEAFWISE_SPACE = {"leaves": (15, 63), "rate": (0.01, 0.08), "columns": (0.5, 0.9), "rows": (0.5, 0.9),
+                  "min_rows": (20, 200), "l2": (0.0, 5.0)}
+
+
+def leafwise(cols: Sequence[str], **params) -> Fit:
+    """Leaf-wise boosted trees with early stopping: the second boosting member."""
+    return lambda fold: boosting.fit_all(fold, cols, [boosting.Spec(**params)])
+
+
+def leafwise_bag(cols: Sequence[str], space: dict[str, tuple[float, float]] = LEAFWISE_SPACE,
+                 n_candidates: int = 200, n_select: int = 50, seed: int = 42, base: dict | None = None,
+                 max_group: int | None = None) -> Fit:
+    """Random-parameter bag of leaf-wise boosters, fitted and ranked in shared passes.
+
+    Gives the ``n_select`` candidates of best mean rank-IC on the validation rows, best first;
+    candidates without a rank-IC come last.
+    """
+
+    def fit(fold: DataFrame) -> list[boosting.Booster]:
+        rng = Random(seed)
+        specs = [
+            boosting.Spec(**(base or {}) | draw_params(space, rng, ("rate",), ("leaves", "min_rows")),
+                          seed=rng.randrange(2**31))
+            for _ in range(n_candidates)
+        ]
+        fitted = boosting.fit_all(fold, cols, specs)
+        val = boosting.score_each(fold.filter("is_val"), fitted, ["date", "symbol", "target"])
+        ic = ensemble.rank_ic(val, "prediction", "target", ["candidate"], max_group=max_group)
+        found = {r.candidate: r.ic for r in ensemble.mean_rank_ic(ic, ["candidate"]).collect() if r.ic is not None}
+        best = sorted(range(n_candidates), key=lambda c: (-found.get(c, float("-inf")), c))
+        return [fitted[c] for c in best[:n_select]]
+
+    return fit
+
+
 def draw_params(space: dict[str, tuple[float, float]], rng: Random, logs: Sequence[str],
                 ints: Sequence[str]) -> dict:
     """One draw per range: log-uniform for the listed names, rounded for integer ones."""
@@ -155,6 +195,8 @@ def draw_params(space: dict[str, tuple[float, float]], rng: Random, logs: Sequen
 def score(model, rows: DataFrame, keep: Sequence[str] = ("date", "symbol")) -> DataFrame:
     """Predictions of one model, or the mean over a bag."""
     models = model if isinstance(model, list) else [model]
+    if isinstance(models[0], boosting.Booster):
+        return boosting.score(rows, models, keep)
     out = rows
     for i, m in enumerate(models):
         out = m.copy({m.predictionCol: f"_p{i}"}).transform(out)
@@ -190,9 +232,7 @@ def walk_forward(features: DataFrame, target: DataFrame, cols: Sequence[str], pl
             ic = ensemble.rank_ic(val, "prediction", "target", max_group=max_group)
             value = ensemble.mean_rank_ic(ic).first()[0]
             ics.append((row.retrain_id, row.score_from, row.score_to, name, value))
-            first = model[0] if isinstance(model, list) else model
-            for c, v in zip(cols, first.featureImportances.toArray().tolist()):
-                imps.append((row.retrain_id, name, c, v))
+            imps += [(row.retrain_id, name, c, v) for c, v in feature_importance(model, cols).items()]
         fold.unpersist()
     schema = features.select("date", "symbol").schema.add("prediction", "double")
     every = spark.read.schema(schema.add("retrain_id", "integer").add("model", "string")).parquet(folder)
@@ -205,6 +245,16 @@ def walk_forward(features: DataFrame, target: DataFrame, cols: Sequence[str], pl
     return every, ic_table, imp_table
 
 
+def feature_importance(model, cols: Sequence[str]) -> dict[str, float]:
+    """Share of the splits' gain by column: that of one model, or the mean over a bag."""
+    models = model if isinstance(model, list) else [model]
+    each = [
+        m.importances() if isinstance(m, boosting.Booster) else dict(zip(cols, m.featureImportances.toArray().tolist()))
+        for m in models
+    ]
+    return {c: sum(x[c] for x in each) / len(each) for c in cols}
+
+
 def permutation_importance(model, fold: DataFrame, cols: Sequence[str], label: str = "target",
                            seed: int = 7, max_group: int | None = None) -> list[tuple[str, float]]:
     """Drop in mean rank-IC when one column's values are exchanged between rows.
@@ -217,10 +267,18 @@ def permutation_importance(model, fold: DataFrame, cols: Sequence[str], label: s
                        fold, cols, label, seed, max_group)
 
 
-def permuted(rows: DataFrame, col: str, seed: int = 7, max_group: int | None = None) -> DataFrame:
-    """``rows`` with the values of ``col`` exchanged within each date."""
+def hashed_symbol(seed: int) -> Column:
+    return F.xxhash64("symbol", F.lit(seed))
+
+
+def permuted(rows: DataFrame, col: str, seed: int = 7, max_group: int | None = None,
+             order: Callable[[int], Column] = hashed_symbol) -> DataFrame:
+    """``rows`` with the values of ``col`` exchanged within each date.
+
+    ``order`` gives a number to order a date's rows by, for each seed.
+    """
     for i in (0, 1):
-        rows = rows.withColumn(f"_h{i}", F.xxhash64("symbol", F.lit(seed + i)))
+        rows = rows.withColumn(f"_h{i}", order(seed + i))
         rows = xs.rank_first(rows, f"_h{i}", name=f"_k{i}", count="_n", max_group=max_group).drop("_n")
     rows = stage(rows.drop("_h0", "_h1"))
     taken = rows.select("date", F.col("_k1").alias("_k0"), F.col(col).alias("_value"))
@@ -231,8 +289,8 @@ def permuted(rows: DataFrame, col: str, seed: int = 7, max_group: int | None = N
 
 
 def importances(predict: Callable[[DataFrame], DataFrame], fold: DataFrame, cols: Sequence[str],
-                label: str = "target", seed: int = 7,
-                max_group: int | None = None) -> list[tuple[str, float]]:
+                label: str = "target", seed: int = 7, max_group: int | None = None,
+                order: Callable[[int], Column] = hashed_symbol) -> list[tuple[str, float]]:
     """(column, loss of mean rank-IC) of any scorer that adds ``prediction``."""
 
     def quality(rows):
@@ -241,7 +299,7 @@ def importances(predict: Callable[[DataFrame], DataFrame], fold: DataFrame, cols
 
     fold = stage(fold.drop("features"))
     base = quality(fold)
-    return [(c, base - quality(permuted(fold, c, seed, max_group))) for c in cols]
+    return [(c, base - quality(permuted(fold, c, seed, max_group, order))) for c in cols]
 
 
 def retrain_due(weeks: DataFrame, retrains: DataFrame, every_weeks: int) -> DataFrame:

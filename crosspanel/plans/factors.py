@@ -105,6 +105,17 @@ view(
 )
 
 
+view(
+    "e5_default", "e5",
+    "SELECT * EXCLUDE (DOWNVOL6M), CASE WHEN nd >= 63 THEN sd END * sqrt(252.0) AS DOWNVOL6M FROM e5",
+)
+
+
+@query("e5_downside_volatility_default", spec(["DOWNVOL6M"]), weekly_sql(["DOWNVOL6M"], "e5_default"), "e5_default")
+def downside_default(t):
+    return ts.weekly_last(factors.risk_factors(t.grid, market(t), full=False), ["DOWNVOL6M"])
+
+
 @query("e5_downside_volatility", spec(["DOWNVOL6M"]), weekly_sql(["DOWNVOL6M"], "e5"), "e5")
 def downside(t):
     df = factors.risk_factors(t.grid, market(t), full=False, min_negative=10)

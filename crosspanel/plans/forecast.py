@@ -21,16 +21,16 @@ def trade_dates(t):
     return sessions.region_trade_dates(factor_plans.nominal_weeks(t), days)
 
 
-def forecasts(t):
+def forecasts(t, ranked=True):
     """Every weekly forecast of the sample panel, stored as a run would store it.
 
     Scores are within-date rank shares.
     """
     return t.staged(
-        "forecasts",
+        "forecasts" if ranked else "unranked forecasts",
         lambda: fc.forecast_table(
             portfolio_plans.staged_ranks(t), universe_plans.eligible(t), t.profile, trade_dates(t),
-            max_group=t.n_symbols,
+            max_group=t.n_symbols, ranked=ranked,
         ),
     )
 
@@ -111,7 +111,7 @@ view(
 
 
 def picks(t):
-    return t.staged("picks", lambda: fc.extract_picks(forecasts(t), N))
+    return t.staged("picks", lambda: fc.extract_picks(forecasts(t, ranked=False), N))
 
 
 @query(

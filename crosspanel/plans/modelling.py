@@ -1,9 +1,10 @@
 """Queries for the walk-forward, member combination and attribution operators."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from crosspanel.functions import ts, xs
-from crosspanel.operators import ensemble, factors, walkforward
+from crosspanel.operators import boosting, ensemble, factors, walkforward
 from crosspanel.plans import factors as factor_plans
 from crosspanel.plans import portfolio as portfolio_plans
 from crosspanel.plans import profiling as profiling_plans
@@ -15,12 +16,12 @@ MODELS = portfolio_plans.MODELS
 TRAIN, VAL, RETRAIN = 104, 26, 12
 
 
-def plan_sql(first: str, source: str = "scores", train: int = TRAIN, val: int = VAL, retrain: int = RETRAIN) -> str:
+def plan_sql(first: str, source: str = "scores", train: int = TRAIN, val: int = VAL, retrain: int = RETRAIN, purge: int = 0) -> str:
     return f"""WITH idx AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM {source})),
       r AS (SELECT *, (i - {train + val}) // {retrain} AS retrain_id FROM idx WHERE i >= {train + val} AND (i - {train + val}) % {retrain} = 0)
       SELECT retrain_id, r.date AS retrain_date, a.date AS train_from, b.date AS train_to, c.date AS val_from, d.date AS val_to,
-        r.date AS score_from, f.date AS score_to FROM r JOIN idx a ON a.i = {first} JOIN idx b ON b.i = r.i - {val + 1}
-        JOIN idx c ON c.i = r.i - {val} JOIN idx d ON d.i = r.i - 1 JOIN idx f ON f.i = least(r.i + {retrain - 1}, r.n - 1)"""
+        r.date AS score_from, f.date AS score_to FROM r JOIN idx a ON a.i = {first} JOIN idx b ON b.i = r.i - {val + 1 + purge}
+        JOIN idx c ON c.i = r.i - {val} JOIN idx d ON d.i = r.i - {1 + purge} JOIN idx f ON f.i = least(r.i + {retrain - 1}, r.n - 1)"""
 
 
 view("plan", "scores", plan_sql(f"r.i - {TRAIN + VAL}"))
@@ -49,6 +50,13 @@ def schedule_capped(t):
 FEATURES = profiling_plans.COLS
 
 
+@query(
+    "h1_schedule_purged", PLAN, plan_sql(f"r.i - {TRAIN + VAL}", purge=2), "scores",
+)
+def schedule_purged(t):
+    return plan(t, purge_weeks=2)
+
+
 @query(
     "h2_fold_assembly", "date:d symbol target:6 " + " ".join(f"{c}:5" for c in FEATURES),
     "SELECT date, symbol, target, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in FEATURES)
@@ -56,18 +64,22 @@ FEATURES = profiling_plans.COLS
     "four target",
 )
 def fold_assembly(t):
+    return fold_between(t, "1997-01-01", "1998-06-30")
+
+
+def fold_between(t, first, last):
     day = lambda s: F.lit(s).cast("date")
     return walkforward.assemble_fold(
-        profiling_plans.four(t), profiling_plans.target(t), FEATURES, day("1997-01-01"), day("1998-06-30")
+        profiling_plans.four(t), profiling_plans.target(t), FEATURES, day(first), day(last)
     )
 
 
 # -- trained members: results depend on the learner, so these have no SQL ---------------
 
 BIG_TRAIN, BIG_VAL, BIG_RETRAIN = 208, 52, 49
+view("big_plan", "four", plan_sql(f"r.i - {BIG_TRAIN + BIG_VAL}", "four", BIG_TRAIN, BIG_VAL, BIG_RETRAIN))
 QUICK_GBT = {"maxIter": 24, "patience": 4, "maxDepth": 3, "stepSize": 0.1, "maxBins": 16}
 QUICK_FOREST = {"numTrees": 10, "maxDepth": 4, "maxBins": 16}
-BAG_SPACE = {"stepSize": (0.05, 0.3), "maxDepth": (2, 4)}
 
 
 def model_inputs(t):
@@ -100,21 +112,104 @@ def random_forest(t):
     return trained(t, {"forest": forest_member})[0]
 
 
+QUICK_LEAFWISE = {"rounds": 2, "rate": 0.1, "patience": 2}
+
+
+@query("h3_leafwise_boosting", "date:d symbol prediction:6")
+def leafwise_boosting(t):
+    """The second boosting member: 31 leaves, best leaf first."""
+    return trained(t, {"leafwise": walkforward.leafwise(FEATURES, **QUICK_LEAFWISE)})[0]
+
+
+EDGES = np.linspace(-0.2, 0.2, 17).tolist()
+FOLD_FROM, FOLD_TO = "1995-01-01", "1998-06-30"
+view(
+    "first_cells", "four target",
+    f"""WITH fold AS (SELECT *, target - avg(target) OVER () AS g FROM four JOIN target USING (date, symbol)
+          WHERE date BETWEEN DATE '{FOLD_FROM}' AND DATE '{FOLD_TO}')
+        SELECT feature, bin, count(*) AS n, sum(g) AS g FROM ("""
+    + " UNION ALL ".join(
+        f"SELECT {i} AS feature, len(list_filter({EDGES}::DOUBLE[], lambda e: e <= coalesce({c}, 0))) AS bin, g FROM fold"
+        for i, c in enumerate(FEATURES))
+    + ") GROUP BY 1, 2",
+)
+
+
+def first_cells(t):
+    """The first tree's histogram over the rows of a fold."""
+    fold = fold_between(t, FOLD_FROM, FOLD_TO).withColumn("is_val", F.lit(False))
+    return t.staged("first cells", lambda: boosting.first_histogram(fold, FEATURES, [EDGES] * len(FEATURES)))
+
+
+@query("h3_first_histogram", "feature:i bin:i n:i g:5", "SELECT * FROM first_cells", "first_cells")
+def first_histogram(t):
+    return first_cells(t)
+
+
+@query(
+    "h3_first_split", "feature:i bin:i gain:4 left_n:i n:i left_g:5",
+    """SELECT feature, bin, gain, left_n, n, left_g FROM (
+         SELECT *, left_g * left_g / (left_n + 2.0) + (g - left_g) * (g - left_g) / (n - left_n + 2.0) - g * g / (n + 2.0) AS gain FROM (
+           SELECT feature, bin, sum(n) OVER u AS left_n, sum(g) OVER u AS left_g, sum(n) OVER f AS n, sum(g) OVER f AS g FROM first_cells
+           WINDOW f AS (PARTITION BY feature), u AS (PARTITION BY feature ORDER BY bin))
+         WHERE left_n >= 20 AND n - left_n >= 20) ORDER BY gain DESC, feature, bin LIMIT 1""",
+    "first_cells",
+)
+def first_split(t):
+    return boosting.best_splits(first_cells(t), F.lit(2.0), F.lit(20))
+
+
 @query("h5_random_parameter_bag", "date:d symbol prediction:6")
 def parameter_bag(t):
-    bag = walkforward.bagged_gbt(
-        BAG_SPACE, 3, 2, base={"maxIter": 8, "patience": 2, "maxBins": 16}, max_group=t.n_symbols
-    )
+    """All 200 candidates in shared passes, the 50 best kept; one round each."""
+    bag = walkforward.leafwise_bag(FEATURES, base={"rounds": 1, "patience": 1}, max_group=t.n_symbols)
     return trained(t, {"bag": bag})[0]
 
 
+def stored_trees():
+    """A booster of two small trees, as a run would load it."""
+    first, second = boosting.Tree(), boosting.Tree()
+    left = first.split(0, 0, 0, 3.0)  # R1W < 0
+    inner = first.split(left, 1, 1, 1.0)  # R1M < 0.05
+    first.value[inner], first.value[inner + 1], first.value[left + 1] = 0.25, -0.5, 0.125
+    left = second.split(0, 3, 0, 1.0)  # VOL6M < 0.3
+    second.value[left], second.value[left + 1] = 0.03125, -0.0625
+    return boosting.Booster(FEATURES, [np.array(e) for e in ([0.0], [-0.05, 0.05], [], [0.3])], 0.5, [first, second], [])
+
+
+@query(
+    "h6_stored_trees", "date:d symbol prediction:6",
+    """SELECT date, symbol, 0.5 + CASE WHEN coalesce(R1W, 0) < 0 THEN CASE WHEN coalesce(R1M, 0) < 0.05::DOUBLE THEN 0.25 ELSE -0.5 END ELSE 0.125 END
+         + CASE WHEN coalesce(VOL6M, 0) < 0.3::DOUBLE THEN 0.03125 ELSE -0.0625 END AS prediction FROM four""",
+    "four",
+)
+def scored_by_stored_trees(t):
+    return walkforward.score(stored_trees(), profiling_plans.four(t))
+
+
+@query(
+    "h4_fold_rows", "retrain_id:i train_rows:i val_rows:i target:4",
+    """SELECT retrain_id, count(*) FILTER (WHERE date <= train_to) AS train_rows, count(*) FILTER (WHERE date >= val_from) AS val_rows,
+         sum(target) AS target FROM four JOIN target USING (date, symbol) JOIN big_plan ON date BETWEEN train_from AND val_to GROUP BY 1""",
+    "four target big_plan",
+)
+def fold_rows(t):
+    """What a retrain's fold holds: the forest learns from both parts, boosting stops on the second."""
+    df = profiling_plans.four(t)
+    weeks = walkforward.weeks_in(
+        walkforward.schedule(df, BIG_TRAIN, BIG_VAL, BIG_RETRAIN), "train_from", "val_to")
+    rows = df.join(profiling_plans.target(t), ["date", "symbol"]).join(F.broadcast(weeks), "date")
+    return rows.groupBy("retrain_id").agg(
+        F.count_if(F.col("date") <= F.col("train_to")).alias("train_rows"),
+        F.count_if(F.col("date") >= F.col("val_from")).alias("val_rows"), F.sum("target").alias("target"))
+
+
 @query("h6_weekly_scoring", "date:d symbol model prediction:6")
 def weekly_scoring(t):
     return trained(t, {"gbt": gbt_member, "forest": forest_member})[0]
 
 
 BOTH = {"gbt": gbt_member, "forest": forest_member}
-view("big_plan", "four", plan_sql(f"r.i - {BIG_TRAIN + BIG_VAL}", "four", BIG_TRAIN, BIG_VAL, BIG_RETRAIN))
 
 
 @query(
@@ -162,6 +257,39 @@ def permutation_importance(t):
     return t.spark.createDataFrame(out, "feature string, delta_ic double")
 
 
+def linear_score(rows):
+    """A fixed score, so that what the permutation does can be checked apart from a learner."""
+    return rows.select("date", "symbol", "target", (F.col("R1M") * 0.75 - F.col("R1W") * 0.5).alias("prediction"))
+
+
+def md5_of_symbol(seed):
+    text = F.concat(F.col("symbol").cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+@query(
+    "h17_permutation_of_fixed_score", "feature delta_ic:6",
+    """WITH rows_ AS (SELECT date, symbol, target, coalesce(R1W, 0) AS a, coalesce(R1M, 0) AS b, md5(symbol || ':7') AS h0, md5(symbol || ':8') AS h1
+             FROM four JOIN target USING (date, symbol)),
+       k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY substr(h0, 1, 8), symbol) AS p0,
+               row_number() OVER (PARTITION BY date ORDER BY substr(h1, 1, 8), symbol) AS p1 FROM rows_),
+       moved AS (SELECT x.date, x.symbol, x.target, x.a, x.b, y.a AS a2, y.b AS b2 FROM k x JOIN k y ON y.date = x.date AND y.p1 = x.p0),
+       s AS (SELECT 'base' AS feature, date, target, b * 0.75 - a * 0.5 AS v FROM moved UNION ALL SELECT 'R1W', date, target, b * 0.75 - a2 * 0.5 FROM moved
+             UNION ALL SELECT 'R1M', date, target, b2 * 0.75 - a * 0.5 FROM moved),
+       r AS (SELECT feature, date, rank() OVER (PARTITION BY feature, date ORDER BY v) + (count(*) OVER (PARTITION BY feature, date, v) - 1) / 2.0 AS rp,
+               rank() OVER (PARTITION BY feature, date ORDER BY target) + (count(*) OVER (PARTITION BY feature, date, target) - 1) / 2.0 AS ra FROM s),
+       ic AS (SELECT feature, date, CASE WHEN count(*) >= 5 AND stddev_samp(rp) > 0 AND stddev_samp(ra) > 0 THEN corr(rp, ra) END AS ic FROM r GROUP BY 1, 2),
+       q AS (SELECT feature, avg(ic) AS ic FROM ic GROUP BY 1)
+       SELECT q.feature, base.ic - q.ic AS delta_ic FROM q, (SELECT ic FROM q WHERE feature = 'base') base WHERE q.feature <> 'base'""",
+    "four target",
+)
+def permutation_of_fixed_score(t):
+    fold = walkforward.assemble_fold(
+        profiling_plans.four(t), profiling_plans.target(t), FEATURES, F.lit("1900-01-01").cast("date"), F.lit("2100-01-01").cast("date"))
+    out = walkforward.importances(linear_score, fold, ["R1W", "R1M"], max_group=t.n_symbols, order=md5_of_symbol)
+    return t.spark.createDataFrame(out, "feature string, delta_ic double")
+
+
 # -- rank-IC and combiners over the three simple score sets -------------------------------
 
 
@@ -215,6 +343,17 @@ def combine_rank_mean(t):
     return ensemble.combine("rank_mean", members(t), max_group=t.n_symbols)
 
 
+@query(
+    "h12_live_rank_mean", "date:d symbol prediction:7",
+    "SELECT date, symbol, avg(pct) AS prediction FROM mranks WHERE date = (SELECT max(date) FROM mranks) GROUP BY 1, 2", "mranks",
+)
+def live_rank_mean(t):
+    """A live week has no history of its own to stack on, so the stack falls back to the rank mean."""
+    preds = members(t)
+    last = preds.agg(F.max("date")).scalar()
+    return ensemble.score_week(preds.filter(F.col("date") == last), "stack", t.n_symbols)
+
+
 def validation_ic(t):
     """Each member's mean rank-IC over a retrain's validation weeks, per scored week."""
     p = plan(t)

@@ -5,7 +5,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from crosspanel.functions import ts
-from crosspanel.operators import factors
+from crosspanel.operators import factors, features
 from crosspanel.operators import profiling as p
 from crosspanel.operators import target as tg
 from crosspanel.plans import factors as factor_plans
@@ -112,6 +112,47 @@ def correlation_over_time(t):
     return p.pair_correlations(df.join(weeks, "date", "left_semi"), COLS, 4)
 
 
+# All factors, at the thresholds that the reports use by default.  The sample panel never has
+# 63 falling days in a window of 126, nor a rating event for most names.
+ALL = [c for c in factor_plans.MATRIX if c not in ("DOWNVOL6M", "UPDOWN1W_RATINGS")]
+
+
+def all_corr_sql(where: str, least: int) -> str:
+    full = " AND ".join(f"{c} IS NOT NULL" for c in ALL)
+    long = " UNION ALL ".join(f"SELECT date, symbol, {i} AS i, '{c}' AS factor, {c} AS v FROM full_rows" for i, c in enumerate(ALL))
+    return f"""WITH full_rows AS MATERIALIZED (SELECT * FROM matrix WHERE {full} AND {where}), long AS ({long})
+        SELECT a.date, a.factor || ' / ' || b.factor AS pair, corr(a.v, b.v) AS corr FROM long a JOIN long b USING (date, symbol)
+        WHERE a.i < b.i GROUP BY 1, 2 HAVING count(*) > {least}"""
+
+
+def matrix(t):
+    return t.staged("matrix", lambda: features.feature_matrix(t, ratings=factor_plans.marks(t))[0])
+
+
+@query(
+    "m5_all_factor_correlation", "date:d pair corr:5",
+    all_corr_sql("date = (SELECT max(date) FROM (SELECT date FROM matrix GROUP BY date HAVING "
+                 + " AND ".join(f"count({c}) > 50" for c in ALL) + "))", 1),
+    "matrix",
+)
+def all_factor_correlation(t):
+    df = matrix(t)
+    day = p.latest_full_date(df, ALL, 50).scalar()
+    return p.pair_correlations(df.filter(F.col("date") == day), ALL, 1)
+
+
+@query(
+    "m6_all_correlation_over_time", "date:d pair corr:5",
+    all_corr_sql("date IN (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n "
+                 "FROM (SELECT DISTINCT date FROM matrix)) WHERE i % greatest(1, n // 52) = 0)", 30),
+    "matrix",
+)
+def all_correlation_over_time(t):
+    df = matrix(t)
+    weeks = F.broadcast(p.sampled_weeks(df))
+    return p.pair_correlations(df.join(weeks, "date", "left_semi"), ALL, 30)
+
+
 def target(t):
     return tg.training_target(t.bars, t.calendar, max_group=t.n_symbols)
 

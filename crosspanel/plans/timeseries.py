@@ -115,8 +115,7 @@ def rolling_half(t):
     "grid",
 )
 def rolling_median(t):
-    med = ts.rolling_median(F.col("close"), ts.trailing(42), 5)
-    return t.grid.withColumn("med", med).filter("med is not null")
+    return ts.rolling_medians(t.grid, {"med": "close"}, 42, 5).filter("med is not null")
 
 
 @query(
@@ -127,8 +126,7 @@ def rolling_median(t):
 )
 def centered_median(t):
     counts = t.bars.groupBy("date").agg(F.count("close").alias("n"))
-    centered = Window.orderBy("date").rowsBetween(-10, 10)
-    return counts.withColumn("norm", ts.rolling_median(F.col("n"), centered))
+    return ts.rolling_medians(counts, {"norm": "n"}, 21, by=(), order="date", centered=True)
 
 
 @query(
