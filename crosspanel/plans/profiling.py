@@ -112,9 +112,11 @@ def correlation_over_time(t):
     return p.pair_correlations(df.join(weeks, "date", "left_semi"), COLS, 4)
 
 
-# All factors, at the thresholds that the reports use by default.  The sample panel never has
-# 63 falling days in a window of 126, nor a rating event for most names.
-ALL = [c for c in factor_plans.MATRIX if c not in ("DOWNVOL6M", "UPDOWN1W_RATINGS")]
+# Every factor that the sample panel has for over 50 names in some week, at the thresholds that
+# the reports use by default.  It trades on about a fifth of its days, so plain momentum has 36
+# names at most, and no window of 126 days has 63 falling ones.
+SPARSE = ("R1M", "R3M1M", "R6M1M", "R12M1M", "DOWNVOL6M", "UPDOWN1W_RATINGS")
+ALL = [c for c in factor_plans.MATRIX if c not in SPARSE]
 
 
 def all_corr_sql(where: str, least: int) -> str:
