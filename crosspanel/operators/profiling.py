@@ -62,7 +62,7 @@ def pair_correlations(rows: DataFrame, cols: Sequence[str], min_names: int) -> D
     factors as for a hundred.  Columns are shifted by their means first, so that no digits cancel.
     """
     cols = list(cols)
-    means = rows.agg(*[F.avg(c) for c in cols]).first()
+    means = rows.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))) for c in cols]).first()
     shift = np.array([float(m or 0.0) for m in means])
     sums = ["n", "sa", "sb", "saa", "sbb", "sab"]
 

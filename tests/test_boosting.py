@@ -136,7 +136,7 @@ def test_bag_keeps_the_best_by_rank_ic(spark, monkeypatch):
 
 
 def test_folds_without_validation_rows_or_splits(spark):
-    pdf = panel(weeks=2, names=20)
+    pdf = panel(weeks=3, names=20)
     pdf["is_val"] = False
     fold = spark.createDataFrame(pdf)
     fitted = boosting.fit_all(fold, ["f0", "f1"], [Spec(rounds=2, leaves=4, min_rows=3, rows=1.0)])[0]
