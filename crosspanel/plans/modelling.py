@@ -112,7 +112,7 @@ def random_forest(t):
     return trained(t, {"forest": forest_member})[0]
 
 
-QUICK_LEAFWISE = {"rounds": 2, "rate": 0.1, "patience": 2}
+QUICK_LEAFWISE = {"rounds": 1, "rate": 0.1, "patience": 1}
 
 
 @query("h3_leafwise_boosting", "date:d symbol prediction:6")
@@ -161,8 +161,9 @@ def first_split(t):
 
 @query("h5_random_parameter_bag", "date:d symbol prediction:6")
 def parameter_bag(t):
-    """All 200 candidates in shared passes, the 50 best kept; one round each."""
-    bag = walkforward.leafwise_bag(FEATURES, base={"rounds": 1, "patience": 1}, max_group=t.n_symbols)
+    """Candidates in shared passes, the best by rank-IC kept: fewer of them and one round each."""
+    space = walkforward.LEAFWISE_SPACE | {"leaves": (4, 8)}
+    bag = walkforward.leafwise_bag(FEATURES, space, 24, 6, base={"rounds": 1, "patience": 1}, max_group=t.n_symbols)
     return trained(t, {"bag": bag})[0]
 
 
