@@ -112,21 +112,45 @@ def quantiles(
 
 
 def _bracketed_quantiles(df, by, cols, probs) -> DataFrame:
-    low = [max(0.0, p - BRACKET) for p in probs]
-    high = [min(1.0, p + BRACKET) for p in probs]
+    """Selection between sketched brackets, checked by exact counts.
+
+    A group with a quantile outside its bracket goes again with a wider one, at last with
+    all its values, so a poor sketch costs passes but never the result.
+    """
+    width, done = BRACKET, []
+    while True:
+        read = stage(_bracket_pass(df, by, cols, probs, width))
+        again = F.max("missed").over(Window.partitionBy(*by))
+        read = read.withColumn("again", again)
+        done.append(read.filter("not again"))
+        missed = read.filter("again").select(*by).distinct()
+        if width >= 1 or missed.isEmpty():
+            break
+        df, width = join_groups(df.select(*by, *cols), missed, by, small=list(by) == ["date"]), width * 8
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    names = [f"{c}_q{i}" for c in cols for i in range(len(probs))]
+    return out.groupBy(*by).pivot("key", names).agg(F.first("q"))
+
+
+def _bracket_pass(df, by, cols, probs, width: float) -> DataFrame:
+    """(by, key, q, missed): quantiles found by ranks within brackets of ``width`` to each side."""
+    low = [max(0.0, p - width) for p in probs]
+    high = [min(1.0, p + width) for p in probs]
     sketch = []
     for c in cols:
         sketch.append(F.percentile_approx(c, low + high, SKETCH_ACCURACY).alias(f"_b_{c}"))
         sketch.append(F.count(c).alias(f"_n_{c}"))
     # Small groups keep every value: there the sketch's rank error could exceed the bracket.
     brackets = stage(df.groupBy(*by).agg(*sketch))
-    m, few = len(probs), 4 / BRACKET
+    m, few = len(probs), 4 / width
     rows = join_groups(df.select(*by, *cols), brackets, by)
     items, below = [], []
     for c in cols:
         x = F.col(c)
         for i in range(m):
-            small = F.col(f"_n_{c}") <= few
+            small = (F.col(f"_n_{c}") <= few) if width < 1 else F.lit(True)
             under = ~small & (x < F.col(f"_b_{c}")[i])
             inside = small | (x <= F.col(f"_b_{c}")[m + i])
             head = (F.lit(f"{c}_q{i}").alias("key"), F.lit(float(probs[i])).alias("p"))
@@ -145,7 +169,7 @@ def _bracketed_quantiles(df, by, cols, probs) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("c"))
     )
     under = rows.groupBy(*by).agg(F.array(*below).alias("_under")).select(*by, F.inline("_under"))
-    counts = inside.unionByName(under.filter("c > 0"))
+    counts = inside.unionByName(under)
     w = Window.partitionBy(*by, "key").orderBy(F.col("value").asc_nulls_first())
     upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
     at = F.col("p") * (F.col("n") - 1)
@@ -155,9 +179,8 @@ def _bracketed_quantiles(df, by, cols, probs) -> DataFrame:
     a = F.max(F.when(covers(k), F.col("value")))
     b = F.max(F.when(covers(F.least(k + 1, F.col("n") - 1)), F.col("value")))
     frac = F.max(at - k)
-    read = found.groupBy(*by, "key").agg((a + (b - a) * frac).alias("q"))
-    names = [f"{c}_q{i}" for c in cols for i in range(m)]
-    return read.groupBy(*by).pivot("key", names).agg(F.first("q"))
+    q = a + (b - a) * frac
+    return found.groupBy(*by, "key").agg(q.alias("q"), (q.isNull() & (F.max("n") > 0)).alias("missed"))
 
 
 def with_quantiles(df, by, cols, probs, max_group=None) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.session import stage
+
 
 def with_default(df: DataFrame, table: DataFrame, on: str, col: str, default: str = "Unknown") -> DataFrame:
     """Left lookup; a missing key gets the default label."""
@@ -87,6 +89,61 @@ def session_on_or_before(labels: DataFrame, cal: DataFrame) -> DataFrame:
     return capped.join(F.broadcast(days), "_day", "left").drop("_day")
 
 
+def asof_events(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str], order: str,
+                ts: str = "ts", forward: bool = False, strict: bool = False,
+                within: str | None = None, parts: int | None = None) -> DataFrame:
+    """Latest ``right`` row at or before each ``left`` row of one key, with no calendar between.
+
+    ``forward`` takes the earliest at or after instead, ``strict`` leaves out the same instant,
+    ``within`` (an interval such as ``"2 days"``) nulls an older match.  Of the ``right`` rows of
+    one instant the one of greatest ``order`` counts.  All ``left`` rows stay; a null key or time
+    matches nothing.  Adds ``cols`` and ``matched_ts``.
+
+    Rows are first reduced to instants, one per (key, time), which are cut into ranges of
+    (key, time): a key with a large share of all instants is spread over many ranges.  The last
+    match of a range is carried into the key's next ones; each border is crossed by one key at
+    most, so at most ``parts`` carried rows are broadcast.
+    """
+    clash = {*cols, "matched_ts"} & set(left.columns)
+    if clash:
+        raise ValueError(f"both sides have {sorted(clash)}")
+    parts = parts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    left = left.withColumn("_at", -at if forward else at)
+    facts = (
+        right.withColumn("_at", -at if forward else at).dropna(subset=[key, "_at"])
+        .groupBy(key, "_at").agg(F.max_by(F.struct(*cols), order).alias("_fact"))
+    )
+    found = F.when(F.col("_fact").isNotNull(), F.struct("_at", "_fact"))
+    asks = left.select(key, "_at").dropna().distinct()
+    instants = asks.select(key, "_at", F.lit(None).cast(facts.schema["_fact"].dataType).alias("_fact"),
+                           F.lit(True).alias("_asked")).unionByName(facts.withColumn("_asked", F.lit(False)))
+    instants = instants.groupBy(key, "_at").agg(
+        F.any_value("_fact", ignoreNulls=True).alias("_fact"), F.max("_asked").alias("_asked"))
+    # Stored: the number of a range must not change when a task is run again.
+    ranged = stage(instants.repartitionByRange(parts, key, "_at").withColumn("_part", F.spark_partition_id()))
+    past = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        ranged.groupBy(key, "_part").agg(F.max_by(found, F.when(F.col("_fact").isNotNull(), F.col("_at"))).alias("_tail"))
+        .select(key, "_part", F.last("_tail", ignorenulls=True).over(past).alias("_carried"))
+        .filter(F.col("_carried").isNotNull())
+    )
+    upto = Window.partitionBy(key, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    match = F.coalesce(F.last(found, ignorenulls=True).over(upto), F.col("_carried"))
+    answers = (
+        ranged.join(F.broadcast(carried), [key, "_part"], "left")
+        .withColumn("_match", match).filter(F.col("_asked") & F.col("_match").isNotNull())
+        .select(key, "_at", F.timestamp_micros(-F.col("_match._at") if forward else F.col("_match._at"))
+                .alias("matched_ts"), "_match._fact.*")
+    )
+    out = left.join(answers, [key, "_at"], "left")
+    if within:
+        stale = F.abs(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros("matched_ts")) > F.unix_micros(
+            F.timestamp_micros(F.lit(0)) + F.expr(f"interval {within}"))
+        out = out.withColumns({c: F.when(~stale, F.col(c)) for c in (*cols, "matched_ts")})
+    return out.select(*[c for c in left.columns if c != "_at"], *cols, "matched_ts")
+
+
 def in_interval(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows whose date lies in a half-open span of their symbol; null ends are open."""
     joined = rows.join(spans, "symbol")

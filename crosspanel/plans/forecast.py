@@ -1,16 +1,20 @@
 """Queries for forecasts, picks, track record and orders."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from crosspanel.functions import ts
 from crosspanel.operators import forecast as fc
 from crosspanel.operators import orders, sessions
 from crosspanel.plans import factors as factor_plans
 from crosspanel.plans import portfolio as portfolio_plans
 from crosspanel.plans import universe as universe_plans
 from crosspanel.plans.registry import query
-from crosspanel.plans.sql import view
-from crosspanel.session import stage_dir
+from crosspanel.plans.sql import view, week
+from crosspanel.session import stage, stage_dir
 from crosspanel.sources import store
+from crosspanel.streaming.events import pick_outcomes
 
 N = 4
 SCOPES = ["ALL", "AFRICA", "AMERICA", "ASIA", "EUROPE"]
@@ -385,3 +389,31 @@ def reconcile_plan(t):
     target = sized(t).select("symbol", signed.cast("double").alias("shares"))
     held = positions(t).select("symbol", F.col("position").alias("shares"))
     return orders.reconcile_plan(target, held, orders.last_prices(t.bars), 25.0)
+
+
+@query(
+    "j6_outcomes_as_stream", "symbol:i target_date:d entry_close:4 exit_close:4 signed_ret:6",
+    f"""WITH w AS (SELECT symbol, {week('date')} AS label, arg_max(close, date) AS close FROM bars GROUP BY 1, 2),
+       pick AS (SELECT symbol, label + 7 AS target, close AS entry_close FROM w
+                WHERE label + 7 <= (SELECT max(date) FROM bars) - 28)
+       SELECT pick.symbol, target AS target_date, entry_close, w.close AS exit_close,
+              CASE WHEN pick.symbol % 2 = 0 THEN 1 ELSE -1 END * (w.close / nullif(entry_close, 0) - 1) AS signed_ret
+       FROM pick LEFT JOIN w ON w.symbol = pick.symbol AND w.label = target""",
+    "bars",
+)
+def outcomes_as_stream(t):
+    """Weekly picks and bars read as streams to their end; only weeks behind both watermarks count."""
+    bars = t.bars.select("symbol", F.col("date").cast("timestamp").alias("ts"), "close")
+    picks = ts.weekly_last(t.bars, ["close"]).select(
+        "symbol", F.date_add("date", 7).cast("timestamp").alias("target_ts"), F.col("close").alias("entry_close"),
+        F.when(F.col("symbol") % 2 == 0, "LONG").otherwise("SHORT").alias("side"))
+    inputs = [stage(df) for df in (picks, bars)]
+    live = [t.spark.readStream.schema(df.schema).parquet(df.staged_path) for df in inputs]
+    out = pick_outcomes(*live)
+    folder = f"{stage_dir(t.spark)}/outcomes-{uuid.uuid4().hex}"
+    run = out.writeStream.format("parquet").option("path", f"{folder}/rows").option(
+        "checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = t.bars.agg(F.max("date")).scalar()
+    rows = t.spark.read.schema(out.schema).parquet(f"{folder}/rows")
+    return rows.withColumn("target_date", F.to_date("target_ts")).filter(F.col("target_date") <= F.date_sub(F.lit(last), 28))

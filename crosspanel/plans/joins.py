@@ -240,3 +240,56 @@ def enrich_selection(t):
 def priority_merge(t):
     p = t.read("pages").select("page_id", "url", F.expr("parse_url(url, 'HOST')").alias("host"))
     return joins.merge_by_priority(p.filter("url like 'https:%'"), p, "host", "url", "page_id", 6, 8)
+
+
+# -- as-of between raw event streams: order times are moved into the month of the events ----
+
+ORDER_TIMES = """WITH o AS (
+       SELECT o_custkey AS user_id, TIMESTAMP '2024-01-01' + to_minutes(18 * date_diff('day', DATE '1995-01-01', o_orderdate::DATE)) AS placed,
+              arg_max(o_totalprice, o_orderkey) AS price, arg_max(o_orderstatus, o_orderkey) AS status
+       FROM orders GROUP BY 1, 2)"""
+
+
+def _asof_orders(t, **options):
+    minutes = 18 * F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01"))
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01"), "yyyy-MM-dd") + 60 * minutes)
+    orders = t.read("orders").select(
+        F.col("o_custkey").alias("user_id"), at.alias("ts"), "o_orderkey",
+        F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    events = t.read("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = joins.asof_events(events, orders, "user_id", ["price", "status"], "o_orderkey", **options)
+    return out.withColumn("lag_minutes", F.floor(
+        F.abs(F.unix_micros("ts") - F.unix_micros("matched_ts")) / 60_000_000))
+
+
+def _lag(a: str, b: str) -> str:
+    return f"floor((epoch_us({a}) - epoch_us({b})) / 60000000)"
+
+
+@query(
+    "c6_asof_event_streams", "event_id:i price:2 status lag_minutes:i",
+    f"""{ORDER_TIMES} SELECT event_id, price, status, {_lag('ts', 'placed')} AS lag_minutes
+       FROM events e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.ts >= o.placed""",
+)
+def asof_event_streams(t):
+    return _asof_orders(t)
+
+
+@query(
+    "c8_asof_events_within", "event_id:i price:2 status lag_minutes:i",
+    f"""{ORDER_TIMES} SELECT event_id, CASE WHEN near THEN price END AS price, CASE WHEN near THEN status END AS status,
+       CASE WHEN near THEN minutes END AS lag_minutes FROM (
+         SELECT event_id, price, status, {_lag('ts', 'placed')} AS minutes, coalesce(ts - placed <= INTERVAL 2 DAY, false) AS near
+         FROM events e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.ts >= o.placed)""",
+)
+def asof_events_within(t):
+    return _asof_orders(t, within="2 days")
+
+
+@query(
+    "c9_asof_events_forward", "event_id:i price:2 status lag_minutes:i",
+    f"""{ORDER_TIMES} SELECT event_id, price, status, {_lag('placed', 'ts')} AS lag_minutes
+       FROM events e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.ts < o.placed""",
+)
+def asof_events_forward(t):
+    return _asof_orders(t, forward=True, strict=True)

@@ -8,6 +8,7 @@ from crosspanel.functions import ts
 from crosspanel.plans.registry import query
 from crosspanel.session import stage_dir
 from crosspanel.sources import store
+from crosspanel.sources.keyed import KeyedTable
 
 SERIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 NAMES = ["urgent", "high", "medium", "unspecified", "low"]
@@ -239,3 +240,56 @@ def result_versions(t):
     store.write_version(t.bars, path, 1)
     store.write_version(t.bars.filter("date >= '1995-01-01'"), path, 2)
     return t.spark.read.parquet(path).groupBy("version", "symbol").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _ratings_table(t) -> KeyedTable:
+    """Ratings before the cut, keyed by (symbol, action)."""
+    old = t.ratings.filter("date < '2024-01-20'").select("symbol", "action", "seq", "date")
+    return KeyedTable.create(old, _scratch(t, "keyed"), ["symbol", "action"], "seq", buckets=16)
+
+
+@query(
+    "a11_upsert_in_place", "symbol action seq:i date:d",
+    """SELECT symbol, action, max(seq) AS seq, arg_max(date, seq) AS date FROM ratings GROUP BY 1, 2""",
+    "ratings",
+)
+def upsert_in_place(t):
+    table = _ratings_table(t)
+    table.upsert(t.ratings.filter("date >= '2024-01-20'"))
+    return table.read()
+
+
+@query(
+    "a12_gap_fill_in_place", "symbol action seq:i date:d",
+    """WITH old AS (SELECT symbol, action, max(seq) AS seq, arg_max(date, seq) AS date FROM ratings
+                    WHERE date < DATE '2024-01-20' GROUP BY 1, 2),
+       new AS (SELECT symbol, action, max(seq) AS seq, arg_max(date, seq) AS date FROM ratings
+               WHERE date >= DATE '2024-01-20' GROUP BY 1, 2)
+       SELECT * FROM old UNION ALL SELECT * FROM new n WHERE NOT EXISTS (
+         SELECT 1 FROM old o WHERE o.symbol = n.symbol AND o.action = n.action)""",
+    "ratings",
+)
+def gap_fill_in_place(t):
+    table = _ratings_table(t)
+    table.insert_missing(t.ratings.filter("date >= '2024-01-20'"))
+    return table.read()
+
+
+@query(
+    "a14_current_version", "version:i action keys:i seq:i",
+    """SELECT 1 AS version, action, count(DISTINCT symbol) AS keys, max(seq) AS seq FROM ratings
+       WHERE date < DATE '2024-01-20' GROUP BY 2
+       UNION ALL SELECT 2, action, count(DISTINCT symbol), max(seq) FROM ratings GROUP BY 2
+       UNION ALL SELECT 3, action, count(DISTINCT symbol), max(seq) FROM ratings WHERE action <> 'upgrade' GROUP BY 2""",
+    "ratings",
+)
+def current_version(t):
+    table = _ratings_table(t)
+    table.upsert(t.ratings.filter("date >= '2024-01-20'"))
+    table.delete(t.ratings.filter("action = 'upgrade'"))
+    out = None
+    for version in table.versions():
+        rows = table.read(version).groupBy("action").agg(
+            F.count(F.lit(1)).alias("keys"), F.max("seq").alias("seq")).withColumn("version", F.lit(version))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -1,7 +1,8 @@
 """Keyed table maintenance: append-only merges, upserts, coverage, partitioned results.
 
-Spark files are immutable, so a merge returns the new version of the table and
-:func:`write_version` puts it beside the old one before the pointer moves.
+Spark files are immutable, so a merge here returns the whole new table, and
+:func:`write_version` puts it beside the old one.  ``sources.keyed`` has tables that rewrite
+only the buckets a change touches and name their current version.
 """
 
 from __future__ import annotations
