@@ -71,3 +71,15 @@ class WordHashes(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def hot_from(counted: DataFrame, hot: int) -> int:
+    """The least ``spread`` (a logarithm of how often a key occurs) that ``hot`` keys at most reach."""
+    by_spread = dict(counted.groupBy("spread").count().collect())
+    least, held = max(by_spread, default=0) + 1, 0
+    for spread in sorted(by_spread, reverse=True):
+        held += by_spread[spread]
+        if held > hot:
+            break
+        least = spread
+    return least

@@ -6,13 +6,14 @@ a given model) and a text's count is the sum over its pre-tokens: a run of space
 word after it, or a newline with what follows it up to the next boundary.
 
 1. Every task lists its distinct pre-tokens; over all tasks each distinct one is encoded once.
-2. The most widespread short pre-tokens are broadcast (at most ``hot`` entries of at
-   most ``HOT_BYTES`` bytes); each document sums over its frequencies of these in its task.
+2. The most widespread pre-tokens are broadcast, at most ``hot`` keys of at most ``HOT_BYTES``
+   bytes (a longer one is known by its digest, so a rule of dashes or a footer's URL is among
+   them too); each document sums over its frequencies of these in its task.
 3. A document's other pre-tokens, with their frequencies, are joined to the stored counts.
 No ids are kept anywhere, and no key holds more than its share: what is common is summed
-before the join, and what is joined is rare or long.
+before the join, and what is joined is rare.
 
-A null or empty text has no token.  Repeated rows are counted each on its own; a null id
+A null or empty text has no token.  Very long texts are counted whole.  Repeated rows are counted each on its own; a null id
 stays null.  Extra columns are not read.  An empty table gives an empty result.
 """
 
@@ -21,12 +22,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm.text import map_rows, with_bytes
+from crosspanel.llm.text import hot_from, map_rows, with_bytes
 from crosspanel.session import stage
 
 MARK = "▁"  # what the library writes for a space
@@ -81,6 +83,12 @@ def pretokens(text: bytes | None) -> list[bytes]:
     return out
 
 
+def join_key(pretoken: bytes) -> bytes:
+    """What a pre-token is looked up by: itself, or a digest of one over ``HOT_BYTES``.  No
+    pre-token starts with the byte 0xFF."""
+    return pretoken if len(pretoken) <= HOT_BYTES else b"\xff" + md5(pretoken).digest()
+
+
 def count_pieces(sp, pretoken: bytes) -> int:
     """Pieces of one pre-token.  The library puts a space in front of what it encodes."""
     if pretoken[:1] == b"\n":
@@ -126,9 +134,10 @@ def _sum_hot(shared):
             for text in rows["text"]:
                 total, cold, times = 0, [], []
                 for p, k in Counter(pretokens(text)).items():
-                    n = hot.get(p)
+                    key = join_key(p)
+                    n = hot.get(key)
                     if n is None:
-                        cold.append(p)
+                        cold.append(key)
                         times.append(k)
                     else:
                         total += n * k
@@ -141,18 +150,6 @@ def _sum_hot(shared):
     return make
 
 
-def hot_from(short: DataFrame, hot: int) -> int:
-    """The least ``spread`` (a logarithm of the documents) that ``hot`` pre-tokens at most reach."""
-    by_spread = dict(short.groupBy("spread").count().collect())
-    least, held = max(by_spread, default=0) + 1, 0
-    for spread in sorted(by_spread, reverse=True):
-        held += by_spread[spread]
-        if held > hot:
-            break
-        least = spread
-    return least
-
-
 def count_tokens(
     docs: DataFrame,
     model_file: str | None = None,
@@ -173,12 +170,14 @@ def count_tokens(
         .mapInArrow(map_rows(partial(_encode, model_file), ["pretoken", "docs"], pa.schema(schema)),
                     "pretoken binary, docs long, pieces long")
     )
-    short = vocabulary.filter(F.octet_length("pretoken") <= HOT_BYTES).withColumn(
-        "spread", F.floor(F.log2("docs") * 16)
-    )
-    widest = short.filter(F.col("spread") >= hot_from(short, hot)).select("pretoken", "pieces").toArrow()
+    # At most ``hot`` keys of HOT_BYTES each, pre-tokens of any length among them.
+    key = F.when(F.octet_length("pretoken") <= HOT_BYTES, F.col("pretoken")).otherwise(
+        F.concat(F.unhex(F.lit("FF")), F.unhex(F.md5("pretoken"))))
+    keys = vocabulary.select(key.alias("key"), "pieces", F.floor(F.log2("docs") * 16).alias("spread"))
+    least = hot_from(keys, hot)
+    widest = keys.filter(F.col("spread") >= least).select("key", "pieces").toArrow()
     shared = spark.sparkContext.broadcast(
-        dict(zip(widest["pretoken"].to_pylist(), widest["pieces"].to_pylist()))
+        dict(zip(widest["key"].to_pylist(), widest["pieces"].to_pylist()))
     )
     row = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("hot_tokens", pa.int64()),
                      ("cold", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
@@ -190,7 +189,7 @@ def count_tokens(
     )
     rare = (
         rows.select("row", F.inline(F.arrays_zip("cold", "times")))
-        .join(vocabulary.select(F.col("pretoken").alias("cold"), "pieces"), "cold")
+        .join(keys.filter(F.col("spread") < least).select(F.col("key").alias("cold"), "pieces"), "cold")
         .groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("rare_tokens"))
     )
     n_tokens = F.col("hot_tokens") + F.coalesce("rare_tokens", F.lit(0))

@@ -13,11 +13,13 @@ substrings of a URL.  Models and scores are therefore plain group-bys and joins.
 of the example URLs (by crc32) train, the others set the threshold where the rates of
 accepted and rejected URLs above it differ most, nearest to 0 on ties.
 
-The model has at most ``len(ALPHABET) ** (ORDER + 1)`` rows, whatever the input; it is
-broadcast up to ``BROADCAST_ROWS`` rows and joined by shuffle beyond.  Equal URLs are counted
-before anything is expanded.  A null URL or one without ``://`` has an empty host and path
-and is scored as it is, a null as the empty text.  Without accepted or rejected examples all
-scores are 0 and the verdict is allow.  Repeated rows stay; other columns are not read.
+Substrings are counted over all URLs: the most common, at most ``HOT_GRAMS``, meet the model by
+broadcast, as a key such as ``http`` is in every URL; the others by shuffle.  Equal URLs are
+counted before anything is expanded.  A null URL or one without ``://`` has an empty host and
+path and is scored as it is, a null as the empty text.  Without accepted or rejected examples
+all scores are 0 and the verdict is allow.  Of rules of equal length the one of greater (host,
+path) holds.  Long URLs are scored whole.  Repeated rows stay; other columns are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crosspanel.llm.text import hot_from
 from crosspanel.session import stage
 
 ORDER = 4
@@ -33,7 +36,8 @@ MIN_CONTEXT = 16
 BETA = 4.0
 # Fixed value: the characters told apart; "~" stands for all others, "$" ends a URL.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789:/._?=&#%-~$"
-BROADCAST_ROWS = 1_000_000
+HOT_GRAMS = 250_000
+RUN = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed values: (verdict, host, path) of each rule.
 RULES = (
@@ -69,12 +73,18 @@ def spelled(url: Column) -> Column:
 
 
 def substrings(df: DataFrame, keep: list[str], longest: int = ORDER + 1) -> DataFrame:
-    """One row per substring of ``s`` of up to ``longest`` characters, but ``^`` alone."""
-    n = F.length("s")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
+    """One row per substring of ``s`` of up to ``longest`` characters, but ``^`` alone.
+
+    Cut into overlapping runs first, as each substring is found by walking from the start.
+    """
+    runs = df.select(*keep, "s", F.explode(
+        F.sequence(F.lit(1), F.length("s"), F.lit(RUN))).alias("first")).select(
+        *keep, F.substr(F.col("s"), F.col("first"), F.lit(RUN + longest - 1)).alias("run"))
+    n = F.length("run")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), n)), lambda i: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)),
-        lambda k: F.substr(F.col("s"), i, k))))
-    return df.select(*keep, F.explode(grams).alias("gram")).filter(F.col("gram") != "^")
+        lambda k: F.substr(F.col("run"), i, k))))
+    return runs.select(*keep, F.explode(grams).alias("gram")).filter(F.col("gram") != "^")
 
 
 def language_models(urls: DataFrame) -> DataFrame:
@@ -122,16 +132,21 @@ def language_models(urls: DataFrame) -> DataFrame:
     return out
 
 
-def scores(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """s, score of each row of ``urls``: log-likelihood difference per character."""
-    model = stage(model)
-    if model.count() <= BROADCAST_ROWS:
-        model = F.broadcast(model)
-    return (
-        substrings(urls, ["s"]).join(model, "gram")
-        .groupBy("s").agg(F.sum("change").alias("sum"))
-        .select("s", F.round(F.col("sum") / (F.length("s") - 1), 6).alias("score"))
+def scores(urls: DataFrame, model: DataFrame, hot: int = HOT_GRAMS) -> DataFrame:
+    """id, score of each row of ``urls`` (id, s): log-likelihood difference per character."""
+    grams = substrings(urls, ["id"])
+    used = stage(
+        grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(model, "gram")
+        .select("gram", "change", F.floor(F.log2("n") * 16).alias("spread"))
     )
+    least = hot_from(used, hot)
+    common = F.broadcast(used.filter(F.col("spread") >= least).select("gram", "change"))
+    others = used.filter(F.col("spread") < least).select("gram", "change")
+    rare = grams.join(common, "gram", "left_anti").join(others, "gram")
+    sums = [part.groupBy("id").agg(F.sum("change").alias("sum")) for part in (grams.join(common, "gram"), rare)]
+    total = sums[0].unionByName(sums[1]).groupBy("id").agg(F.sum("sum").alias("sum"))
+    return total.join(urls.select("id", F.length("s").alias("n")), "id").select(
+        "id", F.round(F.col("sum") / (F.col("n") - 1), 6).alias("score"))
 
 
 def calibrated(examples: DataFrame) -> float:
@@ -160,12 +175,14 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
                      path.alias("path"), spelled(F.col(url_col)).alias("s"))
         .withColumns({"rule": rule, "decided": decided})
     )
+    # A URL grows to some hundred rows, so the stored table is spread over all partitions.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     urls = stage(rows.groupBy("s").agg(
         F.count_if(F.col("decided") == "allow").alias("accepted"),
         F.count_if(F.col("decided") == "block").alias("rejected"),
-    ))
+    ).repartition(parts, "s").withColumn("id", F.monotonically_increasing_id()))
     train = F.crc32(F.col("s").cast("binary")) % 5 != 0
-    scored = stage(scores(urls, language_models(urls.filter(train))))
+    scored = stage(urls.join(scores(urls, stage(language_models(urls.filter(train)))), "id").select("s", "score"))
     threshold = calibrated(
         urls.filter(~train).filter("accepted + rejected > 0").join(scored, "s")
     )

@@ -140,6 +140,32 @@ def test_token_counts_equal_the_library(spark, awkward, awkward_rows, clashing,
     assert tokens.count_tokens(empty).count() == 0
 
 
+def test_a_long_pretoken_of_every_text_is_no_join_key(spark):
+    sp = tokens.load(tokens.default_model())
+    rule = "-" * 60
+    texts = [f"{rule} word{i} {rule}\n{'=' * (40 + i % 3)} {'x' * 33}{i}" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (0, 4, 200_000):
+        got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, hot=hot).collect()}
+        assert got == {i: len(sp.encode(t)) for i, t in enumerate(texts)}
+    shared = type("Broadcast", (), {"value": {tokens.join_key(f" {rule}".encode()): 7}})
+    row = tokens._sum_hot(shared)()({"doc_id": [1], "text": [texts[0].encode()]})
+    assert row["hot_tokens"] == [14] and all(len(k) <= tokens.HOT_BYTES for k in row["cold"][0])
+
+
+def test_url_scores_do_not_depend_on_what_is_broadcast(spark):
+    # Sources of a common prefix: the same substrings in every URL.
+    rows = [(f"^http://{'ab'[i % 2]}{i % 9}.org/{i}$", int(i % 2 == 0), int(i % 2)) for i in range(200)]
+    seen = spark.createDataFrame(rows, "s string, accepted long, rejected long")
+    seen = urls.stage(seen.withColumn("id", urls.F.monotonically_increasing_id()))
+    model = urls.stage(urls.language_models(seen))
+    want = None
+    for hot in (0, 40, urls.HOT_GRAMS):
+        got = {r.id: r.score for r in urls.scores(seen, model, hot).collect()}
+        assert len(got) == 200 and (want is None or got == want)
+        want = got
+
+
 def test_url_rules_and_edges(spark):
     rows = [
         (1, "https://Sub.Example.ORG/es/x"), (2, "http://example.org/en/12?q"), (3, "http://a.org"),
