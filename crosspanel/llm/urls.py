@@ -175,12 +175,13 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
                      path.alias("path"), spelled(F.col(url_col)).alias("s"))
         .withColumns({"rule": rule, "decided": decided})
     )
-    # A URL grows to some hundred rows, so the stored table is spread over all partitions.
+    # A URL grows to some hundred rows, so the stored table is spread over all partitions; by a
+    # hash of its own, as a partitioning by s would be taken for the one of the group-by.
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     urls = stage(rows.groupBy("s").agg(
         F.count_if(F.col("decided") == "allow").alias("accepted"),
         F.count_if(F.col("decided") == "block").alias("rejected"),
-    ).repartition(parts, "s").withColumn("id", F.monotonically_increasing_id()))
+    ).repartition(parts, F.xxhash64("s")).withColumn("id", F.monotonically_increasing_id()))
     train = F.crc32(F.col("s").cast("binary")) % 5 != 0
     scored = stage(urls.join(scores(urls, stage(language_models(urls.filter(train)))), "id").select("s", "score"))
     threshold = calibrated(
