@@ -128,6 +128,15 @@ def test_report_asof(spark, grid):
     assert exact.max() == 1.0  # the Saturday report is lost
 
 
+def test_report_asof_is_not_broadcast(spark, grid):
+    # The rows multiply after the last shuffle, so Spark takes them for few.
+    reports = spark.createDataFrame([("A", dt.date(2020, 1, 1), 1.0)], "symbol string, date date, x double")
+    known = joins.report_asof(reports, ["x"], grid[1], 90)
+    joined = grid[0].join(known, ["symbol", "t"], "left").groupBy().agg(F.count("x").alias("n"))
+    assert joined.first().n > 0
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sessions_on_a_holiday(spark):
     days = [dt.date(2025, 11, d) for d in range(24, 29)]
     rows = [(d, s, 1.0) for d in days for s in ("US1", "US2", "US3", "UK1", "UK2", "UK3")
