@@ -137,6 +137,15 @@ def test_report_asof_is_not_broadcast(spark, grid):
     assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ewm_keeps_a_value_of_long_ago(spark):
+    # One loss, then gains only: the mean of losses decays but never is 0.
+    pdf = pd.DataFrame({"symbol": "A", "t": range(2000), "x": [0.0] * 3 + [5.0] + [0.0] * 1996})
+    got = ts.ewm_means(spark.createDataFrame(pdf), ["x"], [5]).toPandas().sort_values("t")
+    want = pdf.x.ewm(alpha=1 / 5, min_periods=5).mean().to_numpy()
+    assert (got.x_ew5.to_numpy(float)[4:] > 0).all()
+    np.testing.assert_allclose(got.x_ew5.to_numpy(float)[4:], want[4:], rtol=1e-6)
+
+
 def test_sessions_on_a_holiday(spark):
     days = [dt.date(2025, 11, d) for d in range(24, 29)]
     rows = [(d, s, 1.0) for d in days for s in ("US1", "US2", "US3", "UK1", "UK2", "UK3")
