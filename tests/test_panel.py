@@ -146,6 +146,14 @@ def test_ewm_keeps_a_value_of_long_ago(spark):
     np.testing.assert_allclose(got.x_ew5.to_numpy(float)[4:], want[4:], rtol=1e-6)
 
 
+def test_grid_partitions_follow_the_symbols(spark):
+    bars = spark.createDataFrame([(dt.date(2020, 1, 2), 1, 1.0, 1.0)], "date date, symbol long, close double, volume double")
+    cal = ts.calendar(bars)
+    at = lambda n: ts.dense_grid(bars, cal, n).rdd.getNumPartitions()
+    assert at(0) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert at(60_000) == 60_000 // ts.SYMBOLS_A_TASK
+
+
 def test_sessions_on_a_holiday(spark):
     days = [dt.date(2025, 11, d) for d in range(24, 29)]
     rows = [(d, s, 1.0) for d in days for s in ("US1", "US2", "US3", "UK1", "UK2", "UK3")
