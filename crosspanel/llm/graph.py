@@ -41,3 +41,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         roots.select("node", F.col("node").alias("root"))
     )
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links that ``roots`` came from and ``links``, stored.
+
+    Only the roots that the new links join are gone over again, not every link.
+    """
+    def root_of(nodes: DataFrame, name: str) -> DataFrame:
+        known = roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+        return nodes.join(known, name, "left").withColumn(f"root_{name}", F.coalesce(f"root_{name}", name))
+
+    ends = stage(root_of(root_of(links.select("a", "b"), "a"), "b"))
+    joined = components(ends.filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    top = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    new = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti")
+    every = roots.select("node", "root").unionByName(new.withColumn("root", F.col("node")))
+    return stage(every.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))

@@ -5,7 +5,8 @@ Shingles are runs of ``SHINGLE`` folded words, weighted (1 + ln tf) * idf.  The
 of the documents, so only the others need their df known.  Those are at most (mean distinct
 shingles per document) / ``RARE``, whatever the corpus.  They are found in two passes: a
 shingle above the share in all documents is above it in some unit of them, so units propose
-candidates, whose df is then counted over all documents.
+candidates, whose df is then counted over all documents.  That holds for units of any size;
+small partitions are read together, as units of few documents would propose too much.
 
 Each text draws ``BANDS * ROWS`` consistent weighted samples; two texts draw the same with the
 chance of their weighted Jaccard similarity.  Texts that agree on all samples of a band meet
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crosspanel.llm.graph import components
+from crosspanel.llm.graph import components, extended
 from crosspanel.llm.text import WordHashes, folded_words
 from crosspanel.session import stage
 
@@ -78,14 +79,14 @@ def shingles(text: bytes | None, hashes: WordHashes, size: int = SHINGLE) -> tup
 
 
 def _units(batches: Iterator[pa.RecordBatch]):
-    """Lists of the distinct shingles of up to ``UNIT_DOCS`` texts."""
+    """Lists of the distinct shingles of ``UNIT_DOCS`` texts, the last of up to twice as many."""
     hashes, held = WordHashes(), []
     for batch in batches:
         for text in batch.column(0).to_pylist():
             held.append(shingles(text, hashes)[0])
-            if len(held) >= UNIT_DOCS:
-                yield held
-                held = []
+            if len(held) >= 2 * UNIT_DOCS:
+                yield held[:UNIT_DOCS]
+                held = held[UNIT_DOCS:]
     if held:
         yield held
 
@@ -93,7 +94,7 @@ def _units(batches: Iterator[pa.RecordBatch]):
 def _propose(batches):
     for unit in _units(batches):
         values, df = np.unique(np.concatenate(unit), return_counts=True)
-        often = values[(df > RARE * len(unit)) & (df > 1 if len(unit) > 1 else True)]
+        often = values[df > RARE * len(unit)]
         yield pa.RecordBatch.from_pydict({"shingle": pa.array(often.view(np.int64))})
 
 
@@ -115,7 +116,7 @@ def _count(shared):
 def frequent_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes, and idf, of all shingles in over ``RARE`` of the documents."""
     spark = docs.sparkSession
-    texts = docs.select("text")
+    texts = docs.select("text").coalesce(max(1, n_docs // UNIT_DOCS))
     proposed = stage(texts.mapInArrow(_propose, "shingle long").distinct())
     blocks = -(-proposed.count() // CANDIDATES_AT_ONCE)
     found = []
@@ -417,13 +418,15 @@ def near_duplicates(
     roots = stage(components(links))
 
     mixed = _mixed_buckets(members, sizes, roots)
+    more = []
     rest = stage(_pairs_of_small(mixed).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.union(verified(rest, docs, reps, shared, similarity))
+        more.append(verified(rest, docs, reps, shared, similarity))
     large = mixed.filter(F.col("n") > SMALL_BUCKET)
     if not large.isEmpty():
-        links = links.union(links_of_large(large, sketch, docs, reps, shared, similarity))
-    roots = stage(components(links))
+        more.append(links_of_large(large, sketch, docs, reps, shared, similarity))
+    for links in more:
+        roots = extended(roots, links)
 
     rows = sketch.select("key", "tid").join(
         roots.select(F.col("node").alias("tid"), "root"), "tid", "left"

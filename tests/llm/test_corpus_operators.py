@@ -176,6 +176,16 @@ def test_components_of_paths_and_stars(spark):
     assert root[201] == 200 and len(got) == len(root)
 
 
+def test_components_extended_by_links(spark):
+    first = [(i, i + 1) for i in range(10)] + [(100, x) for x in range(101, 120)] + [(50, 51)]
+    later = [(5, 119), (7, 400), (401, 400), (60, 61), (50, 51), (101, 102)]
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    roots = graph.components(table(first))
+    got = graph.extended(roots, table(later)).collect()
+    want = graph.components(table(first + later)).collect()
+    assert len(got) == len(want) and set(got) == set(want)
+
+
 def _brute_classes(docs, least):
     """Components of exact weighted Jaccard over all pairs, by index of the row."""
     hashes = neardup.WordHashes()
@@ -254,6 +264,16 @@ def test_frequent_shingles_are_counted_over_all(spark):
     assert set(values) <= set(mine) and len(values) == 1 and idf[0] == 1.0
 
 
+def test_frequent_shingles_of_small_partitions(spark):
+    # At most one document of a partition holds the line, in one of ten documents in all.
+    line = lambda i: "very common five word line " if i % 10 == 0 else ""
+    rows = [(i, line(i) + f"own{i} text{i} of{i} its{i} kind{i}") for i in range(300)]
+    docs = spark.sparkContext.parallelize(rows, 100).toDF("doc_id long, text string")
+    values, idf = neardup.frequent_shingles(neardup.identified(docs), 300)
+    common = neardup.shingles(b"very common five word line", neardup.WordHashes())[0]
+    assert values.tolist() == common.tolist()
+
+
 def test_pipeline_stages_keep_rows_and_columns(spark, clashing, empty, tmp_path_factory, awkward):
     folder = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame([(1, 1, 0), (100, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
