@@ -161,8 +161,22 @@ def classify(ind: DataFrame) -> DataFrame:
     return df.withColumn("verdict_reasons", reasons())
 
 
+def tenths(x: Column) -> Column:
+    """``x`` to one digit by its exact binary value, halves to even, as Python and C print it.
+
+    ``format_string`` rounds the shortest decimal: 0.15, in binary just below, would give 0.2.
+    """
+    eight, two = x * 8, x * 2
+    ten = eight + two
+    lost = two - (ten - eight)  # 10 x is ten + lost, exactly
+    half = ten - F.floor(ten) == 0.5
+    whole = F.when(half & (lost > 0), ten + 0.5).when(half & (lost < 0), ten - 0.5)
+    return F.coalesce(whole, F.rint(ten)) / 10
+
+
 def reasons() -> Column:
-    c, say = F.col, F.format_string
+    c = F.col
+    say = lambda text, *x: F.format_string(text, *map(tenths, x))
     rsi, z, week, v = c("rsi14"), c("z20"), c("ret_1w_pct"), c("verdict")
     sigma = lambda where: say(f"%.1fσ {where} SMA20", F.abs(z))
     note = F.when(z.isNull(), "distance from SMA20 unavailable").when(
@@ -191,11 +205,11 @@ def reasons() -> Column:
             F.when(rsi.isNull(), "RSI unavailable").otherwise(say("RSI14 %.1f", rsi)),
         ],
     }
-    chosen = F.array(say("only %d daily bars available (need 20)", c("n_bars")))
+    chosen = F.array(F.format_string("only %d daily bars available (need 20)", c("n_bars")))
     for name, parts in lists.items():
         place = F.when(
             c("pct_of_52w_range").isNotNull(),
-            say("%.0f%% of the 52-week range", c("pct_of_52w_range") * 100),
+            F.format_string("%.0f%% of the 52-week range", F.rint(c("pct_of_52w_range") * 100)),
         )
         chosen = F.when(v == name, F.array_compact(F.array(*parts, place))).otherwise(chosen)
     return chosen
