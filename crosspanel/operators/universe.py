@@ -29,15 +29,20 @@ def lookup(key: Column, table: dict[str, float], default: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
 
 
+# Money is added up in whole millionths: doubles add those exactly, up to sums of 9e9, so an
+# average that equals its floor compares as equal in whatever order the window is added up.
+MONEY_UNIT = 1e6
+
+
 def dollar_volume_average(grid: DataFrame, rows: int = 126, min_count: int | None = None) -> DataFrame:
     """Trailing mean of close x volume over traded rows, from half a window on."""
     need = rows // 2 if min_count is None else min_count
-    dv = F.col("close") * F.col("volume")
+    dv = F.rint(F.col("close") * F.col("volume") * MONEY_UNIT)
     out = ts.moving_sums(
         grid, {"_n": F.when(dv.isNotNull(), F.lit(1.0)), "_s": dv}, rows
     )
     return out.withColumn(
-        "adv", F.when(F.col("_n") >= need, F.col("_s") / F.col("_n"))
+        "adv", F.when(F.col("_n") >= need, F.col("_s") / F.col("_n") / MONEY_UNIT)
     ).drop("_n", "_s")
 
 
