@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from crosspanel.functions import ts, xs
 from crosspanel.operators.joins import first_after, session_on_or_before
 from crosspanel.operators.universe import is_preferred
+from crosspanel.session import stage
 
 LEDGER_KEY = ["signal_day", "target_date", "scope", "side", "rank"]
 
@@ -145,7 +146,8 @@ def evaluate_forecasts(forecast: DataFrame, bars: DataFrame, cal: DataFrame, n:
 
     Plain returns need closes on both exact dates; lagged ones enter at each name's first
     close after the signal and leave at its first close after the target.  A scope needs
-    2n eligible names.
+    2n eligible names.  Baskets hold n names a side, so they are picked first, and only the bars
+    of names picked in some week are looked through.
     """
     dates = forecast.select("signal_day", "as_of_date", "target_date").distinct()
     known = lambda name: cal.select(F.col("date").alias(name), F.lit(True).alias(f"_{name}"))
@@ -159,28 +161,13 @@ def evaluate_forecasts(forecast: DataFrame, bars: DataFrame, cal: DataFrame, n:
         "evaluable", F.col("reason").isNull()
     ).drop("_as_of_date", "_target_date")
 
-    close = lambda day, px: bars.select(
-        "symbol", F.col("date").alias(day), F.col("close").alias(px)
-    )
-    after = first_after(bars, signal_day)
-    entry = lambda day, px, on: after.select(
-        "symbol", F.col("label").alias(day), F.col("entry_close").alias(px),
-        F.col("entry_date").alias(on),
-    )
-    rows = (
-        forecast.join(F.broadcast(status.filter("evaluable").select("as_of_date")), "as_of_date", "left_semi")
-        .join(close("as_of_date", "_a"), ["symbol", "as_of_date"], "left")
-        .join(close("target_date", "_b"), ["symbol", "target_date"], "left")
-        .join(entry("as_of_date", "_ea", "entry_date"), ["symbol", "as_of_date"], "left")
-        .join(entry("target_date", "_eb", "exit_date"), ["symbol", "target_date"], "left")
-        .withColumn("ret", ts.ratio(F.col("_b"), F.col("_a")) - 1)
-        .withColumn("ret_lag", ts.ratio(F.col("_eb"), F.col("_ea")) - 1)
-    )
+    rows = forecast.join(F.broadcast(status.filter("evaluable").select("as_of_date")), "as_of_date", "left_semi")
     scoped = rows.filter("eligible").withColumn("scope", F.explode(F.array("region", F.lit("ALL"))))
     by = ["signal_day", "as_of_date", "target_date", "scope"]
     sizes = scoped.groupBy(*by).agg(F.count(F.lit(1)).alias("n_eligible"))
-    picked = xs.top_and_bottom(scoped, n, by=by).join(sizes, by).filter(F.col("n_eligible") >= 2 * n)
-    baskets = picked.groupBy(*by).agg(
+    picked = stage(xs.top_and_bottom(scoped, n, by=by).join(sizes, by).filter(F.col("n_eligible") >= 2 * n))
+    own = bars.join(picked.select("symbol").distinct(), "symbol", "left_semi")
+    baskets = with_returns(picked, own, signal_day).groupBy(*by).agg(
         F.first("n_eligible").alias("n_eligible"), *basket_metrics("ret", ""), *basket_metrics("ret_lag", "_lag")
     )
     baskets = baskets.withColumns(
@@ -188,13 +175,33 @@ def evaluate_forecasts(forecast: DataFrame, bars: DataFrame, cal: DataFrame, n:
             f"ls_ret{s}": F.col(f"long_ret{s}") - F.col(f"short_ret{s}") for s in ("", "_lag")
         }
     )
-    traded = rows.filter("ret_lag is not null")
+    traded = with_returns(rows, bars, signal_day).filter("ret_lag is not null")
     used = modal(traded, ["target_date"], "entry_date").join(
         modal(traded, ["target_date"], "exit_date"), "target_date", "full_outer"
     )
     return baskets, status.join(used, "target_date", "left")
 
 
+def with_returns(rows: DataFrame, bars: DataFrame, signal_day: str) -> DataFrame:
+    """Adds ret from closes on both exact dates, and ret_lag from entry_date to exit_date."""
+    close = lambda day, px: bars.select(
+        "symbol", F.col("date").alias(day), F.col("close").alias(px)
+    )
+    after = first_after(bars, signal_day)
+    entry = lambda day, px, on: after.select(
+        "symbol", F.col("label").alias(day), F.col("entry_close").alias(px),
+        F.col("entry_date").alias(on),
+    )
+    return (
+        rows.join(close("as_of_date", "_a"), ["symbol", "as_of_date"], "left")
+        .join(close("target_date", "_b"), ["symbol", "target_date"], "left")
+        .join(entry("as_of_date", "_ea", "entry_date"), ["symbol", "as_of_date"], "left")
+        .join(entry("target_date", "_eb", "exit_date"), ["symbol", "target_date"], "left")
+        .withColumn("ret", ts.ratio(F.col("_b"), F.col("_a")) - 1)
+        .withColumn("ret_lag", ts.ratio(F.col("_eb"), F.col("_ea")) - 1)
+    )
+
+
 def basket_metrics(ret: str, suffix: str) -> list[Column]:
     r, is_long = F.col(ret), F.col("side") == "LONG"
     hits = F.count_if((is_long & (r > 0)) | (~is_long & (r < 0)))

@@ -30,13 +30,16 @@ def forecasts(t, ranked=True):
 
     Scores are within-date rank shares.
     """
-    return t.staged(
-        "forecasts" if ranked else "unranked forecasts",
-        lambda: fc.forecast_table(
-            portfolio_plans.staged_ranks(t), universe_plans.eligible(t), t.profile, trade_dates(t),
+    t.store_bars()
+
+    def build():
+        panel = universe_plans.weekly_panel(t)
+        return fc.forecast_table(
+            portfolio_plans.staged_ranks(t, panel), universe_plans.eligible(t, panel), t.profile, trade_dates(t),
             max_group=t.n_symbols, ranked=ranked,
-        ),
-    )
+        )
+
+    return t.staged("forecasts" if ranked else "unranked forecasts", build)
 
 
 view(
@@ -189,7 +192,7 @@ view(
 
 
 def evaluated(t):
-    return fc.evaluate_forecasts(forecasts(t), t.bars, t.calendar, N)
+    return fc.evaluate_forecasts(forecasts(t, ranked=False), t.bars, t.calendar, N)
 
 
 @query(

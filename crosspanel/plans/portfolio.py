@@ -26,8 +26,8 @@ def weekly_r1w(t, signal_day="THU"):
     return ts.weekly_last(factors.r1w(t.grid), ["R1W"], signal_day)
 
 
-def scores(t):
-    return portfolio.reversal_scores(weekly_r1w(t), t.profile, max_group=t.n_symbols)
+def scores(t, weekly=None):
+    return portfolio.reversal_scores(weekly_r1w(t) if weekly is None else weekly, t.profile, max_group=t.n_symbols)
 
 
 def staged_scores(t):
@@ -333,13 +333,13 @@ def summary(t):
 # -- calibration ---------------------------------------------------------------------
 
 
-def rank_scores(t):
-    ranked = xs.pct_rank(scores(t), "prediction", name="pct", max_group=t.n_symbols)
+def rank_scores(t, weekly=None):
+    ranked = xs.pct_rank(scores(t, weekly), "prediction", name="pct", max_group=t.n_symbols)
     return ranked.select("date", "symbol", F.col("pct").alias("prediction"))
 
 
-def staged_ranks(t):
-    return t.staged("ranks", lambda: rank_scores(t))
+def staged_ranks(t, weekly=None):
+    return t.staged("ranks", lambda: rank_scores(t, weekly))
 
 
 def calibration_bins(t):

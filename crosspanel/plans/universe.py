@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from crosspanel.functions import ts
+from crosspanel.operators import factors
 from crosspanel.operators import universe as u
 from crosspanel.plans.registry import query
 from crosspanel.plans.sql import view, week
@@ -51,8 +52,14 @@ def weekly_levels(t):
     return ts.weekly_last(u.dollar_volume_average(t.grid, ADV_ROWS, ADV_MIN), ["close", "adv"])
 
 
-def eligible(t):
-    return u.eligibility(weekly_levels(t), t.profile, t.membership, PRICE_FLOOR, ADV_FLOOR, PIT_REGION)
+def weekly_panel(t):
+    """Last week's return next to ``weekly_levels``, from one pass over the grid, stored."""
+    return t.staged("weekly panel", lambda: ts.weekly_last(
+        u.dollar_volume_average(factors.r1w(t.grid), ADV_ROWS, ADV_MIN), ["R1W", "close", "adv"]))
+
+
+def eligible(t, levels=None):
+    return u.eligibility(weekly_levels(t) if levels is None else levels, t.profile, t.membership, PRICE_FLOOR, ADV_FLOOR, PIT_REGION)
 
 
 @query(
