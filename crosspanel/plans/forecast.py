@@ -154,7 +154,13 @@ view(
 
 
 def ledger(t):
-    return t.staged("ledger", lambda: fc.evaluate_picks(picks(t), t.grid, t.calendar))
+    def build():
+        named = picks(t)
+        # Only the names picked in some week need their closes on the calendar.
+        held = t.bars.join(named.select("symbol").distinct(), "symbol", "left_semi")
+        return fc.evaluate_picks(named, ts.dense_grid(held, t.calendar, t.n_symbols), t.calendar)
+
+    return t.staged("ledger", build)
 
 
 LEDGER = "target_date:d scope side rank:i symbol realized_ret:6 signed_ret:6 correct:0 evaluable:i"

@@ -25,3 +25,21 @@ def test_only_bars_of_picked_names_are_looked_through(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi, (symbol" in plan(baskets)
     assert "LeftSemi, (symbol" not in plan(status)
+
+
+def test_ledger_builds_the_grid_of_picked_names_only(spark, monkeypatch):
+    t = Tables(spark, FOLDER)
+    seen = []
+    evaluate = fc.evaluate_picks
+
+    def spy(picks, grid, cal):
+        seen.append((picks, grid))
+        return evaluate(picks, grid, cal)
+
+    monkeypatch.setattr(fc, "evaluate_picks", spy)
+    plans.picks(t)
+    named = t.staged("picks", None).orderBy("symbol").limit(3).localCheckpoint()
+    t._staged["picks"] = named
+    plans.ledger(t)
+    picks, grid = seen[0]
+    assert {r[0] for r in grid.select("symbol").distinct().collect()} == {r[0] for r in picks.select("symbol").distinct().collect()}
