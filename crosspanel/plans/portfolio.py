@@ -1,5 +1,8 @@
 """Queries for baselines, portfolios, performance and calibration."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.functions import ts, xs
@@ -309,13 +312,14 @@ for _d in DAYS:
     " ".join(f"pt_{d}" for d in DAYS),
 )
 def weekday_effect(t):
-    parts = None
-    for day in DAYS:
-        s = stage(portfolio.reversal_scores(weekly_r1w(t, day), t.profile, max_group=t.n_symbols))
-        r = target.trade_returns(t.bars, t.calendar, day)
-        p = portfolio.long_short(s, r, max_group=t.n_symbols).withColumn("signal_day", F.lit(day))
-        parts = p if parts is None else parts.unionByName(p)
-    return portfolio.performance(parts, ["signal_day"])
+    # A label falls on its signal day, so the portfolios have no date in common and are built as one.
+    t.store_bars()
+    weekly = ts.last_of_weeks(factors.r1w(t.grid), "R1W", t.calendar, DAYS)
+    s = portfolio.reversal_scores(weekly, t.profile, max_group=t.n_symbols)
+    s = stage(s.withColumn("signal_day", F.upper(F.date_format("date", "EEE"))))
+    r = reduce(DataFrame.unionByName, [target.trade_returns(t.bars, t.calendar, day) for day in DAYS])
+    p = portfolio.long_short(s, r, keys=["signal_day"], max_group=t.n_symbols)
+    return portfolio.performance(p, ["signal_day"])
 
 
 @query(
