@@ -412,6 +412,7 @@ def reconcile_plan(t):
 )
 def outcomes_as_stream(t):
     """Weekly picks and bars read as streams to their end; only weeks behind both watermarks count."""
+    t.store_bars()
     bars = t.bars.select("symbol", F.col("date").cast("timestamp").alias("ts"), "close")
     picks = ts.weekly_last(t.bars, ["close"]).select(
         "symbol", F.date_add("date", 7).cast("timestamp").alias("target_ts"), F.col("close").alias("entry_close"),

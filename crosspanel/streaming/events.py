@@ -57,8 +57,10 @@ def pick_outcomes(picks: DataFrame, bars: DataFrame, signal_day: str = "THU",
     """
     closes = weekly_closes(bars, signal_day, late).select(
         F.col("symbol").alias("_symbol"), "week_end", F.col("close").alias("exit_close"))
-    # A week's own time is its last microsecond, which lies on the target day.
-    due = (F.col("symbol") == F.col("_symbol")) & (F.col("week_end") >= F.col("target_ts")) & (
+    # A week's own time is its last microsecond, which lies on the target day.  The day is a key of
+    # the state: by symbol alone every close would go over all picks of its symbol.  The range lets state go.
+    same_day = F.to_date("week_end") == F.to_date("target_ts")
+    due = (F.col("symbol") == F.col("_symbol")) & same_day & (F.col("week_end") >= F.col("target_ts")) & (
         F.col("week_end") < F.col("target_ts") + F.expr("interval 1 day"))
     out = picks.withWatermark("target_ts", late_picks).join(closes, due, "left_outer")
     ret = F.try_divide(F.col("exit_close"), F.col("entry_close")) - 1
