@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from crosspanel.functions import ts
+from crosspanel.functions import ts, xs
 from crosspanel.operators import research as r
 from crosspanel.operators import technicals as tech
 from crosspanel.plans import forecast as forecast_plans
@@ -67,8 +67,11 @@ def earnings(t):
 
 
 def latest_report(t):
+    """Each symbol's last report, stored: net income near 0 must not differ between its readers,
+    nor with the order its money is added up in."""
     cols = ["net_income", "total_equity", "revenue", "gross_profit", "ebitda", "total_debt", "shares", "free_cash_flow"]
-    return t.statements.groupBy("symbol").agg(F.max_by(F.struct(*cols), "date").alias("q")).select("symbol", "q.*")
+    latest = t.reports(xs.exact_sum).groupBy("symbol").agg(F.max_by(F.struct(*cols), "date").alias("q"))
+    return t.staged("latest report", lambda: latest.select("symbol", "q.*"))
 
 
 @query(
