@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.functions import ts
 from crosspanel.operators import blocks, factors, features, fundamentals
+from crosspanel.plans import profiling
 from crosspanel.sources.tables import Tables
 
 DAYS = [d.date() for d in pd.bdate_range("2019-01-01", periods=620)]
@@ -83,3 +84,10 @@ def test_the_matrix_joins_no_wide_tables(spark):
     df = features.feature_matrix(t, ratings=t.ratings)[0]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan and plan.count("Generate explode(sequence(t") == 0
+
+
+def test_four_factors_and_matrix_build_no_daily_grid(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert profiling.four(t).count() > 0 and "grid" not in t.__dict__
+    weeks = t.calendar.select(ts.week_of("date").alias("date")).limit(1)
+    assert profiling.matrix(t, weeks).count() > 0 and "grid" not in t.__dict__
